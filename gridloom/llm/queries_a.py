@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.mixing import mix
 from gridloom.llm.packing import pack
+from gridloom.llm.quality import quality
 from gridloom.llm.rlz import substring_dedup
 from gridloom.llm.setsketch import near_duplicates
 from gridloom.llm.sharding import histogram_shards
@@ -20,6 +21,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=3, percent=85)
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality(documents(spark, sf_dir)).select("doc_id", "measures.*", F.col("quality").alias("quality_probability"), "kept")
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rows = rows.withColumn("base_failed", failed)
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("kept")).alias("kept"), "quality_probability"
+    )
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), window=50, texts=False).drop("spans")
 
@@ -38,7 +48,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), window=2048, end_id=1)
 
 
-QUERIES = {"op3_histogram_shards": op3, "op4_pivotal_mixing": op4, "op9_slack_packing": op9, "op2_rlz_substring_dedup": op2, "op10_setsketch_near_dedup": op10}
+QUERIES = {"op1_quality_rules": op1, "op3_histogram_shards": op3, "op4_pivotal_mixing": op4, "op9_slack_packing": op9, "op2_rlz_substring_dedup": op2, "op10_setsketch_near_dedup": op10}
 ORACLES: dict[str, str] = {
     "op2_rlz_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
