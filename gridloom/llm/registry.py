@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import queries_a
+from gridloom.llm import queries_a, queries_b
 
-QUERIES = {**queries_a.QUERIES}
-ORACLES = {**queries_a.ORACLES}
+QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES}
+ORACLES = {**queries_a.ORACLES, **queries_b.ORACLES}
