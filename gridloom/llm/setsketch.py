@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
@@ -23,6 +23,8 @@ from gridloom.llm.words import U, mix, pieces, run_hashes, signed
 BASE = 1.001
 RATE = 20.0
 TOP = 2**16 - 1
+#: Nodes in a part of a group; two parts meet in one task.
+GROUP = 1024
 
 
 def band_rows(m: int, similarity: float, miss: float = 1e-6) -> int:
@@ -86,7 +88,7 @@ def estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
         return up * np.log(np.maximum(x, tiny)) + down * np.log(np.maximum(y, tiny)) + same * np.log(np.maximum(1 - x - y, tiny))
 
     lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
-    for _ in range(40):
+    for _ in range(25):
         a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
         better = likelihood(a) < likelihood(b)
         lo, hi = np.where(better, a, lo), np.where(better, hi, b)
@@ -159,8 +161,7 @@ def _confirmed(percent: int):
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = (np.frombuffer(z.as_buffer(), U) for z in (x, y))
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * both >= percent * (x.size + y.size - both))
+                keep.append(_alike(x, y, percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
@@ -175,10 +176,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 128
 
     Rows with equal sets form one class, represented by its smallest doc_id, and only representatives are compared. In
     a band's bucket all representatives are first compared with the smallest one (a star, not all pairs). When the
-    components of these links are known, further rounds compare what a bucket still holds of other components, until
-    no bucket has a pair across components that was not compared. So no group is expanded into the pairs within a
-    component, and no link is lost that a band shows; bands are cut so that a pair at the threshold shares none with
-    probability 1e-6 at most.
+    components of these links are known, buckets that still hold several of them are gathered into groups, and a task
+    compares two parts of a group, of ``GROUP`` nodes about, and gives at most a spanning tree of what it joins. So no pair
+    within a component is compared or made a row, and no link is lost that a band shows; bands are cut so that a
+    pair at the threshold shares none with probability 1e-6 at most.
 
     Null, empty or word-free text: n_shingles 0, linked with nothing. Null doc_id: component_id null, kept true, linked
     with nothing. Rows that share a doc_id are one node: they share its links. Columns other than id and text are
@@ -200,38 +201,73 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 128
 
 
 def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, m: int) -> DataFrame:
-    """Confirmed links ``a, b`` between representatives: enough of them for the components of all links.
-
-    In round t every bucket's first 8**t nodes are compared with all its nodes of other components and then leave it.
-    Buckets end when one component or one node is left; one of n nodes that never link ends after log8(n) rounds.
-    """
-    spark = docs.sparkSession
+    """Confirmed links ``a, b`` between representatives: enough of them for the components of all links."""
     rows = band_rows(m, percent / 100)
     buckets = saved(classes.select("node", "registers").mapInArrow(_buckets(m, rows), "bucket long, node long"), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    state = saved(buckets.join(shared, "bucket").select("bucket", "node", F.col("node").alias("component")).distinct(), "buckets")
-    wanted = state.select("node").distinct()
+    lead = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket", "lead")
+    shared = saved(buckets.join(lead, "bucket").select("bucket", "node", "lead").distinct(), "buckets")
+    wanted = shared.select("node").distinct()
     sets = saved(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").mapInArrow(_sets(k), "node long, shingles binary").where("length(shingles) > 0"), "sets")
-    links = spark.createDataFrame([], "a long, b long")
-    compared = links
-    leaders = 1
-    while True:
-        open_ = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        rest = saved(state.join(open_, "bucket"), "rest")
-        if rest.isEmpty():
-            return links
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        lead = rest.withColumn("rank", rank).where(F.col("rank") <= leaders).select("bucket", F.col("node").alias("b"), F.col("component").alias("other"))
-        pairs = rest.join(lead, "bucket").where("component != other").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        pairs = saved(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        compared = compared.unionByName(pairs)
-        new = saved(_confirm(pairs, classes, sets, percent), "confirmed")
-        state = rest.join(lead.select("bucket", F.col("b").alias("node")), ["bucket", "node"], "left_anti")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            found = components(links).withColumnRenamed("component", "joined")
-            state = state.join(found, "node", "left").select("bucket", "node", F.coalesce("joined", "component").alias("component"))
-        leaders *= 8
+    stars = saved(shared.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
+    links = saved(_confirm(stars, classes, sets, percent), "confirmed")
+    # What is left: buckets whose nodes are in several components. Nodes that such buckets join make up a group.
+    found = components(links)
+    state = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    state = saved(state, "buckets")
+    open_ = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("lead")).where("low < high").select("bucket", "lead")
+    rest = saved(state.join(open_, "bucket"), "rest")
+    groups = saved(components(rest.select("node", "lead"), "node", "lead").withColumnRenamed("component", "group"), "groups")
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / GROUP).alias("n"))
+    member = rest.select("node", "component").distinct().join(groups, "node").join(sizes, "group")
+    member = member.withColumn("part", F.pmod(F.xxhash64("node"), "n"))
+    # Parts i <= j of a group meet in one task; a group of one part is dealt once.
+    to = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda x: F.struct(F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j")))
+    member = member.select("group", "node", "component", "part", F.explode(to).alias("task")).join(classes.select("node", "n_shingles", "registers"), "node").join(sets, "node")
+    member = member.select("group", "task.i", "task.j", "node", "component", "part", "n_shingles", "registers", "shingles")
+    more = member.groupBy("group", "i", "j").applyInArrow(_across(percent, m, rows), "a long, b long")
+    return links.unionByName(saved(more, "confirmed"))
+
+
+def _across(percent: int, m: int, rows: int):
+    """Links between two parts of a group (or within one) that join different components; a pair must share a band."""
+    least = percent / 100
+
+    def run(table: pa.Table) -> pa.Table:
+        sketch, a, b = Sketcher(m, rows), [], []
+        n = table.num_rows
+        node, component, part, size = (table.column(c).to_numpy() for c in ("node", "component", "part", "n_shingles"))
+        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(n, m)
+        sets = [np.frombuffer(x.as_buffer(), U) for x in table.column("shingles")]
+        bands = sketch.band_hashes(registers)
+        names, of = np.unique(component, return_inverse=True)
+        inside = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        for x in range(n):
+            other = (of != of[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])) & (bands == bands[x]).any(axis=1)
+            other[: x + 1] = False
+            if not inside:
+                other &= part != part[x]
+            y = np.flatnonzero(other)
+            if not len(y):
+                continue
+            likely = estimate(np.repeat(registers[x : x + 1], len(y), axis=0), registers[y], np.full(len(y), float(size[x])), size[y].astype(float))
+            for z in y[np.argsort(-likely, kind="stable")][: int((likely >= least - margin(least, m)).sum())]:
+                if of[z] != of[x] and _alike(sets[x], sets[z], percent):
+                    a.append(node[x])
+                    b.append(node[z])
+                    of[of == of[z]] = of[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def margin(similarity: float, m: int) -> float:
+    """Five standard errors of the estimate."""
+    return 5 * float(np.sqrt(similarity * (1 - similarity) / m))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return 100 * both >= percent * (x.size + y.size - both)
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,7 +276,7 @@ def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     b = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
     least = percent / 100
     near = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    near = near.mapInArrow(_likely(least - 5 * float(np.sqrt(least * (1 - least) / 128))), "a long, b long").distinct()
+    near = near.mapInArrow(_likely(least - margin(least, 128)), "a long, b long").distinct()
     near = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     near = near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     return near.mapInArrow(_confirmed(percent), "a long, b long").distinct()
