@@ -130,15 +130,15 @@ class LabelModel:
         good = self.shares[0]
         return {r.name: (good * (1 - self.rates[0][j]) + self.shares[j + 1] * self.rates[j + 1][j]) / (good + self.shares[j + 1]) for j, r in enumerate(rules)}
 
-    def posterior(self, votes: list[Column]) -> Column:
-        """Probability that a row is good, from its votes."""
-        likelihoods = []
-        for share, rates in zip(self.shares, self.rates, strict=True):
-            x = F.lit(share)
-            for v, r in zip(votes, rates, strict=True):
-                x = x * F.when(v == 0, r).when(v == 1, 1 - r).otherwise(1.0)
-            likelihoods.append(x)
-        return likelihoods[0] / sum(likelihoods[1:], likelihoods[0])
+    def posterior(self, votes: Column) -> Column:
+        """Probability that a row is good, from its array of votes: a table over all combinations (3 to the number of rules)."""
+        n = len(self.rates[0])
+        combination = np.stack(np.meshgrid(*[np.arange(3)] * n, indexing="ij"), axis=-1).reshape(-1, n)
+        score = np.log(self.shares) + (combination == 0) @ np.log(self.rates).T + (combination == 1) @ np.log1p(-np.array(self.rates)).T
+        q = np.exp(score - score.max(axis=1, keepdims=True))
+        table = F.split(F.lit(",".join(f"{x:.12g}" for x in q[:, 0] / q.sum(axis=1))), ",").cast("array<double>")
+        place = sum((F.element_at(votes, i + 1) * 3 ** (n - 1 - i) for i in range(n)), F.lit(1))
+        return F.element_at(table, place)
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
@@ -197,10 +197,6 @@ def learn(voted: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelModel:
     return fit(np.array([r["votes"] for r in found], int).reshape(len(found), len(rules)), np.array([r["n"] for r in found], float))
 
 
-def posterior(voted: DataFrame, model: LabelModel) -> Column:
-    return model.posterior([F.element_at("votes", i + 1) for i in range(len(model.rates[0]))])
-
-
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, measures, votes, quality, kept``: one row for each row of ``docs``; kept where quality, the posterior, is ``least`` or more.
 
@@ -209,7 +205,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     voted = saved(votes(measured(rows, "text", ("doc_id",)), rules), "votes")
-    q = posterior(voted, learn(voted, rules))
+    q = learn(voted, rules).posterior(F.col("votes"))
     return voted.withColumn("quality", q).withColumn("kept", F.col("quality") >= least)
 
 
@@ -222,4 +218,4 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0
     docs = docs.select(*[f"`{c}`" for c in columns])
     model = learn(votes(measured(docs, text_col, ()), rules), rules)
     voted = votes(measured(docs, text_col), rules)
-    return voted.withColumn("quality", posterior(voted, model)).where(F.col("quality") >= least).select(*[f"`{c}`" for c in columns])
+    return voted.withColumn("quality", model.posterior(F.col("votes"))).where(F.col("quality") >= least).select(*[f"`{c}`" for c in columns])

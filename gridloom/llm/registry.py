@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 
 from gridloom.llm import queries_a, queries_b
 
-QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES}
+QUERIES = {**queries_a.QUERIES, **queries_b.QUERIES, "pipeline": corpus_pipeline.run}
 ORACLES = {**queries_a.ORACLES, **queries_b.ORACLES}

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,7 +171,7 @@ def _removal(window: int, texts_too: bool):
 
 
 def duplicate_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """``doc_id, print, held, starts`` for documents with duplicate windows: the first words of such windows, as ranges
+    """``doc_id, print, held, starts`` (of ``docs`` with doc_id and text) for documents with duplicate windows: the first words of such windows, as ranges
     (start, end, start, end, ...) from the factors and one by one from the check. print is xxhash64 of the text; both
     together name a row. See ``substring_dedup`` for the cases."""
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("print"))
@@ -211,3 +212,35 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     whole = docs.withColumn("print", F.xxhash64("text")).join(found, ["doc_id", "print"], "left").select("doc_id", "text", "held", "starts")
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>" + ", text string, kept_text string" * texts
     return whole.mapInArrow(_removal(window, texts), kind)
+
+
+def _replace(window: int, columns: list[str], text_at: int):
+    """All columns as they are, but words in duplicate windows leave the text."""
+    inner = _removal(window, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ["doc_id", "text", "held", "starts"]
+            job = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)], names)
+            done = pa.Table.from_batches(list(inner(iter([job])))) if batch.num_rows else None
+            if done is None:
+                continue
+            changed = pc.greater(done.column("n_removed"), 0)
+            text = pc.if_else(changed, done.column("kept_text"), batch.column(text_at)).combine_chunks()
+            some = pc.or_(pc.less(done.column("n_removed"), done.column("n_words")), pc.equal(done.column("n_words"), 0)).combine_chunks()
+            out = batch.columns[:-2]
+            out[text_at] = text
+            yield pa.RecordBatch.from_arrays(out, columns).filter(some)
+
+    return run
+
+
+def without_duplicates(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the words that ``substring_dedup`` removes taken out of the text; rows of which no word is left go, all
+    other texts and columns stay as they are. Cases as in ``substring_dedup``."""
+    columns = docs.columns
+    kind = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    found = duplicate_windows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), window)
+    found = found.select(F.col("doc_id").alias("_d"), F.col("print").alias("_p"), F.col("held").alias("_held"), F.col("starts").alias("_starts"))
+    both = kind.join(found, (F.col(id_col).cast("long") == F.col("_d")) & (F.xxhash64(F.col(text_col)) == F.col("_p")), "left")
+    return both.select(*[f"`{c}`" for c in columns], "_held", "_starts").mapInArrow(_replace(window, columns, columns.index(text_col)), kind.schema)
