@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gridloom.plans import field_queries, mesh_queries
+
+QUERIES = {**mesh_queries.QUERIES, **field_queries.QUERIES}
+ORACLES = {**mesh_queries.ORACLES, **field_queries.ORACLES}
 FLAGSHIP = "nearest_active_point"
