@@ -111,8 +111,8 @@ def renumber(nodes: DataFrame, simplices: DataFrame) -> tuple[DataFrame, DataFra
     return n.select(F.col("_new").alias("node_id"), "x"), s.select(F.col("_new").alias("simplex_id"), "v")
 
 
-def refine_once(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, transform: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One pass over edges longer than their limit (nodes have ``limit double``): (nodes, simplices, long edges before).
+def refine_once(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, transform: Callable[[Column], Column] | None = None, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass over edges longer than their limit (nodes have ``limit double``), or all with ``every``: (nodes, simplices, edges split).
 
     An edge's limit is the smaller one of its ends, a midpoint's limit the mean. A triangle with three long edges becomes four; otherwise a
     simplex is bisected at its longest long edge (ties: larger node ids last), and its parts at theirs. The choice depends on the edge
@@ -125,7 +125,7 @@ def refine_once(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, t
         edge_lengths(nodes, pairs, d)
         .join(limit.select(F.col("node_id").alias("a"), F.col("limit").alias("la")), "a")
         .join(limit.select(F.col("node_id").alias("b"), F.col("limit").alias("lb")), "b")
-        .where(F.col("length") > F.least("la", "lb") * (1 + 1e-12))
+        .where(F.lit(every) | (F.col("length") > F.least("la", "lb") * (1 + 1e-12)))
     )
     top = nodes.agg(F.max("node_id").alias("top"))
     long = ranked(long, "rank", ["a", "b"]).crossJoin(F.broadcast(top)).withColumn("mid", F.col("top") + 1 + F.col("rank")).select("a", "b", "length", "la", "lb", "mid")
@@ -167,22 +167,20 @@ def edges_of(simplices: DataFrame, vertices: int) -> DataFrame:
 
 
 def refine(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, most_nodes: int | None = None, levels: int | None = None, transform: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Passes of ``refine_once`` until no edge is longer than twice its limit (or ``levels`` passes), or a pass would pass ``most_nodes``.
+    """Passes of ``refine_once`` until one splits no edge longer than twice its limit (or ``levels`` passes over all edges), or the next would pass ``most_nodes``.
 
     Each pass is checkpointed and its simplices are numbered anew. ``nodes`` has ``limit``.
     """
     done = 0
     while levels is None or done < levels:
-        more, split, long = refine_once(nodes, simplices, vertices, d, transform)
+        more, split, long = refine_once(nodes, simplices, vertices, d, transform, every=levels is not None)
+        long = checkpointed(long)
         more = checkpointed(more)
         if (most_nodes is not None and more.count() > most_nodes) or long.isEmpty():
             break
         nodes = more
         simplices = checkpointed(ranked(split, "rank", ["simplex_id"]).select(F.col("rank").alias("simplex_id"), "v"))
         done += 1
-        limit = nodes.select("node_id", "limit")
-        far = edge_lengths(nodes, edges(simplices, vertices), d)
-        far = far.join(limit.select(F.col("node_id").alias("a"), F.col("limit").alias("la")), "a").join(limit.select(F.col("node_id").alias("b"), F.col("limit").alias("lb")), "b")
-        if levels is None and far.where(F.col("length") > 2 * F.least("la", "lb")).isEmpty():
+        if levels is None and long.where(F.col("length") > 2 * F.least("la", "lb")).isEmpty():
             break
     return nodes.select("node_id", "x"), simplices

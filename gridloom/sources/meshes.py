@@ -162,9 +162,9 @@ def read_msh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     marks = lines.where(F.col("value").isin("$Nodes", "$EndNodes", "$Elements", "$EndElements")).groupBy("file").pivot("value", ["$Nodes", "$EndNodes", "$Elements", "$EndElements"]).agg(F.min("at"))
     part = lines.join(F.broadcast(marks), "file").withColumn("f", F.split("value", r"\s+"))
     nodes = part.where((F.col("at") > F.col("`$Nodes`") + 1) & (F.col("at") < F.col("`$EndNodes`")))
-    nodes = nodes.select(F.get("f", 0).cast("long").alias("node_id"), F.slice("f", 2, 3).cast("array<double>").alias("x"))
+    nodes = nodes.select(F.get("f", 0).try_cast("long").alias("node_id"), F.transform(F.slice("f", 2, 3), lambda c: c.try_cast("double")).alias("x"))
     elements = part.where((F.col("at") > F.col("`$Elements`") + 1) & (F.col("at") < F.col("`$EndElements`")))
-    elements = elements.select(F.get("f", 0).cast("long").alias("simplex_id"), F.get("f", 1).cast("int").alias("kind"), F.expr("slice(f, 4 + cast(f[2] AS int), size(f))").cast("array<long>").alias("v"))
+    elements = elements.select(F.get("f", 0).try_cast("long").alias("simplex_id"), F.get("f", 1).try_cast("int").alias("kind"), F.expr("transform(slice(f, 4 + coalesce(try_cast(get(f, 2) AS int), 0), size(f)), c -> try_cast(c AS bigint))").alias("v"))
     kinds = [r["kind"] for r in elements.where("kind IN (1, 2, 4)").select("kind").distinct().collect()]
     kind = 2 if 2 in kinds or not kinds else min(kinds)
     return nodes, elements.where(F.col("kind") == kind).select("simplex_id", "v")
