@@ -148,7 +148,6 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelMod
     junk; rules vote independently within a class. It starts from rows with bad votes as junk of those kinds, for the
     most part, so that classes keep their names. No rows: the priors alone.
     """
-    patterns = patterns.reshape(len(counts), -1)
     rules = patterns.shape[1]
     total = max(float(counts.sum()), 1.0)
     bad, good = patterns == 0, patterns == 1
