@@ -22,7 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8), the one with the smallest doc_id, and all without a doc_id."""
+    """One document of each group of near-duplicates (five words, 0.8), the one with the smallest doc_id, and all without a doc_id.
+    Rows that share a doc_id are taken for one document: one row of them stays, none if any repeats an earlier document."""
     gone = near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct()
     left = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return left.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 128
     pair at the threshold shares none with probability 1e-6 at most.
 
     Null, empty or word-free text: n_shingles 0, linked with nothing. Null doc_id: component_id null, kept true, linked
-    with nothing. Rows that share a doc_id are one node: they share its links. Columns other than id and text are
+    with nothing. Rows that share a doc_id are judged by their own texts; classes with one smallest doc_id are one node. Columns other than id and text are
     ignored, whatever their names. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
