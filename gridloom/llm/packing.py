@@ -8,10 +8,12 @@ as a bitset per item tried, finds the fill nearest to the capacity; walking the
 
 from __future__ import annotations
 
-import re
+import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -20,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.store import saved
+from gridloom.llm.words import _BYTES, BASES, U, pieces, run_hashes
 
 #: Pieces in a block: its last window is the only one that can lack items to fill it.
 BLOCK = 8192
-_BLANKS = re.compile(r"\s\s")
-_CUTS = re.compile(r"(?<=\S)(?= \S)")
+#: Bytes of text that are encoded in one step.
+PART_BYTES = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -33,33 +36,96 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_set(*members: int | range) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for m in members:
+        out[m if isinstance(m, int) else list(m)] = True
+    return out
+
+
+#: First bytes of characters that are not white space whatever follows: ASCII from "!", and all but four of the longer ones' leads.
+_SOLID_LEAD = _byte_set(range(0x21, 0x7F), range(0xC3, 0xE1), range(0xE4, 0xF5))
+_ASCII_SOLID = _byte_set(range(0x21, 0x7F))
+_LETTER = _byte_set(range(0x41, 0x5B), range(0x61, 0x7B))
+#: Signs that are neither letters, digits nor apostrophes.
+_SIGN = _byte_set(*b'!"#$%&()*+,-./:;<=>?@[]^_`{|}~')
+
+
+def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bytes where texts (UTF-8, at ``offsets`` in ``data``) may be cut without changing their pre-tokens: at their starts, before a single
+    space or around a single line feed between characters that surely are not white space, and between a letter and a sign."""
+    n = len(data)
+    cut = np.zeros(n, bool)
+    if n > 2:
+        # After which byte a solid character has ended: ASCII, or the second byte of two with a lead from C3 on.
+        solid_end = _ASCII_SOLID[data]
+        letter_end = _LETTER[data].copy()
+        two = (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+        solid_end[1:] |= two
+        letter_end[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        between = np.zeros(n, bool)
+        between[1:-1] = solid_end[:-2] & _SOLID_LEAD[data[2:]]
+        line = between & (data == 10)
+        cut |= (between & (data == 32)) | line
+        cut[1:] |= line[:-1] | (letter_end[:-1] & _SIGN[data[1:]])
+        inner = offsets[(offsets > 0) & (offsets < n)]
+        # Neighbours in other texts don't count: what they decided is undone, then each text's start is a cut.
+        cut[inner] = cut[inner - 1] = False
+        cut[np.minimum(inner + 1, n - 1)] &= ~np.isin(np.minimum(inner + 1, n - 1), inner) & ~line[inner]
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. Byte-level pre-tokens never reach over a single space between two
-    other characters, so texts are cut there and each distinct part is encoded once while it stays in memory."""
+    """Ids of texts, each distinct part (see ``part_starts``) being encoded once while it stays in memory. Parts are known by a 64-bit hash and their length."""
 
-    def __init__(self, path: str, room: int = 300_000):
+    def __init__(self, path: str, room: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
         self.room = room
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        if _BLANKS.search(text):
-            return _CUTS.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.parts(t) for t in texts]
-        if len(self.known) > self.room:
-            self.known.clear()
-        new = list({p for ps in parts for p in ps} - self.known.keys())
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ps)) for ps in parts]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids: np.ndarray = np.zeros(0, "<u4")
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each text's first place among them, with the end)."""
+        starts = part_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        hashes = run_hashes(_BYTES[data], starts, ends, BASES[0])
+        if len(self.keys) > self.room:
+            self._forget()
+        part, distinct = pd.factorize(hashes)
+        where = np.empty(len(distinct), np.int64)
+        where[part[::-1]] = np.arange(len(part))[::-1]
+        row = np.searchsorted(self.keys, distinct)
+        known = np.append(self.keys, U(0))[row] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        fresh, where = distinct[~known], where[~known]
+        if len(fresh):
+            raw = data.tobytes()
+            new = [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            at = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))))
+            order = np.argsort(np.concatenate((self.keys, fresh)), kind="stable")
+            self.keys, self.at, self.size = (np.concatenate(x)[order] for x in ((self.keys, fresh), (self.at, at), (self.size, size)))
+        row = np.searchsorted(self.keys, distinct)[part]
+        size = self.size[row]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(self.at[row] - total[:-1], size) + np.arange(total[-1])]
+        return ids, total[np.searchsorted(starts, offsets)]
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker process's encoder for ``path``, kept for its next tasks: functions come with each task, modules stay."""
+    kept = sys.modules.setdefault("_gridloom_encoders", ModuleType("_gridloom_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def _cut(path: str, window: int, end_id: int):
@@ -67,26 +133,21 @@ def _cut(path: str, window: int, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = _encoder(path), np.array([end_id], "<u4")
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            row = 0
-            while row < len(ids):
-                some, size = [], 0
-                while row + len(some) < len(ids) and size < 1 << 20:
-                    some.append(texts[row + len(some)].as_py() or "")
-                    size += len(some[-1])
-                out = defaultdict(list)
-                for i, b in zip(ids[row : row + len(some)], encoder.encode(some), strict=True):
-                    b = memoryview(b + end)
+            keys = batch.column(0).to_pylist()
+            for lo, hi, w in pieces(batch.column(1), PART_BYTES):
+                ids, first = encoder.encode(w.data, w.offsets)
+                out: list[list] = [[], [], [], [], [], []]
+                for i in range(hi - lo):
+                    b = memoryview(np.concatenate((ids[first[i] : first[i + 1]], end)).tobytes())
                     n = len(b) // 4
                     whole = zlib.crc32(b)
                     for start in range(0, n, window):
                         length = min(window, n - start)
-                        for name, x in (("doc_id", i), ("start", start), ("length", length), ("ids_crc32", zlib.crc32(b[4 * start : 4 * (start + length)])), ("doc_tokens", n), ("text_crc32", whole)):
-                            out[name].append(x)
-                row += len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+                        for to, x in zip(out, (keys[lo + i], start, length, zlib.crc32(b[4 * start : 4 * (start + length)]), n, whole), strict=True):
+                            to.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_crc32"])
 
     return run
 
@@ -157,8 +218,8 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: str |
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_crc32"]
-    pieces = saved(docs.mapInArrow(_cut(tokenizer or default_tokenizer(), window, end_id), ", ".join(f"{n} long" for n in names)), "pieces")
-    blocks = max(1, -(-pieces.count() // BLOCK))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "start"), F.lit(blocks)))
+    cut = saved(docs.mapInArrow(_cut(tokenizer or default_tokenizer(), window, end_id), ", ".join(f"{n} long" for n in names)), "pieces")
+    blocks = max(1, -(-cut.count() // BLOCK))
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "start"), F.lit(blocks)))
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("block").applyInPandas(_fill(window), kind)
