@@ -144,7 +144,7 @@ def test_em_recovers_a_law(spark):
 
 
 def test_field_follows_its_covariance(spark):
-    nodes, simplices = meshes.grid(spark, [-0.6, -0.6], [1.6, 1.6], 0.1)
+    nodes, simplices = meshes.grid(spark, [-0.6, -0.6], [1.6, 1.6], 0.4 / 5 / math.sqrt(2))
     model = fields.Matern(1.3, 0.48, 1.0, 2)
     k = fem.system(nodes, simplices, 3, 2, model.mass, model.stiffness)
     lumped = sparse.row_sums(fem.assembled(fem.mass(fem.elements(nodes, simplices, 3, 2), 3)))
@@ -156,8 +156,9 @@ def test_field_follows_its_covariance(spark):
     at = [math.dist(x[f.ids[i]], x[f.ids[centre]]) for i in inside]
     want = [r[0] for r in spark.createDataFrame([(float(a),) for a in at], "d double").select(special.matern_by_range(F.col("d"), 1.3, 0.48)).collect()]
     error = got - np.array(want)
-    assert np.abs(error).mean() < 6e-3 and np.abs(error).max() < 5e-2
-    draws = fields.sample(spark, f, 200, seed=1).groupBy("node_id").agg(F.var_pop("value").alias("v")).agg(F.avg("v")).first()[0]
+    # At a node itself the mesh overstates the variance a little; away from it the errors are a tenth of that.
+    assert np.abs(error).mean() < 5e-3 and np.sqrt((error**2).mean()) < 1e-2 and np.abs(error).max() < 8e-2
+    draws = fields.sample(spark, f, 100, seed=1).groupBy("node_id").agg(F.var_pop("value").alias("v")).agg(F.avg("v")).first()[0]
     assert draws == pytest.approx(float(np.mean([(f.basis[i] * f.scales) @ (f.basis[i] * f.scales) for i in range(len(f.ids))])), rel=0.1)
 
 
