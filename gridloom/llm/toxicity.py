@@ -21,7 +21,7 @@ from gridloom.llm.words import _LOWER, BASES, U, pieces, run_hashes
 
 #: Words are hashed into so many buckets; each category's model takes so many of them; it is fitted on so many documents at most.
 #: A word is taken if its rate among positive documents is so many standard errors off.
-BUCKETS, CHOSEN, SAMPLE, FOLDS, ERRORS = 1 << 20, 400, 20_000, 5, 5.0
+BUCKETS, CHOSEN, SAMPLE, FOLDS, ERRORS = 1 << 20, 150, 10_000, 5, 5.0
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -122,9 +122,10 @@ def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
     """
     y = [F.col(c).cast("double").alias(c) for c in categories]
     named = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("labelled"), *y)
-    rows = docs.join(named, docs["doc_id"] == F.col("labelled")).select("doc_id", *categories, "text")
-    kind = ", ".join(["doc_id long", *(f"{c} double" for c in categories), "words array<int>"])
-    rows = saved(rows.mapInArrow(_features, kind), "labelled")
+    # Words first, join second: the exchange holds sets of buckets, not texts. By merge at every size, as labels grow with documents.
+    words = docs.where("doc_id IS NOT NULL").mapInArrow(_features, "doc_id long, words array<int>")
+    rows = words.join(named.hint("merge"), F.col("doc_id") == F.col("labelled")).select("doc_id", *categories, "words")
+    rows = saved(rows, "labelled")
     sums = [F.sum(F.col(c)).alias(f"p{k}") for k, c in enumerate(categories)] + [F.count(c).alias(f"n{k}") for k, c in enumerate(categories)]
     whole = rows.agg(*sums).first()
     counted = saved(rows.select(*categories, F.explode("words").alias("bucket")).groupBy("bucket").agg(*sums), "word-counts")
