@@ -304,6 +304,7 @@ def score(docs: DataFrame, vocabulary: str | None = None, rounds: int = 2, id_co
     shares = Shares((total["n"] or 0) + sums["ends"], total["v"], sums["ends"], total["once"], total["twice"])
     logs = learn(words, path, rounds)
     words = saved(words.mapInPandas(_marginals(path, logs, shares), "word string, c long, log10 double"), "words").withColumnRenamed("c", "total")
-    found = listed.select("block", "word").distinct().join(words, "word")
+    # A block may list a word twice (see _vocabulary); its dictionary takes either row.
+    found = listed.select("block", "word").join(words, "word")
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scores(shares), kind)
