@@ -295,6 +295,23 @@ def test_chain_learns(spark):
     assert none.count() == 602 and toxicity.toxicity(docs.limit(0), lab).count() == 0
 
 
+def test_chain_uses_words_that_few_labelled_documents_have(spark):
+    """600 toxic words, each in about four labelled documents: none is far off by itself, so none gets a weight of its own."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    pool, plain = [f"bad{k}" for k in range(600)], [f"w{k}" for k in range(400)]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    data, labels = [], []
+    for i in range(1200):
+        words = [*rng.choice(plain, 30), *(rng.choice(pool, 12) if i % 5 == 0 else [])]
+        data.append((i, " ".join(words).translate(letters)))
+        if i < 1000:
+            labels.append((i, 0, int(i % 5 == 0)))
+    docs, lab = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, low_quality int, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.toxicity(docs, lab).collect()}
+    assert np.mean([got[i] for i in range(1000, 1200, 5)]) > 0.9
+    assert np.mean([got[i] for i in range(1000, 1200) if i % 5]) < 0.05
+
+
 def test_chain_feeds_earlier_probabilities():
     rng = np.random.Generator(np.random.PCG64(1))
     x = (rng.random((500, 3)) < 0.4).astype(float)
