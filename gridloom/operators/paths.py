@@ -2,36 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.cut_lineage import checkpointed
 
+#: Nodes are dealt by id into blocks of so many; a round finishes the paths within a block.
+BLOCK = 4096
+
+
+def _block(node: str) -> Column:
+    return F.floor(F.col(node) / BLOCK)
+
+
+def _better(new: tuple[float, int], old: tuple[float, int | None] | None) -> bool:
+    return old is None or new[0] < old[0] - 1e-12 or (new[0] <= old[0] + 1e-12 and old[1] is not None and new[1] < old[1])
+
+
+def _within(known: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+    """What one origin's paths reach from a block's front: nodes in it, with all that follows there, and nodes one link outside."""
+    if known.empty:
+        return pd.DataFrame({"origin": [], "node_id": [], "distance": [], "prior": []}).astype({"origin": "int64", "node_id": "int64", "prior": "int64"})
+    origin, block = int(known["origin"].iloc[0]), int(known["block"].iloc[0])
+    best = {int(n): (float(d), None if pd.isna(p) else int(p)) for n, d, p in zip(known["node_id"], known["distance"], known["prior"], strict=True)}
+    links: dict[int, list[tuple[int, float]]] = {}
+    for a, b, length in zip(near["a"], near["b"], near["length"], strict=True):
+        links.setdefault(int(a), []).append((int(b), float(length)))
+    heap = [(best[int(n)][0], int(n)) for n in known.loc[known["front"], "node_id"]]
+    heapq.heapify(heap)
+    found: set[int] = set()
+    while heap:
+        d, a = heapq.heappop(heap)
+        if d > best[a][0]:
+            continue
+        for b, length in links.get(a, []):
+            if _better((d + length, a), best.get(b)):
+                best[b] = d + length, a
+                found.add(b)
+                if b // BLOCK == block:
+                    heapq.heappush(heap, (d + length, b))
+    return pd.DataFrame([(origin, n, *best[n]) for n in found], columns=["origin", "node_id", "distance", "prior"]).astype({"origin": "int64", "node_id": "int64", "distance": "float64", "prior": "int64"})
+
 
 def shortest_paths(links: DataFrame, origins: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """``origin, node_id, distance, prior``: least sum of ``length`` over undirected links ``a, b, length`` from each origin (``origin``, a node id), and the node
     before on such a path (the least one of equals; null at the origin).
 
-    A round relaxes the links at nodes that got better in the round before: one join and one grouping. It ends when none did.
+    A round takes the blocks that paths came into in the round before, finishes the paths within each (a task has one block's links) and
+    hands on what leaves it. It ends when nothing enters a block: after as many rounds as a path crosses blocks, not nodes.
     """
     both = links.select("a", "b", "length").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
-    both = checkpointed(both.groupBy("a", "b").agg(F.min("length").alias("length")))
-    best = checkpointed(origins.select("origin", F.col("origin").alias("node_id"), F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("prior")).distinct())
-    front = best
+    both = checkpointed(both.groupBy("a", "b").agg(F.min("length").alias("length")).withColumn("block", _block("a")))
+    best = origins.select(F.col("origin").cast("long").alias("origin"), F.col("origin").cast("long").alias("node_id"), F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("prior")).distinct()
+    best = checkpointed(best.withColumn("front", F.lit(True)))
     for _ in range(most_rounds):
-        tried = front.join(both, front["node_id"] == both["a"]).select("origin", F.col("b").alias("node_id"), (F.col("distance") + F.col("length")).alias("distance"), F.col("a").alias("prior"))
+        entered = best.where("front").select("origin", _block("node_id").alias("block")).distinct()
+        known = best.withColumn("block", _block("node_id")).join(entered, ["origin", "block"], "left_semi").groupBy("origin", "block")
+        near = both.join(entered, "block").select(F.col("origin").alias("from"), F.col("block").alias("of"), "a", "b", "length").groupBy("from", "of")
+        tried = known.cogroup(near).applyInPandas(_within, "origin long, node_id long, distance double, prior long")
         tried = tried.groupBy("origin", "node_id").agg(F.min(F.struct("distance", "prior")).alias("new"))
         old = best.select("origin", "node_id", F.struct("distance", "prior").alias("old"))
-        merged = checkpointed(old.join(tried, ["origin", "node_id"], "full_outer"))
+        merged = old.join(tried, ["origin", "node_id"], "full_outer")
         better = F.col("old").isNull() | (F.col("new.distance") < F.col("old.distance") - 1e-12) | ((F.col("new.distance") <= F.col("old.distance") + 1e-12) & (F.col("new.prior") < F.col("old.prior")))
         merged = merged.withColumn("better", F.col("new").isNotNull() & F.coalesce(better, F.lit(False)))
         now = F.when(F.col("better"), F.col("new")).otherwise(F.col("old"))
         best = merged.select("origin", "node_id", now["distance"].alias("distance"), now["prior"].alias("prior"), "better")
-        front = best.where("better").drop("better")
-        best = best.drop("better")
-        if front.isEmpty():
-            break
-    return best
+        best = checkpointed(best.select("origin", "node_id", "distance", "prior", (F.col("better") & (_block("node_id") != _block("prior"))).alias("front")))
+        if best.where("front").isEmpty():
+            return best.drop("front")
+    raise RuntimeError(f"shortest paths are not finished after {most_rounds} rounds")
 
 
 def path_nodes(paths: DataFrame, ends: DataFrame) -> DataFrame:

@@ -138,6 +138,22 @@ def mesh_refine_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return more.select("node_id", F.get("x", 0).alias("x"), F.get("x", 1).alias("y"), r("limit", 9).alias("node_limit"))
 
 
+@query(
+    "+ t AS (SELECT max(node_id) AS top FROM nodes),"
+    " n AS (SELECT *, CASE WHEN (node_id // 16) % 2 = 0 THEN 0.8 ELSE 1.2 END AS lim FROM nodes),"
+    " e AS (SELECT DISTINCT least(p.node_id, q.node_id) AS a, greatest(p.node_id, q.node_id) AS b FROM corners p JOIN corners q USING (simplex_id) WHERE p.place < q.place),"
+    " long AS (SELECT a, b, (s.px + u.px) / 2 AS x, (s.py + u.py) / 2 AS y, (s.lim + u.lim) / 2 AS lim FROM e JOIN n s ON s.node_id = a JOIN n u ON u.node_id = b WHERE sqrt((s.px - u.px) ** 2 + (s.py - u.py) ** 2) > least(s.lim, u.lim))"
+    " SELECT top + row_number() OVER (ORDER BY a, b) AS node_id, x, y, round(lim, 9) AS node_limit FROM long, t"
+    " UNION ALL SELECT node_id, px, py, lim FROM n"
+)
+def mesh_refine_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``mesh_refine_once``, by limits that bind in every column of the mesh."""
+    nodes, simplices = mesh(spark, sf_dir)
+    limited = nodes.withColumn("limit", F.when(F.get("x", 0) % 2 == 0, 0.8).otherwise(1.2))
+    more = topology.refine_once(limited, simplices, 3, 2)[0]
+    return more.select("node_id", F.get("x", 0).alias("x"), F.get("x", 1).alias("y"), r("limit", 9).alias("node_limit"))
+
+
 @query(
     "+ c AS (SELECT max(node_id) + 1 AS stride FROM nodes), s AS (SELECT simplex_id, list_sort(v) AS v, layer FROM simplices, (VALUES (0), (1)) AS l(layer)),"
     " t AS (SELECT (simplex_id * 2 + layer) * 3 + step AS simplex_id, list_concat([i + layer * stride FOR i IN v[1:step + 1]], [i + (layer + 1) * stride FOR i IN v[step + 1:3]]) AS w FROM s, c, (VALUES (0), (1), (2)) AS k(step))"
@@ -286,10 +302,10 @@ def nearest_active_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the whole mesh. The SQL stops at x = 20, and so agrees only on meshes within it."""
     nodes, simplices = mesh(spark, sf_dir)
-    near = nodes.where(F.get("x", 0) <= 20)
-    pairs = topology.edge_lengths(near, topology.edges(simplices, 3), 2)
-    origins = near.agg(F.min("node_id").alias("origin"))
+    pairs = topology.edge_lengths(nodes, topology.edges(simplices, 3), 2)
+    origins = nodes.agg(F.min("node_id").alias("origin"))
     return shortest_paths(pairs, origins).select("origin", "node_id", r("distance").alias("distance"))
 
 

@@ -221,6 +221,47 @@ def test_paths_lead_back(spark):
     assert [r.node_id for r in nodes.collect()] == [3, 2, 1, 0]
 
 
+@pytest.fixture(scope="module")
+def strip(spark, tmp_path_factory):
+    """Lineitems whose mesh is 400 columns wide, with holes: past x = 20, and over several blocks of paths."""
+    at = tmp_path_factory.mktemp("strip")
+    rows = [(20 * ix + 3, 5.0 * iy + 1) for ix in range(400) for iy in range(4) if (ix * 7 + iy * 3) % 11]
+    spark.createDataFrame(rows, "l_partkey long, l_quantity double").coalesce(1).write.parquet(str(at / "lineitem.parquet"))
+    return str(at)
+
+
+def test_shortest_path_reaches_the_whole_mesh(spark, strip):
+    import heapq
+
+    from gridloom.plans.data import mesh
+    from gridloom.plans.mesh_queries import shortest_path
+
+    links = {}
+    for r in mesh(spark, strip)[1].collect():
+        for a in r.v:
+            links.setdefault(a, set()).update(set(r.v) - {a})
+    best, heap = {}, [(0.0, min(links))]
+    while heap:
+        d, a = heapq.heappop(heap)
+        if a not in best:
+            best[a] = d
+            for b in links[a]:
+                if b not in best:
+                    heapq.heappush(heap, (d + math.hypot(a // 16 - b // 16, a % 16 - b % 16), b))
+    got = {r.node_id: r.distance for r in shortest_path(spark, strip).collect()}
+    assert got.keys() == best.keys() and max(got) // 16 == 400
+    assert all(got[n] == pytest.approx(d, abs=1e-5) for n, d in best.items())
+
+
+def test_refinement_splits_edges_in_every_column(spark, strip):
+    from gridloom.plans.data import mesh
+    from gridloom.plans.mesh_queries import mesh_refine_everywhere
+
+    old = {r.node_id for r in mesh(spark, strip)[0].collect()}
+    new = [r for r in mesh_refine_everywhere(spark, strip).collect() if r.node_id not in old]
+    assert {math.floor(r.x) for r in new} >= set(range(400))
+
+
 def test_box_cox_round_trip(spark):
     x = F.lit(2.7)
     row = one(spark, marginals.box_cox_inverse(marginals.box_cox(x, 0.4), 0.4), marginals.box_cox_inverse(marginals.box_cox(x, 0.0), 0.0), (marginals.box_cox(x, 0.4001) - marginals.box_cox(x, 0.3999)) / 0.0002 - marginals.box_cox_slope(x, 0.4))
