@@ -62,7 +62,7 @@ def solve(m: DataFrame, b: DataFrame, tolerance: float = 1e-10, most: int = 1000
     """``i, v`` with m @ x = b for a symmetric positive definite matrix, by conjugate gradients with Jacobi's preconditioner.
 
     Each step is one product and two sums over distributed vectors; the vectors are checkpointed, the driver sees scalars alone. For systems
-    that a single machine cannot hold; ``operators.fields`` has a dense kernel for small ones.
+    that a single machine cannot hold; ``operators.fields`` has a dense kernel for small ones. Raises if ``most`` steps do not reach ``tolerance``.
     """
     m = checkpointed(m)
     state = checkpointed(
@@ -81,4 +81,6 @@ def solve(m: DataFrame, b: DataFrame, tolerance: float = 1e-10, most: int = 1000
         new = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rho")).first()["rho"]
         state = state.withColumn("p", F.col("r") / F.col("d") + (new / rho) * F.col("p"))
         rho = new
+    if rho > tolerance**2 * first:
+        raise RuntimeError(f"conjugate gradients: residual {(rho / first) ** 0.5:.3g} of the first after {most} steps, not {tolerance:g}")
     return state.select("i", F.col("x").alias("v"))

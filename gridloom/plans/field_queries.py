@@ -389,6 +389,6 @@ def grf_posterior_mean_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = locate.observation_weights(points(spark, sf_dir).select("point_id", "x"), nodes, simplices, 3, 2, 1.0, 1e-9)
     normal = fields.normal_equations(w, points(spark, sf_dir))
     m = sparse.add((1.0, fem.system(nodes, simplices, 3, 2, 1.0, 1.0)), (1.0, normal.ata))
-    return sparse.solve(m, normal.aty, tolerance=1e-4, most=12)
+    return sparse.solve(m, normal.aty, tolerance=1e-4)
 
 

@@ -192,6 +192,31 @@ def test_conjugate_gradients(spark):
     assert x == pytest.approx(np.linalg.solve(a, np.arange(8.0)), abs=1e-8)
 
 
+def test_conjugate_gradients_do_not_return_unfinished(spark):
+    """One and the same diagonal, so that the preconditioner does nothing: six nodes in line need more than two steps."""
+    m = spark.createDataFrame([(i, j, 2.0 if i == j else -1.0) for i in range(6) for j in range(6) if abs(i - j) < 2], "i long, j long, v double")
+    y = spark.createDataFrame([(i, float(i == 0)) for i in range(6)], "i long, v double")
+    with pytest.raises(RuntimeError, match="after 2 steps"):
+        sparse.solve(m, y, most=2)
+
+
+def test_iterative_posterior_mean_is_the_dense_one(spark, monkeypatch):
+    from gridloom.plans.field_queries import grf_posterior_mean_iterative
+
+    given = {}
+
+    def solve(m, b, *args, f=sparse.solve, **more):
+        given.update(m=m.toPandas(), b=b.toPandas(), most=more.get("most"))
+        return f(m, b, *args, **more)
+
+    monkeypatch.setattr(sparse, "solve", solve)
+    x = grf_posterior_mean_iterative(spark, "/root/testdata/sf0.001").toPandas().sort_values("i")["v"].to_numpy()
+    m, b = given["m"], given["b"]
+    a = m.pivot_table(index="i", columns="j", values="v", fill_value=0.0).to_numpy()
+    want = np.linalg.solve(a, b.set_index("i")["v"].reindex(sorted(m["i"].unique()), fill_value=0.0).to_numpy())
+    assert given["most"] is None and np.abs(x - want).max() < 1e-3 * np.abs(want).max()
+
+
 def test_spectral_likelihood(spark):
     k = spark.range(24).select((F.col("id") % 4).cast("int").alias("k1"), F.floor(F.col("id") / 4).cast("int").alias("k0"))
     density = fields.spectral_density(k, [6, 4], [2.0, 1.0], 0.8)
