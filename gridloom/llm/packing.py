@@ -26,8 +26,8 @@ from gridloom.llm.words import _BYTES, BASES, U, pieces, run_hashes
 
 #: Pieces in a block: its last window is the only one that can lack items to fill it.
 BLOCK = 8192
-#: Bytes of text that are encoded in one step.
-PART_BYTES = 4 << 20
+#: Bytes of text that are encoded in one step, parts of texts that go to the tokenizer at once, and bytes that known parts may take in a worker.
+PART_BYTES, BATCH, ROOM = 1 << 20, 4096, 16 << 20
 
 
 def default_tokenizer() -> str:
@@ -79,7 +79,7 @@ def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts, each distinct part (see ``part_starts``) being encoded once while it stays in memory. Parts are known by a 64-bit hash and their length."""
 
-    def __init__(self, path: str, room: int = 2_000_000):
+    def __init__(self, path: str, room: int = ROOM):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -96,7 +96,7 @@ class Encoder:
         starts = part_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         hashes = run_hashes(_BYTES[data], starts, ends, BASES[0])
-        if len(self.keys) > self.room:
+        if sum(x.nbytes for x in (self.keys, self.at, self.size, self.ids)) > self.room:
             self._forget()
         part, distinct = pd.factorize(hashes)
         where = np.empty(len(distinct), np.int64)
@@ -106,11 +106,14 @@ class Encoder:
         fresh, where = distinct[~known], where[~known]
         if len(fresh):
             raw = data.tobytes()
-            new = [raw[a:b].decode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
+            spans, sizes, ids = list(zip(starts[where].tolist(), ends[where].tolist(), strict=True)), [], [self.ids]
+            for i in range(0, len(spans), BATCH):  # what the tokenizer says of a part takes far more room than its ids
+                found = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans[i : i + BATCH]], add_special_tokens=False)]
+                sizes.extend(map(len, found))
+                ids.append(np.fromiter(chain.from_iterable(found), "<u4"))
+            size = np.array(sizes, np.int64)
             at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))))
+            self.ids = np.concatenate(ids)
             order = np.argsort(np.concatenate((self.keys, fresh)), kind="stable")
             self.keys, self.at, self.size = (np.concatenate(x)[order] for x in ((self.keys, fresh), (self.at, at), (self.size, size)))
         row = np.searchsorted(self.keys, distinct)[part]

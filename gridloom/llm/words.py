@@ -44,7 +44,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             a[0] = 1
             both.append(np.multiply.accumulate(a))
         up, down = both
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _POWERS[base] = up, down
     return up[:n], down[:n]
 
@@ -80,7 +80,7 @@ class Words:
         return np.diff(self.first)
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20) -> Iterator[tuple[int, int, Words]]:
+def pieces(column: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) of consecutive rows of a string column, with about ``limit`` bytes of text each. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
