@@ -69,5 +69,9 @@ UNION ALL
 SELECT conv_id, turn, conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR, NULL, NULL, 'orphan', '', '{"id":"' || conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR || '","result":' || to_json(text)::VARCHAR || '}'
 FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'assistant') r
 WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.call_id = r.conv_id::VARCHAR || ':' || (r.turn - 1)::VARCHAR)
+UNION ALL
+SELECT conv_id, turn, a.call_id, NULL, NULL, 'extra', '', '{"id":"' || a.call_id || '","result":' || to_json(text)::VARCHAR || '}'
+FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE role = 'assistant') r JOIN answers a ON a.call_id = r.conv_id::VARCHAR || ':' || (r.turn - 1)::VARCHAR
+WHERE EXISTS (SELECT 1 FROM calls c WHERE c.call_id = a.call_id) AND text IS DISTINCT FROM a.a.text
 """,
 }

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from gridloom.llm.store import saved
 
 
+_FORMS = {"integer": r"^-?(0|[1-9][0-9]*)$", "number": r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$"}
+
+
+def _json(text: Column) -> Column:
+    """A string as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("a"))), r'(?s)^\{"a":(.*)\}$', 1)
+
+
 @dataclass(frozen=True)
 class Argument:
     """kind: string, integer, number or boolean; bounds hold for numbers, lengths for strings (in characters)."""
@@ -20,32 +28,54 @@ class Argument:
     least: float | None = None
     most: float | None = None
 
+    def fits(self, value: Column) -> Column:
+        """Is the text a JSON value of this kind? Numbers that no double holds don't fit."""
+        if self.kind == "string":
+            return F.lit(True)
+        fits = value.rlike(_FORMS[self.kind])
+        return fits & (F.abs(value.try_cast("double")) < float("inf")) if self.kind == "number" else fits
+
+    def json(self, value: Column) -> Column:
+        """One form for each value: strings quoted, integers without a negative zero, numbers as Spark writes a double, without a
+        fraction where there is none (below 10^15). What doesn't fit is quoted."""
+        if self.kind == "integer":
+            bare = F.when(value == "-0", "0").otherwise(value)
+        elif self.kind == "number":
+            d = value.try_cast("double")
+            bare = F.when((d == F.floor(d)) & (F.abs(d) < 1e15), d.try_cast("long").cast("string")).otherwise(d.cast("string"))
+        else:
+            bare = value
+        return _json(value) if self.kind == "string" else F.when(self.fits(value), bare).otherwise(_json(value))
+
     def problem(self, arguments: Column) -> Column:
         """What is wrong with the argument in the map ``arguments`` (texts of JSON values), or null."""
         value = F.try_element_at(arguments, F.lit(self.name))
-        patterns = {"integer": r"^-?(0|[1-9][0-9]*)$", "number": r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$", "boolean": "^(true|false)$"}
-        fits = F.lit(True) if self.kind == "string" else value.rlike(patterns[self.kind])
         size = F.char_length(value).cast("double") if self.kind == "string" else value.try_cast("double")
         low = size < self.least if self.least is not None else F.lit(False)
         high = size > self.most if self.most is not None else F.lit(False)
         missing = F.lit(f"{self.name}: missing") if self.required else F.lit(None).cast("string")
         return (
-            F.when(value.isNull(), missing).when(~fits, F.lit(f"{self.name}: not of type {self.kind}")).when(F.coalesce(low, F.lit(False)), F.lit(f"{self.name}: too small")).when(F.coalesce(high, F.lit(False)), F.lit(f"{self.name}: too large"))
+            F.when(value.isNull(), missing).when(~self.fits(value), F.lit(f"{self.name}: not of type {self.kind}")).when(F.coalesce(low, F.lit(False)), F.lit(f"{self.name}: too small")).when(F.coalesce(high, F.lit(False)), F.lit(f"{self.name}: too large"))
         )
 
 
-def _json(text: Column) -> Column:
-    """A string as a JSON string."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("a"))), r'(?s)^\{"a":(.*)\}$', 1)
+def problems(arguments: Column, schema: tuple[Argument, ...]) -> Column:
+    """What is wrong with the arguments, in the schema's order, then those it doesn't name, by name."""
+    own = F.array_compact(F.array(*[a.problem(arguments) for a in schema]))
+    more = F.array_sort(F.array_except(F.map_keys(arguments), F.array(*[F.lit(a.name) for a in schema])))
+    return F.concat(own, F.coalesce(F.transform(more, lambda x: F.concat(x, F.lit(": not in the schema"))), F.array().cast("array<string>")))
 
 
 def canonical(arguments: Column, schema: tuple[Argument, ...]) -> Column:
-    """JSON of the schema's arguments that are there: keys sorted, no blanks, strings quoted and other kinds bare."""
-    parts = []
-    for a in sorted(schema, key=lambda a: a.name):
-        value = F.try_element_at(arguments, F.lit(a.name))
-        parts.append(F.when(value.isNotNull(), F.concat(F.lit(f'"{a.name}":'), _json(value) if a.kind == "string" else value)))
-    return F.concat(F.lit("{"), F.array_join(F.array(*parts), ","), F.lit("}"))
+    """JSON of all arguments: keys in the order of their code points, no blanks; values by the schema (see ``Argument.json``), others quoted."""
+
+    def pair(e: Column) -> Column:
+        value = _json(e["value"])
+        for a in schema:
+            value = F.when(e["key"] == a.name, a.json(e["value"])).otherwise(value)
+        return F.concat(_json(e["key"]), F.lit(":"), value)
+
+    return F.concat(F.lit("{"), F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(arguments)), pair), ","), F.lit("")), F.lit("}"))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -72,31 +102,33 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, tuple[Argument, ...]]) -> DataFrame:
-    """One row for each call, and one for each result without a call.
+    """One row for each call and one for each result that no call's row has.
 
     ``calls``: ``conv_id, turn, call_id, name, arguments`` (map of texts), ``depends_on`` (a call_id or null); ``results``:
     ``conv_id, turn, call_id, content``. Returns ``conv_id, turn, call_id, name, level, status, problems, json``: level gives the
-    topological order (then turn, then call_id); status is answered, unanswered, orphan (a result without a call) or duplicate (a call whose id
-    an earlier turn has); problems lists what the schema of the call's name says against its arguments, ``unknown tool`` for a
-    name without one; json is the canonical form of the call with its result.
-
-    Of calls or results with one id the first counts (least turn, then text); a call repeated in full counts once. Null call_id: the call is
-    unanswered and on level 0; a result with null call_id is an orphan. Null arguments: none. Null name: unknown tool. Other columns are ignored. Empty tables
-    give an empty result.
+    topological order (then turn, then call_id); status is answered, unanswered, duplicate (a call whose id an earlier turn
+    has), orphan (a result without a call) or extra (a further result of a call); problems lists what the schema of the call's name says
+    against its arguments, those it doesn't name included, ``unknown tool`` for a name without one; json is the canonical form of the call
+    with its result, all arguments included.
+
+    Of calls or results with one id the first counts (least turn, then text); a call or result repeated in full counts once. Null call_id: the call is
+    unanswered and on level 0; a result with null call_id is an orphan. Null arguments: none; an argument that is null counts as missing.
+    Null name: unknown tool. Other columns are ignored. Empty tables give an empty result.
     """
-    calls = calls.select("conv_id", "turn", "call_id", "name", F.to_json("arguments").alias("args"), "depends_on").distinct()
+    calls = calls.select("conv_id", "turn", "call_id", "name", F.to_json(F.map_filter("arguments", lambda _, v: v.isNotNull())).alias("args"), "depends_on").distinct()
     calls = saved(calls, "calls")
+    results = results.select("conv_id", "turn", "call_id", "content").distinct()
     first = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("turn", "conv_id", "name", "args", "depends_on")).alias("first"))
-    answer = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("answer"))
+    answer = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("turn", "content", "conv_id")).alias("answer"))
     order = levels(calls.select("call_id", "depends_on"))
     linked = calls.join(first, "call_id", "left").join(answer, "call_id", "left").join(order, "call_id", "left")
     same = F.struct("turn", "conv_id", "name", "args", "depends_on").eqNullSafe(F.col("first"))
     status = F.when(F.col("call_id").isNotNull() & ~same, "duplicate").when(F.col("answer").isNull(), "unanswered").otherwise("answered")
     linked = linked.withColumn("status", status).withColumn("arguments", F.from_json("args", "map<string,string>"))
-    problems, body = F.array(F.lit("unknown tool")), F.lit("{}")
+    found, body = F.array(F.lit("unknown tool")), canonical(F.col("arguments"), ())
     for name, schema in schemas.items():
         here = F.col("name") == name
-        problems = F.when(here, F.array_compact(F.array(*[a.problem(F.col("arguments")) for a in schema]))).otherwise(problems)
+        found = F.when(here, problems(F.col("arguments"), schema)).otherwise(found)
         body = F.when(here, canonical(F.col("arguments"), schema)).otherwise(body)
     fields = [
         F.concat(F.lit('"arguments":'), body),
@@ -105,11 +137,13 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, tuple[Ar
         F.when((F.col("status") == "answered") & F.col("answer.content").isNotNull(), F.concat(F.lit('"result":'), _json(F.col("answer.content")))),
     ]
     linked = linked.select(
-        "conv_id", "turn", "call_id", "name", F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level")).alias("level"), "status", F.array_join(problems, "; ").alias("problems"), F.concat(F.lit("{"), F.array_join(F.array(*fields), ","), F.lit("}")).alias("json")
+        "conv_id", "turn", "call_id", "name", F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level")).alias("level"), "status", F.array_join(found, "; ").alias("problems"), F.concat(F.lit("{"), F.array_join(F.array(*fields), ","), F.lit("}")).alias("json")
     )
-    stray = results.select(F.col("call_id"), "turn", "content", "conv_id").distinct().join(first.select("call_id"), "call_id", "left_anti")
+    met = results.join(first.select("call_id", F.lit(True).alias("called")), "call_id", "left").join(answer, "call_id", "left")
+    shown = F.struct("turn", "content", "conv_id").eqNullSafe(F.col("answer"))
+    stray = met.where(F.col("called").isNull() | ~shown)
     form = F.array_join(F.array(F.when(F.col("call_id").isNotNull(), F.concat(F.lit('"id":'), _json(F.col("call_id")))), F.when(F.col("content").isNotNull(), F.concat(F.lit('"result":'), _json(F.col("content"))))), ",")
     stray = stray.select(
-        "conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.lit("orphan").alias("status"), F.lit("").alias("problems"), F.concat(F.lit("{"), form, F.lit("}")).alias("json")
+        "conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.when(F.col("called"), "extra").otherwise("orphan").alias("status"), F.lit("").alias("problems"), F.concat(F.lit("{"), form, F.lit("}")).alias("json")
     )
     return linked.unionByName(stray)
