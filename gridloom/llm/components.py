@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import saved
+from gridloom.llm.store import Rounds
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,14 +20,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ``links``: two columns of longs; direction, repeats and loops don't matter, rows with a null are left out.
     Nodes without a link to another node are not returned. Each round is one aggregation and one join by node in both
     directions; minima are combined before the shuffle, and links stay distributed throughout. Every round's links are
-    written to the shared folder, so that a lost executor costs one round at most.
+    written to the shared folder, so that a lost executor costs one round at most, and take the place of those before.
     """
     edges = (
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .distinct()
     )
-    edges = saved(edges, "links")
+    rounds = Rounds(links.sparkSession, "links")
+    edges = rounds.put(edges)
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -36,7 +37,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = saved(small, "links")
+        edges = rounds.put(small)
         after = _state(edges)
         if after == before:
             break

@@ -171,16 +171,16 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelMod
 
 
 def measured(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all by default) with the struct column ``measures`` of ``FEATURES``; a column of that name gives way."""
-    keep = tuple(c for c in (docs.columns if keep is None else keep) if c != "measures")
-    kind = docs.select(*[f"`{c}`" for c in keep]).schema.add("measures", StructType([StructField(f, LongType()) for f in FEATURES]))
-    both = docs.select(*[f"`{c}`" for c in keep], F.col(text_col).cast("string").alias("_text_to_measure"))
+    """``row, measures``: the columns ``keep`` of ``docs`` (all by default) as one struct, whatever their names, and ``FEATURES`` as another."""
+    row = docs.select(*[f"`{c}`" for c in (docs.columns if keep is None else keep)])
+    kind = StructType([StructField("row", row.schema), StructField("measures", StructType([StructField(f, LongType()) for f in FEATURES]))])
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in row.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = measure(batch.column(batch.num_columns - 1))
+            m = measure(batch.column(1))
             struct = pa.StructArray.from_arrays([pa.array(m[f], pa.int64()) for f in FEATURES], list(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], struct], [*keep, "measures"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), struct], ["row", "measures"])
 
     return both.mapInArrow(run, kind)
 
@@ -203,18 +203,16 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5
     each count. Other columns are ignored. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    voted = saved(votes(measured(rows, "text", ("doc_id",)), rules), "votes")
+    voted = saved(votes(measured(rows, "text", ("doc_id",)), rules).select("row.doc_id", "measures", "votes"), "votes")
     q = learn(voted, rules).posterior(F.col("votes"))
     return voted.withColumn("quality", q).withColumn("kept", F.col("quality") >= least)
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns (but one named ``measures``, ``votes`` or ``quality``, if there is any, which gives way).
+    """The rows of ``docs`` that are kept, with all their columns.
 
     Measures twice rather than moving texts: once for the label model, once to filter. No shuffle but that of the counts.
     """
-    columns = [c for c in docs.columns if c not in ("measures", "votes", "quality")]
-    docs = docs.select(*[f"`{c}`" for c in columns])
-    model = learn(votes(measured(docs, text_col, ()), rules), rules)
-    voted = votes(measured(docs, text_col), rules)
-    return voted.withColumn("quality", model.posterior(F.col("votes"))).where(F.col("quality") >= least).select(*[f"`{c}`" for c in columns])
+    texts = docs.select(F.lit(True).alias("any"), F.col(f"`{text_col}`").alias("text"))
+    model = learn(votes(measured(texts, "text", ("any",)), rules), rules)
+    return votes(measured(docs, text_col), rules).where(model.posterior(F.col("votes")) >= least).select("row.*")

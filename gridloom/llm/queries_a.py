@@ -18,7 +18,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), k=3, percent=85)
+    return near_duplicates(documents(spark, sf_dir), k=3, percent=85).drop("print")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

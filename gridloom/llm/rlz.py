@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from gridloom.llm.store import saved
 from gridloom.llm.words import BASES, U, Words, pieces, run_hashes, signed
@@ -214,33 +215,30 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     return whole.mapInArrow(_removal(window, texts), kind)
 
 
-def _replace(window: int, columns: list[str], text_at: int):
-    """All columns as they are, but words in duplicate windows leave the text."""
+def _replace(window: int, text_at: int):
+    """Rows as they are, but words in duplicate windows leave the text."""
     inner = _removal(window, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = ["doc_id", "text", "held", "starts"]
-            job = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)], names)
-            done = pa.Table.from_batches(list(inner(iter([job])))) if batch.num_rows else None
-            if done is None:
+            if not batch.num_rows:
                 continue
-            changed = pc.greater(done.column("n_removed"), 0)
-            text = pc.if_else(changed, done.column("kept_text"), batch.column(text_at)).combine_chunks()
+            parts = batch.column("row").flatten()
+            job = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), parts[text_at], batch.column("held"), batch.column("starts")], ["doc_id", "text", "held", "starts"])
+            done = pa.Table.from_batches(list(inner(iter([job]))))
+            parts[text_at] = pc.if_else(pc.greater(done.column("n_removed"), 0), done.column("kept_text"), parts[text_at]).combine_chunks()
             some = pc.or_(pc.less(done.column("n_removed"), done.column("n_words")), pc.equal(done.column("n_words"), 0)).combine_chunks()
-            out = batch.columns[:-2]
-            out[text_at] = text
-            yield pa.RecordBatch.from_arrays(out, columns).filter(some)
+            row = pa.StructArray.from_arrays(parts, fields=list(batch.schema.field("row").type))
+            yield pa.RecordBatch.from_arrays([row], ["row"]).filter(some)
 
     return run
 
 
 def without_duplicates(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the words that ``substring_dedup`` removes taken out of the text; rows of which no word is left go, all
-    other texts and columns stay as they are. Cases as in ``substring_dedup``."""
-    columns = docs.columns
-    kind = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    found = duplicate_windows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), window)
-    found = found.select(F.col("doc_id").alias("_d"), F.col("print").alias("_p"), F.col("held").alias("_held"), F.col("starts").alias("_starts"))
-    both = kind.join(found, (F.col(id_col).cast("long") == F.col("_d")) & (F.xxhash64(F.col(text_col)) == F.col("_p")), "left")
-    return both.select(*[f"`{c}`" for c in columns], "_held", "_starts").mapInArrow(_replace(window, columns, columns.index(text_col)), kind.schema)
+    other texts and columns stay as they are, whatever their names. Cases as in ``substring_dedup``."""
+    kind = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    keyed = kind.select(F.struct(*[F.col(f"`{c}`") for c in kind.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = duplicate_windows(keyed.select("doc_id", "text"), window)
+    both = keyed.withColumn("print", F.xxhash64("text")).drop("text").join(found, ["doc_id", "print"], "left").select("row", "held", "starts")
+    return both.mapInArrow(_replace(window, kind.columns.index(text_col)), StructType([StructField("row", kind.schema)])).select("row.*")

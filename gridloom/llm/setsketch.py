@@ -103,16 +103,16 @@ def _sketches(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketcher(m, 1)
         for batch in batches:
-            ids, n, one, two, regs = batch.column(0), [], [], [], []
-            for _, s in shingle_sets(batch.column(1), k):
+            n, one, two, regs = [], [], [], []
+            for _, s in shingle_sets(batch.column(2), k):
                 n.append(len(s))
                 total = s.sum(dtype=U), np.bitwise_xor.reduce(mix(s)) if len(s) else U(0)
                 one.append(int(signed(mix(np.array([total[0] + U(len(s))], U)))[0]))
                 two.append(int(signed(np.array([total[1]], U))[0]))
                 regs.append(sketch.registers(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.binary())],
-                ["doc_id", "n_shingles", "f1", "f2", "registers"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(regs, pa.binary())],
+                ["doc_id", "print", "n_shingles", "f1", "f2", "registers"],
             )
 
     return run
@@ -169,7 +169,7 @@ def _confirmed(percent: int):
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: one row for each row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, print``: one row for each row of ``docs``; print is xxhash64 of the text.
 
     Links join documents whose sets of ``k``-word shingles (A-Z as a-z) have 100 * intersection >= ``percent`` * union;
     component_id is the smallest doc_id reachable, kept marks the row that stays (doc_id = component_id).
@@ -186,18 +186,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 128
     ignored, whatever their names. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = saved(docs.mapInArrow(_sketches(k, m), "doc_id long, n_shingles long, f1 long, f2 long, registers binary"), "sketches")
+    kind = "doc_id long, print long, n_shingles long, f1 long, f2 long, registers binary"
+    sketches = saved(docs.select("doc_id", F.xxhash64("text").alias("print"), "text").mapInArrow(_sketches(k, m), kind), "sketches")
     of = ["n_shingles", "f1", "f2"]
     classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(of).agg(F.min(F.struct("doc_id", "registers")).alias("first"))
     classes = saved(classes.select(*of, F.col("first.doc_id").alias("node"), "first.registers"), "classes")
     found = components(_links(docs, classes, k, percent, m))
     member = (
-        sketches.select("doc_id", *of)
+        sketches.select("doc_id", "print", *of)
         .join(classes.select(*of, "node"), of, "left")
         .join(found, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+        .select("doc_id", "print", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
     )
-    return member.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return member.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "print")
 
 
 def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, m: int) -> DataFrame:
