@@ -21,26 +21,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, print, source``: documents as one struct, whatever their columns, with what names a text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), F.col("source").cast("string").alias("source"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8), the one with the smallest doc_id, and all without a doc_id.
-    Rows that share a doc_id are taken for one document: one row of them stays, none if any repeats an earlier document."""
-    gone = near_duplicates(docs, k=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    left = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return left.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+    Texts that share a doc_id are judged each by itself. Of rows with one doc_id and one text one stays: the one whose columns
+    have the least hash.
+    """
+    stay = near_duplicates(docs, k=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id", "print").distinct()
+    rows = _keyed(docs)
+    order = F.xxhash64(*[F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    named = rows.where("doc_id IS NOT NULL").join(stay, ["doc_id", "print"], "left_semi").groupBy("doc_id", "print").agg(F.min_by("row", order).alias("row"))
+    return named.select("row").unionByName(rows.where("doc_id IS NULL").select("row")).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words that a document with a smaller doc_id has too; n_chars follows the text."""
     left = without_duplicates(docs, window=50)
-    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix of sources takes."""
-    plan = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("print").alias("_p"), F.col("source").alias("_s"), "copies")
-    own = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s"))
-    taken = docs.join(plan, own).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*docs.columns)
+    plan = mix(docs).where("copies > 0").select(F.struct("doc_id", "print", "source").alias("key"), "copies")
+    taken = _keyed(docs).select("row", F.struct("doc_id", "print", "source").alias("key")).join(plan, "key")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
