@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import saved
+from gridloom.llm.store import in_batches, saved
 from gridloom.llm.words import U, mix
 
 #: Bytes of text in a chunk, and characters of words in one step of the recursion.
@@ -298,7 +298,7 @@ def score(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id"
     path = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)).alias("held_out"), "text")
-    chunks = saved(rows.mapInArrow(_chunks, _ROWS), "chunks")
+    chunks = saved(in_batches(rows, _chunks, _ROWS), "chunks")
     listed = chunks.where("word IS NOT NULL").select("chunk", "place", "word", "c")
     words = listed.groupBy("word").agg(F.sum("c").alias("total")).mapInPandas(_marginals(path, vocabulary_logs(path)), "word string, total long, log double")
     words = saved(words, "words")

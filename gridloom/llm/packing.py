@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import saved
+from gridloom.llm.store import in_batches, saved
 from gridloom.llm.words import _BYTES, BASES, U, pieces, run_hashes
 
 #: Pieces in a block: its last window is the only one that can lack items to fill it.
@@ -221,7 +221,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: str |
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_crc32"]
-    cut = saved(docs.mapInArrow(_cut(tokenizer or default_tokenizer(), window, end_id), ", ".join(f"{n} long" for n in names)), "pieces")
+    cut = saved(in_batches(docs, _cut(tokenizer or default_tokenizer(), window, end_id), ", ".join(f"{n} long" for n in names)), "pieces")
     blocks = max(1, -(-cut.count() // BLOCK))
     dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "start"), F.lit(blocks)))
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

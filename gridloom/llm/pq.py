@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.store import saved
+from gridloom.llm.store import in_batches, saved
 
 #: Vectors that the index is fitted on at most; vectors in a part of a list: two parts meet in one task.
 SAMPLE, PART = 20_000, 2048
@@ -177,7 +177,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
     of = ["label", "vector"]
     classes = saved(rows.where("fine").groupBy(of).agg(F.min("vec_id").alias("node"), F.count("*").alias("n")), "classes")
-    packed = saved(classes.withColumn("dim", F.size("vector")).mapInArrow(_pack, "node long, label string, dim int, n long, vector binary"), "vectors")
+    packed = saved(in_batches(classes.withColumn("dim", F.size("vector")), _pack, "node long, label string, dim int, n long, vector binary"), "vectors")
     radius = float(np.sqrt(2 - 2 * least))
     count = packed.count()
     indexes: dict[int, Index] = {}

@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from gridloom.llm.store import saved
+from gridloom.llm.store import in_batches, saved
 from gridloom.llm.words import BASES, _BYTES, U, mix, pieces, run_hashes
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bangs", "n_marks")
@@ -174,15 +174,18 @@ def measured(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] | No
     """``row, measures``: the columns ``keep`` of ``docs`` (all by default) as one struct, whatever their names, and ``FEATURES`` as another."""
     row = docs.select(*[f"`{c}`" for c in (docs.columns if keep is None else keep)])
     kind = StructType([StructField("row", row.schema), StructField("measures", StructType([StructField(f, LongType()) for f in FEATURES]))])
-    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in row.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    # A text that is in the row as it is goes to the workers once.
+    at = row.columns.index(text_col) if text_col in row.columns and docs.schema[text_col].dataType == StringType() else None
+    own = [F.col(f"`{text_col}`").cast("string").alias("text")] if at is None else []
+    both = docs.select(F.struct(*[F.col(f"`{c}`") for c in row.columns]).alias("row"), *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = measure(batch.column(1))
+            m = measure(batch.column(1) if at is None else batch.column(0).field(at))
             struct = pa.StructArray.from_arrays([pa.array(m[f], pa.int64()) for f in FEATURES], list(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), struct], ["row", "measures"])
 
-    return both.mapInArrow(run, kind)
+    return in_batches(both, run, kind)
 
 
 def votes(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from gridloom.llm.store import saved
+from gridloom.llm.store import in_batches, saved
 from gridloom.llm.words import BASES, U, Words, pieces, run_hashes, signed
 
 
@@ -176,7 +176,7 @@ def duplicate_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     (start, end, start, end, ...) from the factors and one by one from the check. print is xxhash64 of the text; both
     together name a row. See ``substring_dedup`` for the cases."""
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("print"))
-    anchors = docs.mapInArrow(_anchors(window), "anchor long, doc_id long, print long, spot long")
+    anchors = in_batches(docs, _anchors(window), "anchor long, doc_id long, print long, spot long")
     index = (
         anchors.groupBy("anchor")
         .agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("last"), F.min_by("spot", "doc_id").alias("of_spot"))
@@ -187,7 +187,7 @@ def duplicate_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     found = found.agg(F.collect_list(F.struct("anchor", "of", "of_spot")).alias("x"))
     found = found.select("doc_id", "print", F.col("x.anchor").alias("anchors"), F.col("x.of").alias("of"), F.col("x.of_spot").alias("spots"))
     kind = "doc_id long, print long, held array<int>, h1 array<long>, h2 array<long>, starts array<int>"
-    parsed = saved(docs.join(found, ["doc_id", "print"]).mapInArrow(_parse(window), kind), "parsed")
+    parsed = saved(in_batches(docs.join(found, ["doc_id", "print"]), _parse(window), kind), "parsed")
     left = parsed.select("doc_id", "print", F.explode(F.arrays_zip("h1", "h2", "starts")).alias("w")).select("doc_id", "print", "w.*")
     least = left.groupBy("h1", "h2").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("last")).where("of < last").select("h1", "h2", "of")
     checked = left.join(least, ["h1", "h2"]).where("of < doc_id").groupBy("doc_id", "print").agg(F.collect_set("starts").alias("starts"))
@@ -212,7 +212,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     found = duplicate_windows(docs, window)
     whole = docs.withColumn("print", F.xxhash64("text")).join(found, ["doc_id", "print"], "left").select("doc_id", "text", "held", "starts")
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>" + ", text string, kept_text string" * texts
-    return whole.mapInArrow(_removal(window, texts), kind)
+    return in_batches(whole, _removal(window, texts), kind)
 
 
 def _replace(window: int, text_at: int):
@@ -241,4 +241,4 @@ def without_duplicates(docs: DataFrame, window: int = 50, id_col: str = "doc_id"
     keyed = kind.select(F.struct(*[F.col(f"`{c}`") for c in kind.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     found = duplicate_windows(keyed.select("doc_id", "text"), window)
     both = keyed.withColumn("print", F.xxhash64("text")).drop("text").join(found, ["doc_id", "print"], "left").select("row", "held", "starts")
-    return both.mapInArrow(_replace(window, kind.columns.index(text_col)), StructType([StructField("row", kind.schema)])).select("row.*")
+    return in_batches(both, _replace(window, kind.columns.index(text_col)), StructType([StructField("row", kind.schema)])).select("row.*")

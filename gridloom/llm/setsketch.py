@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.components import components
-from gridloom.llm.store import saved
+from gridloom.llm.store import in_batches, saved
 from gridloom.llm.words import U, mix, pieces, run_hashes, signed
 
 BASE = 1.001
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 128
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = "doc_id long, print long, n_shingles long, f1 long, f2 long, registers binary"
-    sketches = saved(docs.select("doc_id", F.xxhash64("text").alias("print"), "text").mapInArrow(_sketches(k, m), kind), "sketches")
+    sketches = saved(in_batches(docs.select("doc_id", F.xxhash64("text").alias("print"), "text"), _sketches(k, m), kind), "sketches")
     of = ["n_shingles", "f1", "f2"]
     classes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(of).agg(F.min(F.struct("doc_id", "registers")).alias("first"))
     classes = saved(classes.select(*of, F.col("first.doc_id").alias("node"), "first.registers"), "classes")
@@ -204,13 +204,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 128
 def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int, m: int) -> DataFrame:
     """Confirmed links ``a, b`` between representatives: enough of them for the components of all links."""
     rows = band_rows(m, percent / 100)
-    buckets = saved(classes.select("node", "registers").mapInArrow(_buckets(m, rows), "bucket long, node long"), "buckets")
+    buckets = saved(in_batches(classes.select("node", "registers"), _buckets(m, rows), "bucket long, node long"), "buckets")
     lead = buckets.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("bucket", "lead")
     shared = saved(buckets.join(lead, "bucket").select("bucket", "node", "lead").distinct(), "buckets")
     wanted = shared.select("node").distinct()
-    sets = saved(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi").mapInArrow(_sets(k), "node long, shingles binary").where("length(shingles) > 0"), "sets")
+    sets = saved(in_batches(docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi"), _sets(k), "node long, shingles binary").where("length(shingles) > 0"), "sets")
     stars = saved(shared.where("node != lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
-    links = saved(_confirm(stars, classes, sets, percent), "confirmed")
+    links = saved(_confirm(stars, classes, sets, percent, m), "confirmed")
     # What is left: buckets whose nodes are in several components. Nodes that such buckets join make up a group.
     found = components(links)
     state = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
@@ -271,13 +271,13 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (x.size + y.size - both)
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
     """The pairs that the registers' estimate leaves (threshold less five standard errors) and the full sets confirm."""
     a = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     b = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
     least = percent / 100
     near = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    near = near.mapInArrow(_likely(least - margin(least, 128)), "a long, b long").distinct()
+    near = in_batches(near, _likely(least - margin(least, m)), "a long, b long").distinct()
     near = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     near = near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return near.mapInArrow(_confirmed(percent), "a long, b long").distinct()
+    return in_batches(near, _confirmed(percent), "a long, b long").distinct()

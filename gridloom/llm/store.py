@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+#: Bytes of an Arrow batch: a worker's memory follows them, not the lengths of texts.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def in_batches(df: DataFrame, run: Callable, kind: str | StructType) -> DataFrame:
+    """``df.mapInArrow(run, kind)`` with batches of ``BATCH_BYTES`` about. Spark bounds them by rows alone unless told otherwise; where the session
+    has no ``spark.sql.execution.arrow.maxBytesPerBatch``, it is set."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, kind)
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

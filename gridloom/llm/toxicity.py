@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.store import saved
+from gridloom.llm.store import in_batches, saved
 from gridloom.llm.words import _LOWER, BASES, U, pieces, run_hashes
 
 #: Words are hashed into so many buckets; each category's model has a weight of its own for so many of them; it is fitted on so many documents at most.
@@ -136,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
     y = [F.col(c).cast("double").alias(c) for c in categories]
     named = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("labelled"), *y)
     # Words first, join second: the exchange holds sets of buckets, not texts. By merge at every size, as labels grow with documents.
-    words = docs.where("doc_id IS NOT NULL").mapInArrow(_features, "doc_id long, words array<int>")
+    words = in_batches(docs.where("doc_id IS NOT NULL"), _features, "doc_id long, words array<int>")
     rows = words.join(named.hint("merge"), F.col("doc_id") == F.col("labelled")).select("doc_id", *categories, "words")
     rows = saved(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "labelled")
     kinds = range(len(categories))
@@ -200,4 +200,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = (
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chain = learn(rows, labels, categories)
     kind = ", ".join(["doc_id long", *(f"p_{c} double" for c in categories)])
-    return rows.mapInArrow(_predict(chain), kind).withColumn(verdict, F.col(f"p_{verdict}") >= least)
+    return in_batches(rows, _predict(chain), kind).withColumn(verdict, F.col(f"p_{verdict}") >= least)
