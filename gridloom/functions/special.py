@@ -17,8 +17,8 @@ QUANTILE_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02
 QUANTILE_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
 QUANTILE_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
 QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
-#: Trapezoid for the Bessel function: step and number of points after 0.
-STEP, POINTS = 0.05, 240
+#: The Bessel function: terms of the series up to 2, points of the trapezoid beyond.
+TERMS, POINTS = 14, 20
 
 
 def _horner(x: Column, coefficients: tuple[float, ...]) -> Column:
@@ -71,11 +71,63 @@ def normal_quantile(p: Column) -> Column:
     )
 
 
+def _near_zero(mu: float) -> tuple[list[float], ...]:
+    """Coefficients in (x / 2)^2 of what multiplies f_0, p_0 and q_0 in Temme's series for K_mu and for x K_(mu+1) / 2, |mu| <= 1/2.
+
+    f_k = (k f_(k-1) + p_(k-1) + q_(k-1)) / (k^2 - mu^2), p_k = p_(k-1) / (k - mu), q_k = q_(k-1) / (k + mu) are linear in their first
+    members; K_mu sums f_k and x K_(mu+1) / 2 sums p_k - k f_k, each over (x / 2)^(2k) / k!.
+    """
+    f, p, q = (1.0, 0.0, 0.0), 1.0, 1.0
+    sums: tuple[list[float], ...] = ([], [], [], [], [], [])
+    for k in range(TERMS + 1):
+        if k:
+            f = (k * f[0] / (k * k - mu * mu), (k * f[1] + p) / (k * k - mu * mu), (k * f[2] + q) / (k * k - mu * mu))
+            p, q = p / (k - mu), q / (k + mu)
+        for i, c in enumerate((*f, -k * f[0], p - k * f[1], -k * f[2])):
+            sums[i].append(c / math.factorial(k))
+    return sums
+
+
+def _bessel_near_zero(order: float, x: Column) -> Column:
+    """exp(x) K_order(x) for 0 < x <= 2: Temme's series at the order's fraction, then upward recurrence."""
+    up = math.floor(order + 0.5)
+    mu = order - up
+    if abs(mu) < 1e-4:  # Euler's constant and the next term of 1 / Gamma's series
+        g1 = -(0.5772156649015329 - 0.0420026350340952 * mu * mu)
+    else:
+        g1 = (1 / math.gamma(1 - mu) - 1 / math.gamma(1 + mu)) / (2 * mu)
+    g2 = (1 / math.gamma(1 - mu) + 1 / math.gamma(1 + mu)) / 2
+    log = F.log(2 / x)
+    s = mu * log
+    ratio = F.lit(1.0) if mu == 0 else F.when(F.abs(s) < 1e-5, 1 + s * s / 6).otherwise(F.sinh(s) / s)
+    angle = math.pi * mu
+    f0 = (angle / math.sin(angle) if mu else 1.0) * (g1 * F.cosh(s) + g2 * ratio * log)
+    p0, q0 = 0.5 * math.gamma(1 + mu) * F.exp(s), 0.5 * math.gamma(1 - mu) * F.exp(-s)
+    sums, z = _near_zero(mu), x * x / 4
+    low, high = (sum((c * _horner(z, tuple(t[::-1])) for c, t in zip((f0, p0, q0), part, strict=True)), F.lit(0.0)) for part in (sums[:3], sums[3:]))
+    high = high * 2 / x
+    for k in range(1, up):
+        low, high = high, low + (2 * (mu + k) / x) * high
+    return F.exp(x) * (low if up == 0 else high)
+
+
+def _bessel_far(order: float, x: Column) -> Column:
+    """exp(x) K_order(x) for x >= 2: trapezoid of exp(-x (cosh t - 1)) cosh(order t), up to where that is below exp(-38)."""
+    y = (38 + 2 * order * order) / x
+    step = F.log(1 + y + F.sqrt(y * (y + 2))) / POINTS
+    points = F.array(*[F.lit(float(k)) for k in range(1, POINTS + 1)])
+    total = F.aggregate(F.transform(points, lambda k: k * step), F.lit(0.5), lambda s, t: s + F.exp(-x * (F.cosh(t) - 1)) * F.cosh(t * order))
+    return step * total
+
+
 def scaled_bessel_k(order: float, x: Column) -> Column:
-    """exp(x) K_order(x) for x > 0: trapezoid of exp(-x (cosh t - 1)) cosh(order t) on [0, 12]; null otherwise."""
-    total = F.lit(0.5)
-    total = total + F.aggregate(F.sequence(F.lit(1), F.lit(POINTS)), F.lit(0.0), lambda s, k: s + F.exp(-x * (F.cosh(k * STEP) - 1)) * F.cosh(k * (STEP * order)))
-    return F.when(x > 0, STEP * total)
+    """exp(x) K_order(x) for x > 0, null otherwise; order >= 0. Half-integer orders are finite sums."""
+    half = order - 0.5
+    if half == int(half):
+        n = int(half)
+        inner = _horner(1 / x, tuple(math.factorial(n + k) / (math.factorial(k) * math.factorial(n - k) * 2.0**k) for k in range(n, -1, -1)))
+        return F.when(x > 0, F.sqrt(math.pi / (2 * x)) * inner)
+    return F.when(x > 2, _bessel_far(order, x)).when(x > 0, _bessel_near_zero(order, x))
 
 
 def log_bessel_k(order: float, x: Column) -> Column:

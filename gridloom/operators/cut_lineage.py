@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """``df`` written to ``spark.checkpoint.dir``. Where that is unset: a temporary folder if Spark runs in this process alone, else an error,
+    as other machines could not read it."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

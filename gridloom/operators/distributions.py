@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.marginals import CAP, nig_by_moments, nig_gauss, nig_log_pdf
 
-_T = np.arange(0, 241) * 0.05
-_W = np.where(_T == 0, 0.5, 1.0) * 0.05
-
-
 def bessel_ratio_terms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """exp(x) K_0(x), exp(x) K_1(x), exp(x) K_2(x) by the trapezoid of the integral representation, for all x at once."""
-    decay = np.exp(-x[:, None] * (np.cosh(_T) - 1)) * _W
-    return decay.sum(1), decay @ np.cosh(_T), decay @ np.cosh(2 * _T)
+    """exp(x) K_0(x), exp(x) K_1(x), exp(x) K_2(x) for all x > 0 at once: trapezoids of exp(-x (cosh t - 1)) cosh(order t), up to
+    where that is below exp(-40)."""
+    out = np.zeros((3, len(x)))
+    for near, points in ((x < 1, 96), (x >= 1, 24)):
+        at = np.flatnonzero(near)
+        if len(at):
+            y = x[at, None]
+            step = np.arccosh(1 + (40 + 2 * np.log1p(40 / y) * (y < 1) + 8) / y) / points
+            t = step * np.arange(points + 1)
+            decay = np.exp(-y * (np.cosh(t) - 1)) * step
+            decay[:, 0] /= 2
+            cosh = np.cosh(t)
+            out[:, at] = decay.sum(1), (decay * cosh).sum(1), (decay * (2 * cosh * cosh - 1)).sum(1)
+    return out[0], out[1], out[2]
 
 
 def log_density(y: np.ndarray, alpha: float, beta: float, mu: float, delta: float) -> np.ndarray:
@@ -131,7 +138,8 @@ def fit_em(data: DataFrame, by: str, value: str, rounds: int = 50, tolerance: fl
 
 class Lookup:
     """Distribution function and quantiles of a NIG law from a table: Simpson sums of the density on a grid of sinh spacing, cubic Hermite
-    interpolation with the density as slope, exponential tails beyond a probability of 1e-12."""
+    interpolation with the density as slope. Beyond the table (a probability of about 1e-14 on either side) tails are density over slope of its
+    logarithm, kept as logarithms, so that no score is infinite."""
 
     def __init__(self, alpha: float, beta: float, mu: float, delta: float, knots: int = 2001):
         self.params = alpha, beta, mu, delta
@@ -140,51 +148,96 @@ class Lookup:
         else:
             gamma = math.sqrt(alpha * alpha - beta * beta)
             mean, sd = mu + delta * beta / gamma, math.sqrt(delta * alpha * alpha / gamma**3)
+        self.sd = sd
         reach = 10.0
         while max(log_density(np.array([mean - reach * sd, mean + reach * sd]), *self.params)) + math.log(sd) > -34 and reach < 1e5:
             reach *= 1.5
-        u = np.linspace(-1, 1, knots)
+        u = np.linspace(-1, 1, 2 * knots - 1)
         stretch = math.asinh(reach)
-        self.x = mean + sd * np.sinh(u * stretch)
-        fine = mean + sd * np.sinh(np.linspace(-1, 1, 2 * knots - 1) * stretch)
-        slope = sd * np.cosh(np.linspace(-1, 1, 2 * knots - 1) * stretch) * stretch
+        fine = mean + sd * np.sinh(u * stretch)
+        self.x = fine[::2]
         pdf = np.exp(log_density(fine, *self.params))
-        g = pdf * slope
-        h = 2 / (knots - 1)
-        steps = h / 6 * (g[:-2:2] + 4 * g[1:-1:2] + g[2::2])
-        self.density = pdf[::2]
-        self.scale = steps.sum()
-        self.cdf_knots = np.concatenate(([0.0], np.cumsum(steps))) / self.scale
-        self.density = self.density / self.scale
-
-    def cdf(self, y: np.ndarray) -> np.ndarray:
+        g = pdf * sd * np.cosh(u * stretch) * stretch
+        steps = (2 / (knots - 1)) / 6 * (g[:-2:2] + 4 * g[1:-1:2] + g[2::2])
+        ends = np.exp(self._log_tail(self.x[[0, -1]], np.array([-1, 1])))
+        self.scale = ends.sum() + steps.sum()
+        self.density = pdf[::2] / self.scale
+        #: At the knots: probability below, and above.
+        self.below = (ends[0] + np.concatenate(([0.0], np.cumsum(steps)))) / self.scale
+        self.above = (ends[1] + np.concatenate((np.cumsum(steps[::-1])[::-1], [0.0]))) / self.scale
+
+    def _log_tail(self, y: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """Log of the probability beyond ``y`` (below for side -1, above for 1), far out."""
+        e = 1e-3 * self.sd
+        slope = (log_density(y - e, *self.params) - log_density(y + e, *self.params)) / (2 * e)
+        return log_density(y, *self.params) - np.log(np.maximum(side * slope, 1e-12 / self.sd))
+
+    def log_tails(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logs of the probabilities below and above."""
         i = np.clip(np.searchsorted(self.x, y) - 1, 0, len(self.x) - 2)
         h = self.x[i + 1] - self.x[i]
         t = np.clip((y - self.x[i]) / h, 0, 1)
-        c0, c1, d0, d1 = self.cdf_knots[i], self.cdf_knots[i + 1], self.density[i] * h, self.density[i + 1] * h
-        return np.clip(c0 + t * (d0 + t * (3 * (c1 - c0) - 2 * d0 - d1 + t * (2 * (c0 - c1) + d0 + d1))), 0, 1)
+        d0, d1 = self.density[i] * h, self.density[i + 1] * h
+
+        def between(c: np.ndarray, sign: int) -> np.ndarray:
+            c0, c1, e0, e1 = c[i], c[i + 1], sign * d0, sign * d1
+            v = c0 + t * (e0 + t * (3 * (c1 - c0) - 2 * e0 - e1 + t * (2 * (c0 - c1) + e0 + e1)))
+            return np.log(np.clip(v, np.minimum(c0, c1), np.maximum(c0, c1)))
+
+        low, high = between(self.below, 1), between(self.above, -1)
+        out = y < self.x[0]
+        if out.any():
+            low[out] = self._log_tail(y[out], np.full(out.sum(), -1)) - math.log(self.scale)
+        out = y > self.x[-1]
+        if out.any():
+            high[out] = self._log_tail(y[out], np.full(out.sum(), 1)) - math.log(self.scale)
+        return low, high
 
-    def quantile(self, p: np.ndarray) -> np.ndarray:
-        """Bisection on the table's function, to the last bit of the knots' interval."""
-        i = np.clip(np.searchsorted(self.cdf_knots, p) - 1, 0, len(self.x) - 2)
-        low, high = self.x[i].copy(), self.x[i + 1].copy()
-        for _ in range(60):
-            mid = (low + high) / 2
-            below = self.cdf(mid) < p
-            low, high = np.where(below, mid, low), np.where(below, high, mid)
-        out = (low + high) / 2
-        return np.where((p <= 0) | (p >= 1), np.where(p <= 0, -np.inf, np.inf), out)
+    def cdf(self, y: np.ndarray) -> np.ndarray:
+        low, high = self.log_tails(y)
+        return np.where(low <= high, np.exp(low), -np.expm1(high))
+
+    def from_tails(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The values whose probabilities below and above have these logs; bisection, to the last bit of the knots' interval or of the tail."""
+        left = low <= high
+        wanted = np.where(left, low, high)
+        a, b = np.full(len(low), self.x[0]), np.full(len(low), self.x[-1])
+        finite = np.isfinite(wanted)
+        for _ in range(80):  # tails end where the wanted logarithm is passed
+            la, hb = self.log_tails(a)[0], self.log_tails(b)[1]
+            more_a, more_b = left & finite & (la > wanted), ~left & finite & (hb > wanted)
+            if not (more_a | more_b).any():
+                break
+            a, b = np.where(more_a, a - 2 * (self.x[-1] - a), a), np.where(more_b, b + 2 * (b - self.x[0]), b)
+        for _ in range(70):
+            mid = (a + b) / 2
+            la, hb = self.log_tails(mid)
+            under = np.where(left, la < wanted, hb > wanted)
+            a, b = np.where(under, mid, a), np.where(under, b, mid)
+        return np.where(finite, (a + b) / 2, np.where(np.isnan(wanted), np.nan, np.where(left, -np.inf, np.inf)))
 
+    def quantile(self, p: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return self.from_tails(np.log(p), np.log1p(-p))
 
-def _normal_cdf(x: np.ndarray) -> np.ndarray:
-    return np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
 
+def _normal_log_below(z: np.ndarray) -> np.ndarray:
+    """Log of the standard normal's distribution function; the asymptotic series from -30 down."""
+    square = np.maximum(z * z, 1.0)
+    far = -square / 2 - np.log(np.maximum(-z, 1.0)) - 0.5 * math.log(2 * math.pi) + np.log1p(-1 / square + 3 / square**2)
+    near = np.array([math.log(0.5 * math.erfc(-max(v, -30.0) / math.sqrt(2))) if v == v else math.nan for v in z])
+    return np.where(z < -30, far, near)
 
-def _normal_quantile(p: np.ndarray) -> np.ndarray:
-    from statistics import NormalDist
 
-    law = NormalDist()
-    return np.array([law.inv_cdf(v) if 0 < v < 1 else (-math.inf if v <= 0 else math.inf) for v in p])
+def _normal_score(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The standard normal's value whose probabilities below and above have these logs: by bisection on the smaller one."""
+    least = np.minimum(low, high)
+    a, b = -np.sqrt(np.maximum(-2 * least, 0)) - 1, np.zeros(len(least))
+    for _ in range(60):
+        mid = (a + b) / 2
+        under = _normal_log_below(mid) < least
+        a, b = np.where(under, mid, a), np.where(under, b, mid)
+    return np.where(low <= high, 1, -1) * (a + b) / 2
 
 
 def _transform(kind: str):
@@ -194,12 +247,13 @@ def _transform(kind: str):
             out = np.full(len(batch), np.nan)
             keys = batch[["alpha", "beta", "mu", "delta"]]
             for key, rows in batch.groupby([keys[c] for c in keys], sort=False).indices.items():
-                table = tables.setdefault(key, None) or tables.__setitem__(key, Lookup(*key)) or tables[key]
-                y = batch["y"].to_numpy(float)[rows]
+                if key not in tables:
+                    tables[key] = Lookup(*key)
+                table, y = tables[key], batch["y"].to_numpy(float)[rows]
                 if kind == "to_gauss":
-                    out[rows] = _normal_quantile(table.cdf(y))
+                    out[rows] = _normal_score(*table.log_tails(y))
                 elif kind == "from_gauss":
-                    out[rows] = table.quantile(_normal_cdf(y))
+                    out[rows] = table.from_tails(_normal_log_below(y), _normal_log_below(-y))
                 else:
                     out[rows] = table.cdf(y) if kind == "cdf" else table.quantile(y)
             yield batch.assign(out=out)[["id", "out"]]

@@ -71,32 +71,57 @@ def squared_distance(a: Column, b: Column, d: int) -> Column:
     return sum((F.pow(x - y, F.lit(2.0)) for x, y in zip(parts(a, d), parts(b, d), strict=True)), F.lit(0.0))
 
 
+#: Bins of a level make one of the next; sites of a list that one point is compared with in a row.
+FAN, LIST = 4, 256
+
+
+def _in_reach(p0: DataFrame, s0: DataFrame, d: int, levels: int) -> DataFrame:
+    """``p, s``: for each bin of ``p0`` the bins of ``s0`` that can hold the nearest site of a point in it (columns ``bin``).
+
+    From the coarsest level, where all bins are neighbours, down: a pair of bins gives the pairs of their occupied parts, and a bin keeps those
+    whose least distance is at most the smallest of the largest distances.
+    """
+
+    def level(bins: DataFrame, k: int, name: str, above: str) -> DataFrame:
+        up = lambda n: F.transform("bin", lambda b: F.floor(b / float(FAN**n)))
+        return bins.select(up(k).alias(name), up(k + 1).alias(above)).distinct()
+
+    around = _bins([F.get("p", i) - 1 for i in range(d)], [F.get("p", i) + 1 for i in range(d)], 1.0)
+    pairs = level(p0, levels, "p", "_").select("p", F.explode(around).alias("s")).join(level(s0, levels, "s", "_").select("s"), "s")
+    for k in range(levels - 1, -1, -1):
+        both = pairs.select(F.col("p").alias("pa"), F.col("s").alias("sa")).join(level(p0, k, "p", "pa"), "pa").join(level(s0, k, "s", "sa"), "sa")
+        away = [F.abs(F.get("p", i) - F.get("s", i)).cast("double") for i in range(d)]
+        least = sum((F.pow(F.greatest(a - 1, F.lit(0.0)), F.lit(2.0)) for a in away), F.lit(0.0))
+        bound = F.min(sum((F.pow(a + 1, F.lit(2.0)) for a in away), F.lit(0.0))).over(Window.partitionBy("p"))
+        pairs = both.select("p", "s", least.alias("least"), bound.alias("bound")).where("least <= bound").select("p", "s")
+    return pairs
+
+
 def nearest(points: DataFrame, sites: DataFrame, d: int, width: float) -> DataFrame:
     """``point_id, site_id, distance``: each point's nearest site (least site_id on ties); without sites no rows.
 
-    Points meet the sites of their own bin and those next to it (3**d bins, an equi-join; least distances are combined before the shuffle). A point is settled when its best
-    distance is at most the bins' width; the others go on with bins four times as wide, until bins are as wide as the whole. ``width`` should be about the distance between
-    sites, so that most points settle in the first round.
+    Work on pairs is done for occupied bins of ``width``, not for points: which bins of sites can hold the nearest one of some point in a bin is found level by
+    level (see ``_in_reach``). Points then meet their bin's sites by one equi-join, in lists of about ``LIST`` sites at most, and
+    only best ones are combined. Sites at one place are one site. ``width`` should be about the distance between sites. Points and sites with a null or NaN
+    coordinate are left out.
     """
     x = parts(F.col("x"), d)
-    box = points.select("x").unionByName(sites.select("x")).agg(*[(F.max(c) - F.min(c)).alias(f"e{i}") for i, c in enumerate(x)]).first()
-    extent = max([e or 0.0 for e in box], default=0.0)
-    open_, done = points.select("point_id", "x"), None
-    while True:
-        last = width > extent
-        listed = sites.select("site_id", F.col("x").alias("y"), F.array(*[F.floor(c / width) for c in x]).alias("bin"))
-        asked = open_.select("point_id", "x", F.explode(_bins([c - width for c in x], [c + width for c in x], width)).alias("bin"))
-        best = asked.join(listed, "bin").groupBy("point_id").agg(F.min(F.struct(squared_distance(F.col("x"), F.col("y"), d).alias("d2"), F.col("site_id"))).alias("best"))
-        settled = best if last else best.where(F.col("best.d2") <= width**2)
-        settled = checkpointed(settled)
-        done = settled if done is None else done.unionByName(settled)
-        if last:
-            break
-        open_ = open_.join(settled.select("point_id"), "point_id", "left_anti")
-        if open_.isEmpty():
-            break
-        width *= 4
-    return done.select("point_id", F.col("best.site_id").alias("site_id"), F.sqrt(F.col("best.d2")).alias("distance"))
+    whole = " AND ".join(f"get(x, {i}) IS NOT NULL AND NOT isnan(get(x, {i}))" for i in range(d))
+    bin_ = F.array(*[F.floor(c / width) for c in x])
+    points = points.where(whole).select("point_id", "x", bin_.alias("bin"))
+    merged = sites.where(whole).groupBy("x").agg(F.min("site_id").alias("site_id")).select("site_id", F.col("x").alias("y"), bin_.alias("bin"))
+    p0, s0 = checkpointed(points.select("bin").distinct()), checkpointed(merged.select("bin").distinct())
+    ends = p0.unionByName(s0).agg(*[(F.max(F.get("bin", i)) - F.min(F.get("bin", i))).alias(f"e{i}") for i in range(d)]).first()
+    extent, levels = max([e or 0 for e in ends]), 0
+    while FAN**levels <= extent:
+        levels += 1
+    reach = checkpointed(_in_reach(p0, s0, d, levels))
+    found = reach.join(merged.withColumnRenamed("bin", "s"), "s").select("p", "site_id", "y")
+    parts_ = F.ceil(F.count("*").over(Window.partitionBy("p")) / LIST)
+    lists = found.withColumn("list", F.pmod(F.xxhash64("site_id"), parts_)).groupBy("p", "list").agg(F.collect_list(F.struct("site_id", "y")).alias("sites"))
+    best = F.array_min(F.transform("sites", lambda s: F.struct(squared_distance(F.col("x"), s["y"], d).alias("d2"), s["site_id"].alias("site_id"))))
+    met = points.join(lists.withColumnRenamed("p", "bin"), "bin").select("point_id", best.alias("best")).groupBy("point_id").agg(F.min("best").alias("best"))
+    return met.select("point_id", F.col("best.site_id").alias("site_id"), F.sqrt(F.col("best.d2")).alias("distance"))
 
 
 def nearest_of_few(points: DataFrame, sites: DataFrame, distance, most: int = 10_000) -> DataFrame:

@@ -100,13 +100,13 @@ def _angle(a, b):
     return geometry.great_circle(parts(a, 3), parts(b, 3), normalise=False)
 
 
-@query(f"WITH {_CUSTOMERS}, {_SUPPLIERS} SELECT id, round(min(acos(greatest(-1, least(1, p.x * sp.x + p.y * sp.y + p.z * sp.z)))), 6) + 0.0 AS distance FROM p, sp GROUP BY id")
+@query(f"WITH {_CUSTOMERS}, {_SUPPLIERS} , d AS (SELECT id, min(struct_pack(d := round((p.x - sp.x) ** 2 + (p.y - sp.y) ** 2 + (p.z - sp.z) ** 2, 13), b := b_id)) AS m FROM p, sp GROUP BY id) SELECT id, m.b AS site_id, round(2 * asin(least(1, sqrt(m.d) / 2)), 6) + 0.0 AS distance FROM d")
 def nearest_on_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest places by bins in space: chords order as angles do."""
     v = geometry.lonlat_to_xyz(F.col("lon"), F.col("lat"))
     left = _customers(spark, sf_dir).select(F.col("id").alias("point_id"), F.array(*v).alias("x"))
     near = locate.nearest(left, _supplier_places(spark, sf_dir, "site_id"), 3, 0.1)
-    return near.select(F.col("point_id").alias("id"), r(2 * F.asin(F.least(F.lit(1.0), F.col("distance") / 2))).alias("distance"))
+    return near.select(F.col("point_id").alias("id"), "site_id", r(2 * F.asin(F.least(F.lit(1.0), F.col("distance") / 2))).alias("distance"))
 
 
 @query(f"WITH {_SUPPLIERS}, n AS (SELECT n_nationkey AS n_id, {PLACE_SQL.format(k='n_nationkey::BIGINT * 1009')} FROM nation), np AS (SELECT n_id, cos(radians(lon)) * cos(radians(lat)) AS x, sin(radians(lon)) * cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM n) SELECT b_id AS a_id, n_id AS b_id, round(acos(greatest(-1, least(1, np.x * sp.x + np.y * sp.y + np.z * sp.z))), 6) + 0.0 AS distance FROM sp, np")
@@ -129,16 +129,19 @@ def matern_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("id", *[r(special.matern_by_range(F.col("d"), v, 0.48), 9).alias(n) for v, n in ((0.5, "half"), (1.5, "three"), (2.5, "five"))])
 
 
-def _bessel_sql(order: str, x: str) -> str:
-    return f"0.05 * (0.5 + list_sum([exp(-({x}) * (cosh(t * 0.05::DOUBLE) - 1)) * cosh({order} * t * 0.05::DOUBLE) FOR t IN range(1, 241)]))"
+def _bessel_sql(order: float, x: str) -> str:
+    """exp(x) K_order(x) by another integral than the library's: sqrt(pi / 2x) / Gamma(order + 1/2) times that of exp(-s) s^(order - 1/2) (1 + s / 2x)^(order - 1/2),
+    over s = exp(u - exp(-u))."""
+    each = f"exp(-exp(u - exp(-u)) + (u - exp(-u)) * {order + 0.5}::DOUBLE) * (1 + exp(-u)) * (1 + exp(u - exp(-u)) / (2 * ({x}))) ** {order - 0.5}::DOUBLE"
+    return f"(sqrt(pi() / (2 * ({x}))) / gamma({order + 0.5}::DOUBLE) / 16 * list_sum([{each} FOR u IN [k / 16.0::DOUBLE FOR k IN range(-72, 73)]]))"
 
 
-@query(f"WITH {_H}, k AS (SELECT id, d * sqrt(8 * 1.3::DOUBLE) / 0.48 AS x FROM h WHERE id % 8 = id % 8) SELECT id, round(CASE WHEN x < 1e-8 THEN 1 ELSE 2 ** (1 - 1.3::DOUBLE) / gamma(1.3::DOUBLE) * x ** 1.3::DOUBLE * {_bessel_sql('1.3::DOUBLE', 'x')} * exp(-x) END, 8) AS correlation FROM k")
+@query(f"WITH {_H}, k AS (SELECT id, d * sqrt(8 * 1.3::DOUBLE) / 0.48 AS x FROM h) SELECT id, round(CASE WHEN x < 1e-8 THEN 1 ELSE 2 ** (1 - 1.3::DOUBLE) / gamma(1.3::DOUBLE) * x ** 1.3::DOUBLE * {_bessel_sql(1.3, 'x')} * exp(-x) END, 8) AS correlation FROM k")
 def matern_general(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("id", r(special.matern_by_range(F.col("d"), 1.3, 0.48), 8).alias("correlation"))
 
 
-@query(f"WITH {_H} SELECT id, round(CASE WHEN 2 * d < 1e-8 THEN 0 ELSE -d * 2 ** (1 - 1.5::DOUBLE) / gamma(1.5::DOUBLE) * (2 * d) ** 1.5::DOUBLE * {_bessel_sql('0.5', '2 * d')} * exp(-2 * d) END, 8) + 0.0 AS by_kappa FROM h")
+@query(f"WITH {_H} SELECT id, round(CASE WHEN 2 * d < 1e-8 THEN 0 ELSE -d * 2 ** (1 - 1.5::DOUBLE) / gamma(1.5::DOUBLE) * (2 * d) ** 1.5::DOUBLE * {_bessel_sql(0.5, '2 * d')} * exp(-2 * d) END, 8) + 0.0 AS by_kappa FROM h")
 def matern_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).select("id", r(special.matern_derivatives(F.col("d"), 1.5, F.lit(2.0))[1], 8).alias("by_kappa"))
 
@@ -216,7 +219,7 @@ _LAW = "2.0::DOUBLE AS alpha, 0.6::DOUBLE AS beta, 4.0::DOUBLE AS mu, 15.0::DOUB
 
 @query(
     f"WITH s AS (SELECT event_id, (value - 4) / 15 AS x FROM events), q AS (SELECT *, sqrt(1 + x * x) AS q FROM s)"
-    f" SELECT event_id, round(ln(30 / pi()) + sqrt(900 - 81.0::DOUBLE) + 9 * x - ln(q) + ln({_bessel_sql('1', '30 * q')}) - 30 * q - ln(15.0::DOUBLE), 6) + 0.0 AS log_density,"
+    f" SELECT event_id, round(ln(30 / pi()) + sqrt(900 - 81.0::DOUBLE) + 9 * x - ln(q) + ln({_bessel_sql(1.0, '30 * q')}) - 30 * q - ln(15.0::DOUBLE), 6) + 0.0 AS log_density,"
     " round(ln(30 / pi()) + sqrt(900 - 81.0::DOUBLE) + 9 * x - ln(q) + 0.5 * ln(pi() / (60 * q)) - 30 * q - ln(15.0::DOUBLE), 6) + 0.0 AS tail FROM q"
 )
 def nig_log_density(spark: SparkSession, sf_dir: str) -> DataFrame:

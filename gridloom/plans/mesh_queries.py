@@ -195,12 +195,13 @@ def observation_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "+ moved AS (SELECT ((l_orderkey * 8 + l_linenumber) * 67108864 + l_partkey * 1024 + l_suppkey % 1024) * 64 + l_quantity::BIGINT AS point_id, floor(l_partkey / 20.0)::BIGINT AS ix, floor((l_quantity + 2.5) / 5.0)::BIGINT AS iy FROM lineitem)"
-    " SELECT point_id FROM moved m WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.ix = m.ix AND c.iy = m.iy) AND point_id NOT IN ("
-    " SELECT point_id FROM (SELECT ((l_orderkey * 8 + l_linenumber) * 67108864 + l_partkey * 1024 + l_suppkey % 1024) * 64 + l_quantity::BIGINT AS point_id, l_partkey / 20.0::DOUBLE AS x, (l_quantity + 2.5) / 5.0::DOUBLE AS y FROM lineitem) p JOIN cells c ON x BETWEEN c.ix AND c.ix + 1 AND y BETWEEN c.iy AND c.iy + 1)"
+    "+ moved AS (SELECT ((l_orderkey * 8 + l_linenumber) * 67108864 + l_partkey * 1024 + l_suppkey % 1024) * 64 + l_quantity::BIGINT AS point_id, l_partkey / 20.0::DOUBLE AS x, l_quantity / 5.0::DOUBLE + 2.5 AS y FROM lineitem),"
+    " near AS (SELECT point_id, (floor(x) - dx)::BIGINT AS ix, (floor(y) - dy)::BIGINT AS iy, x - (floor(x) - dx) AS u, y - (floor(y) - dy) AS w FROM moved, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dx, dy))"
+    " SELECT point_id FROM moved WHERE point_id NOT IN (SELECT point_id FROM near JOIN cells USING (ix, iy) WHERE u <= 1 + 1e-9 AND w <= 1 + 1e-9)"
 )
 def unlocated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = points(spark, sf_dir).withColumn("x", F.array(F.get("x", 0), F.get("x", 1) + 0.5))
+    """Lineitems moved half a mesh cell and two more up, so that some are beyond the mesh."""
+    moved = points(spark, sf_dir).withColumn("x", F.array(F.get("x", 0), F.get("x", 1) + 2.5))
     return locate.located(moved, *mesh(spark, sf_dir), 3, 2, 1.0, 1e-9).where("simplex_id IS NULL").select("point_id")
 
 
@@ -290,19 +291,20 @@ def normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT ((l_orderkey * 8 + l_linenumber) * 67108864 + l_partkey * 1024 + l_suppkey % 1024) * 64 + l_quantity::BIGINT AS point_id, round(min(sqrt((l_partkey / 20.0::DOUBLE - (s_suppkey % 400)) ** 2 + (l_quantity / 5.0::DOUBLE - (s_suppkey * 7) % 11) ** 2)), 6) AS distance"
-    " FROM lineitem, supplier GROUP BY 1",
+    "WITH s AS (SELECT min(s_suppkey) AS id, (s_suppkey % 400)::DOUBLE AS x, ((s_suppkey * 7) % 11)::DOUBLE AS y FROM supplier GROUP BY 2, 3),"
+    " d AS (SELECT ((l_orderkey * 8 + l_linenumber) * 67108864 + l_partkey * 1024 + l_suppkey % 1024) * 64 + l_quantity::BIGINT AS point_id, min(struct_pack(d := (l_partkey / 20.0::DOUBLE - x) ** 2 + (l_quantity / 5.0::DOUBLE - y) ** 2, id := id)) AS b FROM lineitem, s GROUP BY 1)"
+    " SELECT point_id, b.id AS site_id, round(sqrt(b.d), 6) AS distance FROM d",
     with_mesh=False,
 )
 def nearest_active_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: each lineitem's distance to the nearest supplier's place, by grid bins."""
+    """The flagship: each lineitem's nearest supplier and its distance, by grid bins; the least supplier on ties."""
     sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site_id"), F.array((F.col("s_suppkey") % 400).cast("double"), (F.col("s_suppkey") * 7 % 11).cast("double")).alias("x"))
-    return locate.nearest(points(spark, sf_dir).select("point_id", "x"), sites, 2, 2.0).select("point_id", r("distance").alias("distance"))
+    return locate.nearest(points(spark, sf_dir).select("point_id", "x"), sites, 2, 2.0).select("point_id", "site_id", r("distance").alias("distance"))
 
 
 @query()
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the whole mesh. The SQL stops at x = 20, and so agrees only on meshes within it."""
+    """From the first node to all nodes of the mesh."""
     nodes, simplices = mesh(spark, sf_dir)
     pairs = topology.edge_lengths(nodes, topology.edges(simplices, 3), 2)
     origins = nodes.agg(F.min("node_id").alias("origin"))
@@ -311,11 +313,10 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["shortest_path"] = (
     "WITH RECURSIVE " + MESH_SQL + ","
-    " near AS (SELECT * FROM nodes WHERE px <= 20),"
     " e AS (SELECT DISTINCT p.node_id AS a, q.node_id AS b FROM corners p JOIN corners q USING (simplex_id) WHERE p.node_id <> q.node_id),"
-    " l AS (SELECT a, b, sqrt((s.px - t.px) ** 2 + (s.py - t.py) ** 2) AS d FROM e JOIN near s ON s.node_id = a JOIN near t ON t.node_id = b),"
-    " o AS (SELECT min(node_id) AS origin FROM near),"
+    " l AS (SELECT a, b, sqrt((s.px - t.px) ** 2 + (s.py - t.py) ** 2) AS d FROM e JOIN nodes s ON s.node_id = a JOIN nodes t ON t.node_id = b),"
+    " o AS (SELECT min(node_id) AS origin, 2 * max(px) + 64 AS most FROM nodes),"
     " walk(node_id, distance, k) AS (SELECT origin, 0.0::DOUBLE, 0 FROM o UNION ALL"
-    " SELECT b, distance, k + 1 FROM (SELECT b, min(distance + d) AS distance, any_value(k) AS k FROM walk JOIN l ON a = node_id GROUP BY b) WHERE k < 45)"
+    " SELECT b, distance, k + 1 FROM (SELECT b, min(distance + d) AS distance, any_value(k) AS k FROM walk JOIN l ON a = node_id GROUP BY b) WHERE k < (SELECT most FROM o))"
     " SELECT origin, node_id, round(min(distance), 6) AS distance FROM walk, o GROUP BY 1, 2"
 )
