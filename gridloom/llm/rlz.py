@@ -176,12 +176,14 @@ def duplicate_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     (start, end, start, end, ...) from the factors and one by one from the check. print is xxhash64 of the text; both
     together name a row. See ``substring_dedup`` for the cases."""
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("print"))
-    anchors = in_batches(docs, _anchors(window), "anchor long, doc_id long, print long, spot long")
-    index = (
+    anchors = saved(in_batches(docs, _anchors(window), "anchor long, doc_id long, print long, spot long"), "anchors")
+    # Written before it is joined with what it was counted from: Spark can then split a frequent anchor's rows among tasks. So are the windows below.
+    index = saved(
         anchors.groupBy("anchor")
         .agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("last"), F.min_by("spot", "doc_id").alias("of_spot"))
         .where("of < last")
-        .select("anchor", "of", "of_spot")
+        .select("anchor", "of", "of_spot"),
+        "index",
     )
     found = anchors.drop("spot").join(index, "anchor").groupBy("doc_id", "print")
     found = found.agg(F.collect_list(F.struct("anchor", "of", "of_spot")).alias("x"))
@@ -189,7 +191,7 @@ def duplicate_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     kind = "doc_id long, print long, held array<int>, h1 array<long>, h2 array<long>, starts array<int>"
     parsed = saved(in_batches(docs.join(found, ["doc_id", "print"]), _parse(window), kind), "parsed")
     left = parsed.select("doc_id", "print", F.explode(F.arrays_zip("h1", "h2", "starts")).alias("w")).select("doc_id", "print", "w.*")
-    least = left.groupBy("h1", "h2").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("last")).where("of < last").select("h1", "h2", "of")
+    least = saved(left.groupBy("h1", "h2").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("last")).where("of < last").select("h1", "h2", "of"), "shared-windows")
     checked = left.join(least, ["h1", "h2"]).where("of < doc_id").groupBy("doc_id", "print").agg(F.collect_set("starts").alias("starts"))
     held = parsed.where("size(held) > 0").groupBy("doc_id", "print").agg(F.first("held").alias("held"))
     return held.join(checked, ["doc_id", "print"], "full_outer")
