@@ -130,7 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
     For each category the ``chosen`` buckets whose rate among positive documents differs from that among all by most standard errors get
     a weight of their own (counts over all labelled documents, combined before the shuffle). Every other counted bucket has log-odds:
     of its counts and a prior of one document of the rarer kind at the whole's rate. The driver holds ``BUCKETS`` of these at most, and the
-    sample: the ``sample`` labelled documents of least id hash, with their own words and their sums. A document's sums in training come
+    sample: the ``sample`` labelled documents of least id hash (with repeated ids a few more), with their own words and their sums. A document's sums in training come
     from the documents of other folds, as a word seen once would else name its own document's label.
     """
     y = [F.col(c).cast("double").alias(c) for c in categories]
@@ -140,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
     rows = words.join(named.hint("merge"), F.col("doc_id") == F.col("labelled")).select("doc_id", *categories, "words")
     rows = saved(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")), "labelled")
     kinds = range(len(categories))
-    whole = rows.agg(*[F.sum(c).alias(f"p{k}") for k, c in enumerate(categories)], *[F.count(c).alias(f"n{k}") for k, c in enumerate(categories)]).first()
+    whole = rows.agg(*[F.sum(c).alias(f"p{k}") for k, c in enumerate(categories)], *[F.count(c).alias(f"n{k}") for k, c in enumerate(categories)], F.count("*").alias("rows")).first()
     by_fold = [f(F.when(F.col("fold") == i, F.col(c))).alias(f"{n}{k}_{i}") for k, c in enumerate(categories) for i in range(FOLDS) for n, f in (("p", F.sum), ("n", F.count))]
     counted = rows.select(*categories, "fold", F.explode("words").alias("bucket")).groupBy("bucket").agg(*by_fold)
 
@@ -170,7 +170,11 @@ def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
     odds[:, buckets] = 0.0
     chain = Chain(categories, buckets, (), odds)
     lit = F.array(*[F.lit(int(b)) for b in buckets]).cast("array<int>")
-    some = saved(rows.orderBy(F.xxhash64("doc_id"), "doc_id", *categories).limit(sample).withColumn("row", F.monotonically_increasing_id()), "sample")
+    # The hash that the sample ends at: of hashes alone, and of those below a bound that leaves about so many.
+    spot = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    near = rows.where(spot < int(min(1.0, 1.1 * sample / max(whole["rows"], 1)) * (2**63 - 1)))
+    last = near.select(spot.alias("spot")).orderBy("spot").limit(sample).agg(F.max("spot").alias("spot")).first()["spot"]
+    some = saved(near.where(spot <= F.lit(last).cast("long")).withColumn("row", F.monotonically_increasing_id()), "sample")
     rest = some.select("row", "fold", F.explode(F.array_except("words", lit)).alias("bucket")).join(counted, "bucket")
     sums = rest.groupBy("row").agg(*[F.sum(F.get(f"out{k}", F.col("fold"))).alias(f"s{k}") for k in kinds])
     some = some.select("row", *categories, F.array_intersect("words", lit).alias("words")).join(sums, "row", "left").orderBy("row").toArrow()
