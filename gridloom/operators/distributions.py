@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.marginals import CAP, nig_by_moments, nig_gauss, nig_log_pdf
@@ -272,6 +272,18 @@ def transformed(data: DataFrame, params: DataFrame, by: str, id_col: str, value:
     return data.select(id_col).join(out, id_col, "left")
 
 
+def tail_slopes(data: DataFrame, by: str, id_col: str, value: str, share: float) -> DataFrame:
+    """``by, n, slope``: least squares through the first point of log(share of values at least as large) over the largest ``share`` of each group's values: the rate of an
+    exponential tail, negated. Ties in the order of ``id_col``; null slope where the tail has no spread. The window sorts one group in a task."""
+    rows = data.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("x"), F.row_number().over(Window.partitionBy(by).orderBy(F.col(value).desc(), id_col)).alias("k"))
+    count = data.where(F.col(value).isNotNull()).groupBy(by).agg(F.count("*").alias("all"))
+    tail = rows.join(count, by).where(F.col("k") <= share * F.col("all")).select(by, "x", F.log(F.col("k") / F.col("all")).alias("y"))
+    first = tail.groupBy(by).agg(F.min("x").alias("x0"), F.max("y").alias("y0"))
+    x, y = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
+    out = tail.join(first, by).groupBy(by).agg(F.count("*").alias("n"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"))
+    return out.select(by, "n", F.when(F.col("xx") > 0, F.col("xy") / F.col("xx")).alias("slope"))
+
+
 def nig_draws(ids: DataFrame, alpha: float, beta: float, mu: float, delta: float, seed: int = 0, of_log: bool = False) -> DataFrame:
     """Adds ``value``: NIG draws as a normal with inverse-Gaussian variance (by the two-root method), from Spark's generators; a Gaussian for infinite alpha."""
     if math.isinf(alpha):

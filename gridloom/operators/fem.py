@@ -84,10 +84,34 @@ def robin_mass(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int) ->
     return mass(elements(nodes, named, vertices - 1, d), vertices - 1)
 
 
-def system(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, mass_coefficient, stiffness_coefficient, robin: float = 0.0) -> DataFrame:
-    """K = M(c) + G(g) - M_boundary(robin), ``i, j, v``. Terms with a zero coefficient are not built."""
-    e = elements(nodes, simplices, vertices, d)
-    terms = [assembled(mass(e, vertices), mass_coefficient), assembled(stiffness(e, vertices, d), stiffness_coefficient)]
+def _scaled(entries: DataFrame, coefficient: Column | None, parameters: DataFrame | None) -> DataFrame:
+    """Entries times a coefficient, a column of ``parameters`` (one row for each ``simplex_id``)."""
+    return entries if coefficient is None else entries.join(parameters.select("simplex_id", coefficient.alias("_c")), "simplex_id").withColumn("w", F.col("w") * F.col("_c")).drop("_c")
+
+
+def system(
+    nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, mass_coefficient, stiffness_coefficient=None, robin: float = 0.0, tensor: list[list[Column]] | None = None, flow_coefficients: list | None = None, parameters: DataFrame | None = None, e: DataFrame | None = None
+) -> DataFrame:
+    """K = M(c) + B(b) + G(g) - M_boundary(robin), ``i, j, v``.
+
+    Coefficients of mass and stiffness are numbers or tables ``simplex_id, c``; the mass's may be a column of ``parameters`` (one row for each ``simplex_id``), and so
+    are the entries of ``tensor`` (d by d), which takes the place of the stiffness coefficient, and of ``flow_coefficients`` (for each dimension a
+    number, a column or None). Terms without a coefficient are not built. ``e``: the elements, if there are already.
+    """
+    e = elements(nodes, simplices, vertices, d) if e is None else e
+    own = mass(e, vertices)
+    terms = [assembled(_scaled(own, mass_coefficient, parameters)) if isinstance(mass_coefficient, Column) else assembled(own, mass_coefficient)]
+    if tensor is not None:
+        columns = [F.col(f"_t{k}_{m}") for k in range(d) for m in range(d)]
+        wide = e.join(parameters.select("simplex_id", *[tensor[k][m].alias(f"_t{k}_{m}") for k in range(d) for m in range(d)]), "simplex_id")
+        terms.append(assembled(stiffness(wide, vertices, d, [columns[k * d : (k + 1) * d] for k in range(d)])))
+    elif stiffness_coefficient is not None:
+        terms.append(assembled(stiffness(e, vertices, d), stiffness_coefficient))
+    for k, b in enumerate(flow_coefficients or []):
+        if isinstance(b, Column):
+            terms.append(assembled(_scaled(flow(e, vertices, k), b, parameters)))
+        elif b:
+            terms.append(assembled(flow(e, vertices, k), b))
     if robin:
         terms.append(assembled(robin_mass(nodes, simplices, vertices, d), -robin))
     out = terms[0]
@@ -96,6 +120,21 @@ def system(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, mass_c
     return out.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def robin_load(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int) -> DataFrame:
+    """``simplex_id, i, w``: <1, phi_i> over the boundary's facets, ``simplex_id`` as in ``robin_mass``."""
+    edge = boundary(simplices, vertices)
+    if vertices == 2:
+        return edge.select("simplex_id", F.get("facet", 0).alias("i"), F.lit(1.0).alias("w"))
+    return load(elements(nodes, edge.select(F.xxhash64("facet").alias("simplex_id"), F.col("facet").alias("v")), vertices - 1, d), vertices - 1)
+
+
+def diameters(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int) -> DataFrame:
+    """``simplex_id, diameter``: the longest edge of each simplex."""
+    s, p = with_vertices(simplices, nodes, vertices, d)
+    longest = F.greatest(*[sum(((a - b) * (a - b) for a, b in zip(p[i], p[j], strict=True)), F.lit(0.0)) for i in range(vertices) for j in range(i)], F.lit(0.0))
+    return s.select("simplex_id", F.sqrt(longest).alias("diameter"))
+
+
 def reference_integrals(t: int) -> dict[str, float]:
     """On the standard simplex of t dimensions: its size, <1, phi>, <phi, phi> and <phi, phi'>."""
     size = 1 / math.factorial(t)

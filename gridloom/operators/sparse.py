@@ -38,6 +38,12 @@ def times_vector(m: DataFrame, x: DataFrame) -> DataFrame:
     return m.join(right, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
 
 
+def times_vectors(m: DataFrame, x: DataFrame) -> DataFrame:
+    """``rep, i, v`` of m @ x for vectors ``rep, i, v``."""
+    right = x.select("rep", F.col("i").alias("j"), F.col("v").alias("x"))
+    return m.join(right, "j").groupBy("rep", "i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+
+
 def row_sums(m: DataFrame) -> DataFrame:
     """``i, v``; of a mass matrix, the lumped mass."""
     return m.groupBy("i").agg(F.sum("v").alias("v"))
@@ -84,3 +90,56 @@ def solve(m: DataFrame, b: DataFrame, tolerance: float = 1e-10, most: int = 1000
     if rho > tolerance**2 * first:
         raise RuntimeError(f"conjugate gradients: residual {(rho / first) ** 0.5:.3g} of the first after {most} steps, not {tolerance:g}")
     return state.select("i", F.col("x").alias("v"))
+
+
+def _by_rep(state: DataFrame, value) -> DataFrame:
+    return state.groupBy("rep").agg(F.sum(value).alias("s"))
+
+
+def solve_many(m: DataFrame, b: DataFrame, tolerance: float = 1e-10, most: int = 1000) -> DataFrame:
+    """``rep, i, v``: ``solve`` for each right side of ``b`` (``rep, i, v``), all in one step; a right side that has reached ``tolerance`` stays.
+
+    Sums by replicate are small tables that are joined back; the driver sees one number a step. Raises if ``most`` steps do not do.
+    """
+    m = checkpointed(m)
+    every = diagonal(m).withColumnRenamed("v", "d").crossJoin(F.broadcast(b.select("rep").distinct()))  # a vector for each right side
+    state = every.join(b.withColumnRenamed("v", "r"), ["rep", "i"], "left").select("rep", "i", "d", F.lit(0.0).alias("x"), F.coalesce("r", F.lit(0.0)).alias("r"))
+    state = checkpointed(state.withColumn("p", F.col("r") / F.col("d")))
+    rho = _by_rep(state, F.col("r") * F.col("r") / F.col("d")).select("rep", F.col("s").alias("rho"), F.col("s").alias("first"))
+    state = checkpointed(state.join(rho, "rep"))
+    open_ = (F.col("rho") > tolerance**2 * F.col("first")) & (F.col("first") > 0)
+    for _ in range(most):
+        if state.where(open_).isEmpty():
+            return state.select("rep", "i", F.col("x").alias("v"))
+        q = times_vectors(m, state.where(open_).select("rep", "i", F.col("p").alias("v"))).withColumnRenamed("v", "q")
+        met = checkpointed(state.join(q, ["rep", "i"], "left").withColumn("q", F.coalesce("q", F.lit(0.0))))
+        step = _by_rep(met, F.col("p") * F.col("q")).select("rep", F.col("s").alias("pq"))
+        by = F.when(F.col("pq") > 0, F.col("rho") / F.col("pq")).otherwise(0.0)
+        moved = met.join(step, "rep").withColumn("x", F.col("x") + by * F.col("p")).withColumn("r", F.col("r") - by * F.col("q")).drop("pq", "q")
+        new = _by_rep(moved, F.col("r") * F.col("r") / F.col("d")).select("rep", F.col("s").alias("new"))
+        state = moved.join(new, "rep").withColumn("p", F.when(open_, F.col("r") / F.col("d") + F.col("new") / F.col("rho") * F.col("p")).otherwise(F.col("p")))
+        state = checkpointed(state.withColumn("rho", F.when(open_, F.col("new")).otherwise(F.col("rho"))).drop("new"))
+    raise RuntimeError(f"conjugate gradients: {most} steps do not reach {tolerance:g} for every right side")
+
+
+def lanczos(m: DataFrame, start: DataFrame, steps: int) -> dict[int, tuple[list[float], list[float]]]:
+    """For each start vector (``rep, i, v``): diagonal and off-diagonal of the tridiagonal matrix of so many Lanczos steps (fewer where they end early). One product a
+    step for all vectors; two numbers for each reach the driver."""
+    m, out = checkpointed(m), {}
+    norms = start.groupBy("rep").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    state = checkpointed(start.join(norms, "rep").select("rep", "i", (F.col("v") / F.col("n")).alias("v"), F.lit(0.0).alias("before"), F.lit(0.0).alias("off")))
+    for _ in range(steps):
+        w = times_vectors(m, state.select("rep", "i", "v")).withColumnRenamed("v", "w")
+        met = state.join(w, ["rep", "i"], "left").select("rep", "i", "v", (F.coalesce("w", F.lit(0.0)) - F.col("off") * F.col("before")).alias("w"))
+        met = checkpointed(met)
+        a = met.groupBy("rep").agg(F.sum(F.col("v") * F.col("w")).alias("a"))
+        rest = met.join(a, "rep").withColumn("w", F.col("w") - F.col("a") * F.col("v"))
+        b = rest.groupBy("rep").agg(F.first("a").alias("a"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("b"))
+        b = checkpointed(b)
+        for r in b.collect():
+            diagonal_, off = out.setdefault(r["rep"], ([], []))
+            diagonal_.append(r["a"])
+            off.append(r["b"])
+        state = rest.drop("a").join(b.where("b > 1e-12"), "rep").select("rep", "i", (F.col("w") / F.col("b")).alias("v"), F.col("v").alias("before"), F.col("b").alias("off"))
+        state = checkpointed(state)
+    return {k: (d, o[: len(d) - 1]) for k, (d, o) in out.items()}

@@ -160,6 +160,11 @@ def refine_once(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, t
     return nodes.select("node_id", "x", "limit").unionByName(new), out, long
 
 
+def subset(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows in the order of a multiplicative hash of a whole number, then of the number: the same ones whatever the partitions."""
+    return df.orderBy(F.pmod(F.col(key) * 2654435761 + seed, F.lit(4294967296)), key).limit(n)
+
+
 def edges_of(simplices: DataFrame, vertices: int) -> DataFrame:
     """``simplex_id, a, b``."""
     pairs = F.array(*[F.struct(F.least(F.get("v", i), F.get("v", j)).alias("a"), F.greatest(F.get("v", i), F.get("v", j)).alias("b")) for i, j in itertools.combinations(range(vertices), 2)])

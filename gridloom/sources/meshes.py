@@ -116,30 +116,57 @@ def extrude(nodes: DataFrame, simplices: DataFrame, heights: list[float]) -> tup
     return out, prism.select(number.alias("simplex_id"), F.concat(low, high).alias("v"))
 
 
+def _tiled(nodes: DataFrame, copies: list[int], offset: list[float], digits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``sector, explicit_id, copied, x, place`` of every copy of every node, ``place, node_id, x`` of those that are kept, the box)."""
+    d = len(copies)
+    box = nodes.agg(*[F.min(F.get("x", i)).alias(f"low{i}") for i in range(d)], *[F.max(F.get("x", i)).alias(f"high{i}") for i in range(d)], (F.max("node_id") + 1).alias("node_stride"))
+    sectors = nodes.sparkSession.range(math.prod(copies)).withColumnRenamed("id", "sector")
+    stride = [math.prod(copies[i + 1 :]) for i in range(d)]
+    moved = [F.get("x", i) - F.col(f"low{i}") + offset[i] + F.floor(F.col("sector") / stride[i]) % copies[i] * (F.col(f"high{i}") - F.col(f"low{i}")) for i in range(d)]
+    every = nodes.crossJoin(F.broadcast(box)).crossJoin(F.broadcast(sectors))
+    every = every.select("sector", F.col("node_id").alias("explicit_id"), (F.col("sector") * F.col("node_stride") + F.col("node_id")).alias("copied"), F.array(*moved).alias("x"))
+    every = every.withColumn("place", F.transform("x", lambda c: F.round(c, digits) + 0.0))
+    kept = every.groupBy("place").agg(F.min("copied").alias("node_id"), F.min_by("x", "copied").alias("x"))
+    return every, kept, box
+
+
 def tile(nodes: DataFrame, simplices: DataFrame, copies: list[int], offset: list[float], digits: int = 9) -> tuple[DataFrame, DataFrame]:
     """Copies of a mesh side by side along its axes, with nodes on common faces merged.
 
-    Copy numbers count row by row; a node is known by its place rounded to ``digits``, and the copy with the least number keeps it. Node and
+    Copy numbers (sectors) count row by row; a node is known by its place rounded to ``digits``, and the copy with the least number keeps it. Node and
     simplex ids are copy * (largest id + 1) + id.
     """
-    d = len(copies)
-    box = nodes.agg(*[F.min(F.get("x", i)).alias(f"low{i}") for i in range(d)], *[F.max(F.get("x", i)).alias(f"high{i}") for i in range(d)], (F.max("node_id") + 1).alias("node_stride"))
+    every_node, kept, box = _tiled(nodes, copies, offset, digits)
+    named = every_node.join(kept.select("place", "node_id"), "place").select("copied", "node_id")
     most = simplices.agg((F.max("simplex_id") + 1).alias("simplex_stride"))
-    spark = nodes.sparkSession
-    sectors = spark.range(math.prod(copies)).withColumnRenamed("id", "copy")
-    stride = [math.prod(copies[i + 1 :]) for i in range(d)]
-    moved = [F.get("x", i) - F.col(f"low{i}") + offset[i] + F.floor(F.col("copy") / stride[i]) % copies[i] * (F.col(f"high{i}") - F.col(f"low{i}")) for i in range(d)]
-    all_nodes = nodes.crossJoin(F.broadcast(box)).crossJoin(F.broadcast(sectors))
-    all_nodes = all_nodes.select((F.col("copy") * F.col("node_stride") + F.col("node_id")).alias("node_id"), F.array(*moved).alias("x"))
-    place = F.transform("x", lambda c: F.round(c, digits) + 0.0)
-    kept = all_nodes.groupBy(place.alias("place")).agg(F.min("node_id").alias("node_id"), F.min_by("x", "node_id").alias("x"))
-    named = all_nodes.select(F.col("node_id").alias("copied"), place.alias("place")).join(kept.select("place", "node_id"), "place").select("copied", "node_id")
+    sectors = nodes.sparkSession.range(math.prod(copies)).withColumnRenamed("id", "copy")
     every = simplices.crossJoin(F.broadcast(most)).crossJoin(F.broadcast(sectors)).crossJoin(F.broadcast(box.select("node_stride")))
     every = every.select((F.col("copy") * F.col("simplex_stride") + F.col("simplex_id")).alias("simplex_id"), F.posexplode(F.transform("v", lambda i: i + F.col("copy") * F.col("node_stride"))).alias("place", "copied"))
     joined = every.join(named, "copied").groupBy("simplex_id").agg(F.array_sort(F.collect_list(F.struct("place", "node_id"))).alias("v"))
     return kept.select("node_id", "x"), joined.select("simplex_id", F.col("v.node_id").alias("v"))
 
 
+def tile_names(nodes: DataFrame, copies: list[int], offset: list[float], digits: int = 9) -> DataFrame:
+    """``sector, explicit_id, node_id, shared``: what each base node is called in the tiled mesh, in every sector; shared: by how many sectors. A node's own sector and
+    base id are its ``owner``; from a sector's name to another's, join on node_id; a sector's interior nodes are those with shared = 1."""
+    every, kept, _ = _tiled(nodes, copies, offset, digits)
+    named = every.join(kept.select("place", "node_id"), "place")
+    count = named.groupBy("node_id").agg(F.count("*").alias("shared"))
+    return named.select("sector", "explicit_id", "node_id").join(count, "node_id").select("sector", "explicit_id", "node_id", "shared")
+
+
+def owner(node_id: Column, stride: Column | int) -> tuple[Column, Column]:
+    """(sector, base id) of a tiled mesh's node or simplex; ``stride``: largest base id + 1."""
+    return F.floor(node_id / stride), F.pmod(node_id, stride if isinstance(stride, Column) else F.lit(stride))
+
+
+def renamed(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Adds ``to_id`` to ``wanted`` (``explicit_id, sector, to_sector``): the base id of the same node in another sector, null where that sector does not have it."""
+    here = names.select("sector", "explicit_id", "node_id")
+    there = names.select(F.col("sector").alias("to_sector"), F.col("explicit_id").alias("to_id"), "node_id")
+    return wanted.join(here, ["sector", "explicit_id"], "left").join(there, ["to_sector", "node_id"], "left")
+
+
 def tile_of_point(x: list[Column], low: list[Column], length: list[Column], copies: list[int]) -> Column:
     """Number of the copy that a point lies in; null outside. Upper faces belong to the next copy, but for the last."""
     at = [F.floor((a - b) / c) for a, b, c in zip(x, low, length, strict=True)]
