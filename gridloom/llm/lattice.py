@@ -28,7 +28,7 @@ from gridloom.llm.store import in_batches, saved
 from gridloom.llm.words import U, mix
 
 #: Bytes of text in a chunk, and characters of words in one step of the recursion.
-CHUNK_BYTES, STEP = 8 << 20, 1 << 16
+CHUNK_BYTES, STEP = 32 << 20, 1 << 16
 BEGIN = 0x2581
 _BASE = U(0x9E3779B97F4A7C15)
 #: Bits of a place in the table of pieces.
