@@ -78,11 +78,11 @@ class Index:
         return d - d[np.arange(len(x)), near][:, None] <= 2 * self.reach * radius * self.between[near] + 1e-9
 
     def near_codes(self, x: np.ndarray, at: int, codes: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
-        """Queries by members of list ``at``: may be within the radius, by asymmetric distances from tables."""
-        d = np.zeros((len(x), len(codes)))
+        """Members of list ``at`` by queries: may be within the radius, by asymmetric distances: a sum of rows of one table for each subspace."""
+        d = np.zeros((len(codes), len(x)), np.float32)
         for s, (part, book) in enumerate(self._subspaces(x - self.coarse[at])):
-            d += _distances(part, book)[:, codes[:, s]]
-        return np.sqrt(d) <= radius + error + 1e-6
+            d += np.ascontiguousarray(_distances(book, part), np.float32)[codes[:, s]]
+        return d <= ((radius + error + 1e-4) ** 2).astype(np.float32)[:, None]
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -138,7 +138,7 @@ def _survivors(indexes: dict[int, Index], radius: float):
                 left = np.flatnonzero(~near)
                 for j in range(0, len(left), 4096):
                     some = left[j : j + 4096]
-                    near[some] |= index.near_codes(asks[i : i + 256], int(at), codes[rows[some]], error[rows[some]], radius).any(axis=0)
+                    near[some] |= index.near_codes(asks[i : i + 256], int(at), codes[rows[some]], error[rows[some]], radius).any(axis=1)
             found.append(rows[near])
         rows = pa.array(np.concatenate(found))
         fill = lambda v, t: pa.array([v] * len(rows), t)

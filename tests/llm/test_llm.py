@@ -214,6 +214,16 @@ def test_rounding_tree(spark, monkeypatch):
     assert all(abs(r.taken - r.target) <= 40 for r in out)
 
 
+def test_rounding_is_unbiased():
+    import pandas as pd
+
+    chunk = pd.DataFrame({"doc_id": range(9), "print": range(9), "rank": 1, "size": [5, 40, 1, 7, 7, 13, 2, 90, 30], "chunk": 0, "p": [0.5, 0.2, 0.9, 0.35, 0.35, 0.6, 0.1, 0.75, 0.5]})
+    runs = [mixing._meet(seed, False)(chunk).sort_values("doc_id") for seed in range(1500)]
+    mean, want = np.mean([r["p"].to_numpy() for r in runs], axis=0), chunk["p"].to_numpy()
+    assert np.abs(mean - want).max() < 0.05 and all(((r["p"] > 0) & (r["p"] < 1)).sum() <= 1 for r in runs)
+    assert all((r["p"] * r["size"]).sum() == pytest.approx((chunk["p"] * chunk["size"]).sum()) for r in runs)
+
+
 def test_mixing_edges(odd, empty):
     assert mixing.mix(empty).count() == 0
     got = mixing.mix(odd).collect()
@@ -422,6 +432,33 @@ def test_least_slack_fills_exactly_where_it_can():
     assert sorted(i for b in bins for i in b) == list(range(9)) and len(bins) == 3
 
 
+def test_least_slack_comes_nearest():
+    """The first window holds the longest piece and, of all subsets of the others, one that fills it best; so do the next ones with what is left."""
+    import itertools
+
+    rng = np.random.Generator(np.random.PCG64(21))
+    for _ in range(30):
+        lengths = rng.integers(1, 40, 10)
+        left = set(range(10))
+        for b in packing.least_slack(lengths, 60):
+            longest = max(left, key=lambda i: lengths[i])
+            rest = left - {longest}
+            best = max(sum(lengths[list(c)]) for k in range(len(rest) + 1) for c in itertools.combinations(rest, k) if lengths[longest] + sum(lengths[list(c)]) <= 60) + lengths[longest]
+            assert lengths[b].max() == lengths[longest] and lengths[b].sum() == best
+            left -= set(b)
+        assert not left
+
+
+def test_encoder_forgets_within_its_room():
+    texts = [f"w{i}x y{i}" for i in range(4000)]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    small, large = packing.Encoder(packing.default_tokenizer(), room=1000), packing.Encoder(packing.default_tokenizer())
+    for _ in range(2):
+        a, b = (e.encode(np.frombuffer(b"".join(raw), np.uint8), offsets)[0] for e in (small, large))
+        assert (a == b).all()
+
+
 # 10. Near-duplicates.
 
 
@@ -529,6 +566,55 @@ def test_pipeline_keeps_texts_that_share_an_id(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op2_rlz_substring_dedup", "op6_tool_call_linking"])
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    from gridloom.llm import registry
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got, want = registry.QUERIES[name](spark, DATA).toPandas(), con.sql(registry.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
+    a, b = ([re.sub(r"(\d)\.0\b", r"\1", r) for r in rows(df)] for df in (got, want))
+    assert a == b and len(a) > 0
+
+
+def test_quality_query(spark):
+    from gridloom.llm import registry
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = registry.QUERIES["op1_quality_rules"](spark, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        n, repeated = len(words(texts[r.doc_id])), r.n_repeat_words
+        assert (r.n_words, r.n_symbols) == (n, sum(texts[r.doc_id].count(c) for c in "#*$%&|<>"))
+        assert r.base_failed == (n < 20 or 100 * repeated > 30 * n) and r.kept == (not r.base_failed and r.quality_probability >= 0.5)
+    assert 0 < sum(r.kept for r in got) < len(got)
+
+
+@pytest.mark.parametrize("name", ["op3_histogram_shards", "op4_pivotal_mixing", "op5_pq_near_vectors", "op7_toxicity_chain", "op8_lattice_scores", "op10_setsketch_near_dedup"])
+def test_queries_give_a_row_for_each_row(spark, name):
+    from gridloom.llm import registry
+
+    source, key = ("embeddings", "vec_id") if "op5" in name else ("documents", "doc_id")
+    want = sorted(r[0] for r in spark.read.parquet(f"{DATA}/{source}.parquet").select(key).collect())
+    assert sorted(r[key] for r in registry.QUERIES[name](spark, DATA).select(key).collect()) == want
+
+
+def test_packing_query(spark):
+    from gridloom.llm import registry
+
+    got = registry.QUERIES["op9_slack_packing"](spark, DATA).toPandas()
+    each = got.groupby("doc_id").agg(length=("length", "sum"), tokens=("doc_tokens", "first"))
+    assert (each["length"] == each["tokens"]).all() and len(each) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
 def test_registered(spark):
     import __spark_entry__
 
