@@ -91,16 +91,17 @@ def _expectation(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_em(data: DataFrame, by: str, value: str, rounds: int = 50, tolerance: float = 1e-8) -> DataFrame:
-    """``by, n, alpha, beta, mu, delta, log_likelihood``: maximum likelihood by EM from the moment fit and from the Gaussian, the better one.
+    """``by, n, alpha, beta, mu, delta, log_likelihood, settled``: maximum likelihood by EM from the moment fit and from the Gaussian, the better one.
 
     A round is one pass over the data: Arrow batches give a row of sums for each group, which Spark adds up. One row for each group reaches
     the driver (groups are taken to be few: series, not observations); a group whose likelihood gains less than ``tolerance`` of its
-    size is settled and leaves the next rounds. Null and NaN values are left out; groups without spread keep the moment fit.
+    size is settled and leaves the next rounds; settled is false where ``rounds`` ran out from either start. Null and NaN values are left out; groups without spread keep the moment fit.
     """
     spark = data.sparkSession
     y = F.col(value).cast("double")
     rows = data.where(y.isNotNull() & ~F.isnan(y)).select(F.col(by).alias("g"), y.alias("y"))
     best: dict = {}
+    late: set = set()
     kind = f"g {rows.schema['g'].dataType.simpleString()}, n long, s double, w double, yw double, y double, ll double"
     for start in (fit_by_moments, fit_gauss):
         first = start(rows, "g", "y").where("alpha > 0 AND delta > 0").toPandas()
@@ -131,9 +132,82 @@ def fit_em(data: DataFrame, by: str, value: str, rounds: int = 50, tolerance: fl
                     gamma = math.sqrt(alpha * alpha - beta * beta)
                 following[g] = (alpha, beta, ybar - beta * delta / gamma, delta)
             now = following
-    names = [by, "n", "alpha", "beta", "mu", "delta", "log_likelihood"]
-    kind = f"`{by}` {rows.schema['g'].dataType.simpleString()}, n long, alpha double, beta double, mu double, delta double, log_likelihood double"
-    return spark.createDataFrame(pd.DataFrame([(g, *p) for g, p in best.items()], columns=names), kind) if best else spark.createDataFrame([], kind)
+        late |= set(now)
+    names = [by, "n", "alpha", "beta", "mu", "delta", "log_likelihood", "settled"]
+    kind = f"`{by}` {rows.schema['g'].dataType.simpleString()}, n long, alpha double, beta double, mu double, delta double, log_likelihood double, settled boolean"
+    return spark.createDataFrame(pd.DataFrame([(g, *p, g not in late) for g, p in best.items()], columns=names), kind) if best else spark.createDataFrame([], kind)
+
+
+def _law(t: np.ndarray) -> tuple[float, float, float, float]:
+    """(alpha, beta, mu, delta) from unbounded parameters: log alpha, artanh(beta / alpha), mu, log delta."""
+    alpha = math.exp(t[0])
+    return alpha, alpha * math.tanh(t[1]), t[2], math.exp(t[3])
+
+
+#: Step of the central differences, and the number of points at which a pass takes the likelihood.
+_STEP, _POINTS = 1e-5, 9
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each group's log density at its parameters and a step up and down along each."""
+    for batch in batches:
+        rows, out = batch.to_pandas(), []
+        for name, g in rows.groupby("g", dropna=False):
+            z, t = (g["y"].to_numpy(float) - g["mean"].iloc[0]) / g["sd"].iloc[0], np.array([g[f"t{k}"].iloc[0] for k in range(4)], float)
+            at = [t, *(t + s * _STEP * np.eye(4)[k] for k in range(4) for s in (1, -1))]
+            out.append((name, len(z), *(sum(float(log_density(z[i : i + 4096], *_law(u)).sum()) for i in range(0, len(z), 4096)) for u in at)))
+        if out:
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["g", "n", *(f"s{k}" for k in range(_POINTS))]), preserve_index=False)
+
+
+def fit_gradient(data: DataFrame, by: str, value: str, rounds: int = 200, tolerance: float = 1e-7) -> DataFrame:
+    """``by, n, alpha, beta, mu, delta, log_likelihood, settled``: maximum likelihood by quasi-Newton steps (BFGS) from the moment fit.
+
+    A pass over the data gives every group's likelihood at a trial point and its slope; the driver has one row for each group and takes all groups' steps
+    at once (groups are series, not observations). A step that does not gain enough is cut to a quarter. settled: the mean slope is below ``tolerance``
+    or steps have become too small to matter, within ``rounds`` passes. alpha * delta is held at ``CAP`` at most. Null and NaN values are left out; groups without spread have no row.
+    """
+    spark, y = data.sparkSession, F.col(value).cast("double")
+    rows = data.where(y.isNotNull() & ~F.isnan(y)).select(F.col(by).alias("g"), y.alias("y"))
+    start = fit_by_moments(rows, "g", "y").join(moments(rows, "g", "y").select("g", "mean", F.sqrt("variance").alias("sd")), "g").where("alpha > 0 AND delta > 0 AND sd > 0").toPandas()
+    kind = f"g {rows.schema['g'].dataType.simpleString()}, n long, " + ", ".join(f"s{k} double" for k in range(_POINTS))
+    state: dict = {}
+    for r in start.itertuples():
+        t = np.array([math.log(r.alpha * r.sd), math.atanh(max(-0.999, min(0.999, r.beta / r.alpha))), (r.mu - r.mean) / r.sd, math.log(r.delta / r.sd)])
+        state[r.g] = {"t": t, "f": -math.inf, "g": np.zeros(4), "h": np.eye(4), "p": np.zeros(4), "step": 0.0, "mean": r.mean, "sd": r.sd, "n": 0, "done": False}
+    for _ in range(rounds):
+        open_ = {g: s for g, s in state.items() if not s["done"]}
+        if not open_:
+            break
+        trial = {g: s["t"] + s["step"] * s["p"] for g, s in open_.items()}
+        for t in trial.values():
+            t[0] = min(t[0], math.log(CAP) - t[3])
+        params = spark.createDataFrame(pd.DataFrame([(g, s["mean"], s["sd"], *trial[g]) for g, s in open_.items()], columns=["g", "mean", "sd", "t0", "t1", "t2", "t3"]))
+        sums = rows.join(F.broadcast(params), "g").mapInArrow(_around, kind).groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n", *(f"s{k}" for k in range(_POINTS)))]).collect()
+        for r in sums:
+            s, n = state[r["g"]], r["n"]
+            f = r["s0"] / n
+            slope = np.array([(r[f"s{2 * k + 1}"] - r[f"s{2 * k + 2}"]) / (2 * _STEP * n) for k in range(4)])
+            s["n"] = n
+            if not f >= s["f"] + 1e-4 * s["step"] * float(s["g"] @ s["p"]):
+                s["step"] /= 4
+                s["done"] = s["step"] < 1e-6
+                continue
+            moved, turned = trial[r["g"]] - s["t"], s["g"] - slope
+            if s["step"] and moved @ turned > 1e-14:
+                rho = 1 / (moved @ turned)
+                left = np.eye(4) - rho * np.outer(moved, turned)
+                s["h"] = left @ s["h"] @ left.T + rho * np.outer(moved, moved)
+            s["t"], s["f"], s["g"] = trial[r["g"]], f, slope
+            s["p"] = s["h"] @ slope
+            s["step"] = min(1.0, 1.0 / max(np.abs(s["p"]).max(), 1e-12))
+            s["done"] = bool(np.abs(slope).max() < tolerance)
+    out = []
+    for g, s in state.items():
+        alpha, beta, mu, delta = _law(s["t"])
+        out.append((g, s["n"], *map(float, (alpha / s["sd"], beta / s["sd"], s["mean"] + s["sd"] * mu, delta * s["sd"], s["n"] * (s["f"] - math.log(s["sd"])))), s["done"]))
+    kind = f"`{by}` {rows.schema['g'].dataType.simpleString()}, n long, alpha double, beta double, mu double, delta double, log_likelihood double, settled boolean"
+    return spark.createDataFrame(out, kind)
 
 
 class Lookup:

@@ -227,49 +227,60 @@ def spectral_log_determinant(density: DataFrame, power: float = 1.0) -> DataFram
     return density.agg((power * F.sum(F.log("density"))).alias("log_determinant"))
 
 
-def _grid(density: DataFrame, shape: list[int]) -> np.ndarray:
-    if math.prod(shape) > MOST**2 // 4:
-        raise ValueError("the grid is too large for one task's transform")
-    rows = density.toPandas()
-    out = np.zeros(shape)
-    out[tuple(rows[f"k{i}"] for i in range(len(shape)))] = rows["density"]
-    return out
+def _line(axis: str, n: int, inverse: bool):
+    """One line of a grid along ``axis``: its (inverse) Fourier transform; cells left out are zero."""
 
+    def run(line: pd.DataFrame) -> pd.DataFrame:
+        z = np.zeros(n, complex)
+        np.add.at(z, line[axis].to_numpy(), line["re"].to_numpy() + 1j * line["im"].to_numpy())
+        z = np.fft.ifft(z) if inverse else np.fft.fft(z)
+        out = {c: line[c].iloc[0] for c in line.columns if c not in (axis, "re", "im")}
+        return pd.DataFrame(out | {axis: np.arange(n), "re": z.real, "im": z.imag})[list(line.columns)]
 
-def spectral_sample(spark: SparkSession, density: DataFrame, shape: list[int], n: int, seed: int = 0, mean: float = 0.0) -> DataFrame:
-    """``rep, cell, value``: n realisations on the grid (cells row by row), one transform for each."""
-    shared = spark.sparkContext.broadcast(np.sqrt(_grid(density, shape)))
+    return run
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        root = shared.value
-        for batch in batches:
-            for rep in batch["id"]:
-                rng = np.random.Generator(np.random.PCG64([seed, int(rep)]))
-                z = rng.standard_normal(root.shape) + 1j * rng.standard_normal(root.shape)
-                x = np.fft.ifftn(z * root).real * math.sqrt(root.size)
-                yield pd.DataFrame({"rep": rep, "cell": np.arange(x.size), "value": mean + x.ravel()})
 
-    return spark.range(n).mapInPandas(run, "rep long, cell long, value double")
+def fourier(data: DataFrame, shape: list[int], inverse: bool = False) -> DataFrame:
+    """``rep, k0, k1, ..., re, im``: the discrete Fourier transform of each replicate, axis by axis: a group is a line of the grid, never the grid."""
+    axes = [f"k{i}" for i in range(len(shape))]
+    kind = ", ".join(["rep long", *(f"{k} int" for k in axes), "re double", "im double"])
+    data = data.select("rep", *[F.col(k).cast("int").alias(k) for k in axes], "re", "im")
+    for axis, n in zip(axes, shape, strict=True):
+        data = data.groupBy("rep", *[k for k in axes if k != axis]).applyInPandas(_line(axis, n, inverse), kind)
+    return data
 
 
-def spectral_covariance(spark: SparkSession, density: DataFrame, shape: list[int], data: DataFrame, power: float = 1.0) -> DataFrame:
-    """``rep, cell, value`` of the covariance's power times data (``rep, cell, value``; cells left out are zero)."""
-    shared = spark.sparkContext.broadcast(_grid(density, shape) ** power)
+def _cells(shape: list[int]) -> tuple[Column, list[Column]]:
+    """(number of a cell from k0, k1, ..., its indices from ``cell``); cells count row by row."""
+    stride = [math.prod(shape[i + 1 :]) for i in range(len(shape))]
+    return sum((F.col(f"k{i}").cast("long") * w for i, w in enumerate(stride)), F.lit(0).cast("long")), [(F.floor(F.col("cell") / w) % n).cast("int").alias(f"k{i}") for i, (w, n) in enumerate(zip(stride, shape, strict=True))]
+
+
+def spectral_sample(density: DataFrame, shape: list[int], reps: DataFrame, seed: int = 0, mean: float = 0.0) -> DataFrame:
+    """``rep, cell, value``: a realisation on the grid (cells row by row) for each row of ``reps`` (``rep long``); the same whatever the partitions."""
+    from gridloom.operators.models import normal_noise
+
+    keys = [f"k{i}" for i in range(len(shape))]
+    z = reps.select("rep").distinct().crossJoin(density.select(*keys, F.sqrt("density").alias("root")))  # asked for as such: every frequency of every draw
+    z = z.select("rep", *keys, (F.col("root") * normal_noise(seed, "rep", *keys)).alias("re"), (F.col("root") * normal_noise(seed + 1, "rep", *keys)).alias("im"))
+    x = fourier(z, shape, inverse=True)
+    return x.select("rep", _cells(shape)[0].alias("cell"), (mean + F.col("re") * math.sqrt(math.prod(shape))).alias("value"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = shared.value
-        x = np.zeros(g.size)
-        np.add.at(x, group["cell"].to_numpy(), group["value"].to_numpy())
-        y = np.fft.ifftn(np.fft.fftn(x.reshape(g.shape)) * g).real.ravel()
-        return pd.DataFrame({"rep": group["rep"].iloc[0], "cell": np.arange(g.size), "value": y})
 
-    return data.groupBy("rep").applyInPandas(run, "rep long, cell long, value double")
+def spectral_covariance(density: DataFrame, shape: list[int], data: DataFrame, power: float = 1.0) -> DataFrame:
+    """``rep, cell, value`` of the covariance's power times data (``rep, cell, value``; cells and frequencies left out are zero)."""
+    number, indices = _cells(shape)
+    keys = [f"k{i}" for i in range(len(shape))]
+    x = fourier(data.select(F.col("rep").cast("long").alias("rep"), *indices, F.col("value").cast("double").alias("re"), F.lit(0.0).alias("im")), shape)
+    g = F.pow(F.col("density"), F.lit(float(power)))
+    y = x.join(density.select(*keys, "density"), keys).select("rep", *keys, (F.col("re") * g).alias("re"), (F.col("im") * g).alias("im"))
+    return fourier(y, shape, inverse=True).select("rep", number.alias("cell"), F.col("re").alias("value"))
 
 
-def spectral_log_likelihood(spark: SparkSession, density: DataFrame, shape: list[int], data: DataFrame, mean: float = 0.0) -> DataFrame:
+def spectral_log_likelihood(density: DataFrame, shape: list[int], data: DataFrame, mean: float = 0.0) -> DataFrame:
     """``log_likelihood`` by ``rep``: -(log det + cells * log 2 pi + x^T S^-1 x) / 2."""
-    centred = data.withColumn("value", F.col("value") - mean)
-    solved = spectral_covariance(spark, density, shape, centred, -1.0).withColumnRenamed("value", "solved")
+    centred = data.select(F.col("rep").cast("long").alias("rep"), F.col("cell").cast("long").alias("cell"), (F.col("value") - mean).alias("value"))
+    solved = spectral_covariance(density, shape, centred, -1.0).withColumnRenamed("value", "solved")
     form = centred.join(solved, ["rep", "cell"]).groupBy("rep").agg(F.sum(F.col("value") * F.col("solved")).alias("form"))
     return form.crossJoin(F.broadcast(spectral_log_determinant(density))).select("rep", (-0.5 * (F.col("log_determinant") + math.prod(shape) * math.log(2 * math.pi) + F.col("form"))).alias("log_likelihood"))
 

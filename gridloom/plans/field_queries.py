@@ -227,9 +227,15 @@ def nig_log_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", r(marginals.nig_log_pdf(F.col("value"), *law)).alias("log_density"), r(marginals.nig_tail_log_pdf(F.col("value"), *law)).alias("tail"))
 
 
+@query()
+def nig_fit_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distributions.fit_gradient(table(spark, sf_dir, "events"), "event_type", "value")
+
+
 @query()
 def nig_fit_em(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distributions.fit_em(table(spark, sf_dir, "events"), "event_type", "value", rounds=15)
+    """Thirty rounds at most; ``settled`` says whether they did. ``nig_fit_gradient`` gets there in fewer passes."""
+    return distributions.fit_em(table(spark, sf_dir, "events"), "event_type", "value", rounds=30)
 
 
 @query()
@@ -270,15 +276,22 @@ def spectral_log_determinant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spectral_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.spectral_sample(spark, _density(spark, sf_dir), [64, 32], 8, seed=3)
+    """A draw on the grid for each ship month."""
+    reps = table(spark, sf_dir, "lineitem").select(F.month("l_shipdate").cast("long").alias("rep")).distinct()
+    return fields.spectral_sample(_density(spark, sf_dir), [64, 32], reps, seed=3)
 
 
-@query()
+@query(
+    f"WITH {_GRID}, lag AS (SELECT a, b, sum(density * cos(2 * pi() * (k0 * a / 64.0::DOUBLE + k1 * b / 32.0::DOUBLE))) / 2048 AS c FROM s, range(64) p(a), range(32) q(b) GROUP BY a, b),"
+    " x AS (SELECT month(l_shipdate)::BIGINT AS rep, (l_partkey % 64) AS u, (l_suppkey % 32) AS w, sum(l_discount) AS value FROM lineitem GROUP BY ALL),"
+    " y AS (SELECT rep, p.i AS i, q.j AS j, sum(c * value) AS value FROM x, range(64) p(i), range(32) q(j), lag WHERE a = (p.i - u + 64) % 64 AND b = (q.j - w + 32) % 32 GROUP BY ALL)"
+    " SELECT rep, i * 32 + j AS cell, round(value, 6) + 0.0 AS value FROM y"
+)
 def spectral_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The covariance applied to each ship month's sums of discounts by cell."""
+    """The covariance applied to each ship month's sums of discounts by cell. The SQL adds the covariance function over all pairs of cells."""
     t = table(spark, sf_dir, "lineitem")
     data = t.groupBy(F.month("l_shipdate").alias("rep"), ((F.col("l_partkey") % 64) * 32 + F.col("l_suppkey") % 32).alias("cell")).agg(F.sum("l_discount").alias("value"))
-    return fields.spectral_covariance(spark, _density(spark, sf_dir), [64, 32], data)
+    return fields.spectral_covariance(_density(spark, sf_dir), [64, 32], data).select("rep", "cell", r("value").alias("value"))
 
 
 def _match_sql(template: int, search: int) -> str:
@@ -289,19 +302,21 @@ def _match_sql(template: int, search: int) -> str:
         " c AS (SELECT x, y, sx, sy, count(*) AS n, sum(u) AS su, sum(w) AS sw, sum(u * u) AS suu, sum(w * w) AS sww, sum(u * w) AS suw FROM z GROUP BY ALL),"
         " v AS (SELECT *, (suu - su * su / n) / (n - 1) AS vu, (sww - sw * sw / n) / (n - 1) AS vw FROM c WHERE n > 1),"
         " t AS (SELECT x, y, x + sx AS mx, y + sy AS my, round((suw / n - su / n * (sw / n)) / sqrt(vu * vw), 12) AS score FROM v WHERE vu > 1e-12 AND vw > 1e-12),"
-        " b AS (SELECT x, y, max(score) AS score FROM t WHERE EXISTS (SELECT 1 FROM g WHERE g.x = mx AND g.y = my) GROUP BY x, y)"
+        " b AS (SELECT x, y, min(struct_pack(s := -score, my := my, mx := mx)) AS b FROM t WHERE EXISTS (SELECT 1 FROM g WHERE g.x = mx AND g.y = my) GROUP BY x, y)"
     )
 
 
-@query(f"WITH {_match_sql(2, 2)} SELECT f.x, f.y, round(score, 6) + 0.0 AS score FROM f LEFT JOIN b ON b.x = f.x AND b.y = f.y")
+@query(f"WITH {_match_sql(2, 2)} SELECT f.x, f.y, b.b.mx AS mx, b.b.my AS my, round(-b.b.s, 6) + 0.0 AS score FROM f JOIN b ON b.x = f.x AND b.y = f.y")
 def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = imaging.match(image(spark, sf_dir, 0), image(spark, sf_dir, 1), 2, 2)
-    return m.select("x", "y", r("score").alias("score"))
+    """Pixels that have a match, with its place."""
+    m = imaging.match(image(spark, sf_dir, 0), image(spark, sf_dir, 1), 2, 2).where("score IS NOT NULL")
+    return m.select("x", "y", "mx", "my", r("score").alias("score"))
 
 
-@query()
+@query(f"WITH {_match_sql(2, 2)} SELECT f.x, f.y, b.b.mx - f.x AS dx, b.b.my - f.y AS dy FROM f JOIN b ON b.x = f.x AND b.y = f.y WHERE -b.b.s >= 0.3")
 def vector_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return imaging.vector_field(imaging.match(image(spark, sf_dir, 0), image(spark, sf_dir, 1), 2, 2), 0.3)
+    """Displacements of the pixels whose match is good enough."""
+    return imaging.vector_field(imaging.match(image(spark, sf_dir, 0), image(spark, sf_dir, 1), 2, 2), 0.3).where("dx IS NOT NULL")
 
 
 def _filter_sql(f: str) -> str:
@@ -342,14 +357,21 @@ def _window_sql() -> str:
     return "WITH e AS (SELECT *, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS start FROM events), " + _nig_sql("start, event_type", "e")
 
 
-@query(_window_sql() + " SELECT epoch(start)::BIGINT AS start, event_type, n, round(mu, 3) AS mu, round(delta, 3) AS delta FROM nig WHERE n > 20 AND isfinite(delta)")
+@query(
+    _window_sql() + " SELECT epoch(start)::BIGINT AS start, event_type, n, isfinite(delta) AND isfinite(mu) AND isfinite(alpha) AND isfinite(beta) AS fitted,"
+    + ",".join(f" CASE WHEN isfinite(delta) AND isfinite(mu) AND isfinite(alpha) AND isfinite(beta) THEN round({c}, {k}) + 0.0 ELSE -1 END AS {c}" for c, k in (("alpha", 5), ("beta", 5), ("mu", 3), ("delta", 3))) + " FROM nig"
+)
 def windowed_nig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming operator on a finite table."""
+    """The streaming operator on a finite table: every window, also those without spread, which no law fits (``fitted`` is false, parameters -1)."""
     from gridloom.streaming.moments import windowed_nig as fit
 
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = fit(e, "ts", "event_type", "value", "7 days", "1 day").where("n > 20 AND NOT isnan(delta) AND delta < double('infinity')")
-    return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n", r("mu", 3).alias("mu"), r("delta", 3).alias("delta"))
+    out = fit(e, "ts", "event_type", "value", "7 days", "1 day")
+    fitted = F.lit(True)
+    for c in ("alpha", "beta", "mu", "delta"):
+        fitted = fitted & F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+    out = out.withColumn("fitted", fitted)
+    return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n", "fitted", *[F.when(F.col("fitted"), r(c, k)).otherwise(-1.0).alias(c) for c, k in (("alpha", 5), ("beta", 5), ("mu", 3), ("delta", 3))])
 
 
 def _field(spark: SparkSession, sf_dir: str):

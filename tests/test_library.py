@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from gridloom.functions import geometry, marginals, special
 from gridloom.functions.rational import clenshaw_lord
 from gridloom.functions.vectors import parts
-from gridloom.operators import distributions, fem, fields, imaging, locate, paths, sparse, topology
+from gridloom.operators import distributions, fem, fields, imaging, locate, models, paths, sparse, topology
 from gridloom.sources import meshes
+from gridloom.sources.extended import Levels, extended_cells, extended_located, extended_nodes
 
 
 def one(spark, *columns):
@@ -30,6 +31,28 @@ def test_special_functions(spark):
     assert abs(row[5]) < 1e-6
 
 
+def bessel(order, x):
+    """exp(x) K_order(x) by an integral that the library does not use, over s = exp(u - exp(-u))."""
+    u = np.linspace(-5, 5.5, 3001)
+    s = np.exp(u - np.exp(-u))
+    inner = np.exp(-s) * s ** (order - 0.5) * (1 + s / (2 * x)) ** (order - 0.5) * s * (1 + np.exp(-u))
+    return math.sqrt(math.pi / (2 * x)) / math.gamma(order + 0.5) * inner.sum() * (u[1] - u[0])
+
+
+def test_bessel_functions_at_every_size(spark):
+    at = [1e-10, 1e-7, 1e-6, 1e-5, 1e-3, 0.1, 1.0, 1.999, 2.001, 7.0, 50.0]
+    df = spark.createDataFrame([(x,) for x in at], "x double")
+    orders = (0.0, 0.3, 0.5, 1.0, 1.00001, 1.3, 2.0, 2.5, 3.7)
+    for r in df.select("x", *[special.scaled_bessel_k(v, F.col("x")).alias(f"k{i}") for i, v in enumerate(orders)]).collect():
+        assert [r[f"k{i}"] for i in range(len(orders))] == pytest.approx([bessel(v, r.x) for v in orders], rel=1e-10)
+    assert special.scaled_bessel_k(1.0, F.lit(0.0)) is not None
+    k = distributions.bessel_ratio_terms(np.array(at))
+    for v in range(3):
+        assert k[v] == pytest.approx([bessel(v, x) for x in at], rel=1e-10)
+    near = [r[0] for r in df.where("x <= 1e-5 AND x > 1e-9").select(special.matern(F.col("x"), 1.0)).collect()]
+    assert near == pytest.approx([1.0] * 3, abs=1e-8)
+
+
 def test_geometry(spark):
     tri = geometry.SimplexMap([[F.lit(float(c)) for c in p] for p in ((0, 0, 0), (1, 0, 0), (0, 1, 0))])
     row = one(spark, tri.volume(), tri.off([F.lit(0.2), F.lit(0.3), F.lit(0.5)]), F.array(*tri.barycentric([F.lit(0.2), F.lit(0.3), F.lit(0.5)])), F.array(*tri.gradients()[0]))
@@ -133,6 +156,32 @@ def test_lookup_accuracy():
     assert np.quantile(np.abs(table.quantile(table.cdf(x)) - x), 0.75) < 1e-6
 
 
+def test_scores_are_finite_far_out():
+    for law in ((3.0, -2.6, 0.0, 20.0), (0.5, 0.2, 1.0, 0.3), (math.inf, 0.0, 2.0, 3.0)):
+        table = distributions.Lookup(*law)
+        mid = table.quantile(np.array([0.5]))[0]
+        y = mid + table.sd * np.array([-300.0, -50.0, -20.0, -3.0, 0.0, 3.0, 20.0, 50.0, 300.0])
+        low, high = table.log_tails(y)
+        z = distributions._normal_score(low, high)
+        assert np.isfinite(z).all() and (np.diff(z) > 0).all() and (np.diff(low) >= 0).all() and (np.diff(high) <= 0).all()
+        assert table.from_tails(distributions._normal_log_below(z), distributions._normal_log_below(-z)) == pytest.approx(y, rel=1e-6, abs=1e-6 * table.sd)
+    # The Gaussian's scores are known; tails beyond the table are good to a part in a thousand.
+    assert z == pytest.approx((y - 2.0) / 3.0, rel=1e-3, abs=1e-6)
+
+
+def test_gradient_fit_is_no_worse_than_em(spark):
+    draws = distributions.nig_draws(spark.range(3000), 1 / 3, -4 / 15, 4.0, 15.0, seed=3).withColumn("g", F.lit("a"))
+    em, fit = distributions.fit_em(draws, "g", "value", rounds=60).first(), distributions.fit_gradient(draws, "g", "value").first()
+    assert fit.settled and fit.log_likelihood >= em.log_likelihood - 0.05
+    params = spark.createDataFrame([fit]).select("g", "alpha", "beta", "mu", "delta")
+    assert distributions.log_likelihood(draws, params, "g", "value").first()[1] == pytest.approx(fit.log_likelihood, rel=1e-8)
+
+
+def test_tail_slope(spark):
+    rows = spark.range(1, 2001).select(F.lit("a").alias("g"), "id", (-F.log(F.col("id") / 2000) / 3).alias("value"))
+    assert distributions.tail_slopes(rows, "g", "id", "value", 0.5).first().slope == pytest.approx(-3.0, rel=1e-2)
+
+
 def test_em_recovers_a_law(spark):
     draws = distributions.nig_draws(spark.range(4000), 1 / 3, -4 / 15, 4.0, 15.0, seed=3).withColumn("g", F.lit("a"))
     fit = distributions.fit_em(draws, "g", "value", rounds=60).first()
@@ -182,6 +231,115 @@ def test_conditioning_shrinks_variance(spark):
     assert fields.log_likelihood(f, normal) == pytest.approx(-0.5 * (np.linalg.slogdet(v)[1] + 2 * math.log(2 * math.pi) + y @ np.linalg.solve(v, y)))
 
 
+@pytest.fixture(scope="module")
+def line(spark):
+    """A short mesh of a line with its matrices, and observations."""
+    nodes, simplices = meshes.grid(spark, [0.0], [1.0], 0.15)
+    points = spark.createDataFrame([(0, [0.4]), (1, [0.85]), (2, [0.1]), (3, [7.0])], "point_id long, x array<double>")
+    return nodes, simplices, locate.observation_weights(points, nodes, simplices, 2, 1, 0.15)
+
+
+def dense(m, n=8):
+    out = np.zeros((n, n))
+    for r in m.collect():
+        out[r.i, r.j] += r.v
+    return out
+
+
+def vectors(df, n=8):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.rep, np.zeros(n))[r.i] = r.v
+    return out
+
+
+@pytest.mark.parametrize("order", [1.5, 1.1])
+def test_fields_on_tables(spark, line, order):
+    """Order 3/2 on a line is the second power of the operator, the square of K; 1.1 needs the rational one."""
+    nodes, simplices, weights = line
+    model = fields.Matern(order, 0.8, 1.3, 1)
+    f = models.matern_field(nodes, simplices, 2, 1, model)
+    c, pl = np.diag([r.v for r in f.lumped.orderBy("i").collect()]), dense(f.pl)
+    pr = np.eye(8) if f.pr is None else dense(f.pr)
+    covariance = pr @ np.linalg.solve(pl, c @ np.linalg.solve(pl.T, pr.T)) / f.tau**2
+    exact = fields.factor(f.k, f.lumped, model).covariance(np.eye(8))
+    assert (f.pr is None) == (order == 1.5) and np.abs(covariance - exact).max() < (1e-9 if f.pr is None else 0.02) * exact.max()
+    columns = spark.createDataFrame([(0, 0, 1.0), (1, 3, 2.0), (1, 5, -1.0)], "rep long, i long, v double")
+    got = vectors(models.covariance_times(f, columns))
+    assert got[0] == pytest.approx(covariance[:, 0], abs=1e-6) and got[1] == pytest.approx(2 * covariance[:, 3] - covariance[:, 5], abs=1e-6)
+    y = spark.createDataFrame([(5, 0, 1.4), (5, 1, -0.85), (6, 2, 0.3), (6, 3, 9.0), (6, 0, None)], "rep long, point_id long, value double")
+    a = np.zeros((3, 8))
+    for r in weights.where("w IS NOT NULL").collect():
+        a[r.point_id, r.node_id] = r.w
+    gain = covariance @ a.T @ np.linalg.inv(a @ covariance @ a.T + 0.09 * np.eye(3))
+    got = vectors(models.posterior_means(f, weights, y, 0.3))
+    assert got[5] == pytest.approx(gain @ np.array([1.4, -0.85, 0.0]), abs=1e-5) and got[6] == pytest.approx(gain @ np.array([0.0, 0.0, 0.3]), abs=1e-5)
+    if f.pr is None:
+        draw = vectors(models.realisations(f, spark.range(2).withColumnRenamed("id", "rep"), seed=1))
+        again = vectors(models.realisations(f, spark.range(2).withColumnRenamed("id", "rep").repartition(2), seed=1))
+        assert draw[0] == pytest.approx(again[0]) and not np.allclose(draw[0], draw[1])
+        z = pl @ draw[0] * f.tau / np.sqrt(np.diag(c))
+        assert np.abs(z).max() < 4 and np.std(z) > 0.3
+
+
+def test_likelihood_and_variance_estimates(spark, line):
+    nodes, simplices, weights = line
+    f = models.matern_field(nodes, simplices, 2, 1, fields.Matern(1.5, 0.8, 1.3, 1))
+    covariance = fields.factor(f.k, f.lumped, fields.Matern(1.5, 0.8, 1.3, 1)).covariance(np.eye(8))
+    a = np.zeros((3, 8))
+    for r in weights.where("w IS NOT NULL").collect():
+        a[r.point_id, r.node_id] = r.w
+    v, y = a @ covariance @ a.T + 0.09 * np.eye(3), np.array([1.4, -0.85, 0.2])
+    rows = spark.createDataFrame([(0, i, float(t)) for i, t in enumerate(y)], "rep long, point_id long, value double")
+    value, error = models.log_likelihood(f, weights, rows, 0.3, probes=24, steps=8)
+    assert abs(value - -0.5 * (np.linalg.slogdet(v)[1] + 3 * math.log(2 * math.pi) + y @ np.linalg.solve(v, y))) < 4 * error + 1e-6
+    want = np.diag(covariance - covariance @ a.T @ np.linalg.solve(v, a @ covariance))
+    got = models.posterior_variances(f, weights, 0.3, probes=200).orderBy("i").toPandas()
+    assert (np.abs(got["v"].to_numpy() - want) < 5 * got["error"].to_numpy()).all()
+
+
+def test_means_from_source_and_boundary(spark, line):
+    nodes, simplices, _ = line
+    e = fem.elements(nodes, simplices, 2, 1)
+    k = fem.system(nodes, simplices, 2, 1, 1.0, 0.5, robin=-0.3)
+    load = fem.assembled_load(fem.load(e, 2), 2.0).unionByName(fem.assembled_load(fem.robin_load(nodes, simplices, 2, 1), 0.7))
+    fixed = spark.createDataFrame([(0, 1.5)], "i long, v double")
+    got = vectors(models.implicit_mean(k, load, fixed).withColumn("rep", F.lit(0)))[0]
+    right, kk = np.zeros(8), dense(k)
+    for r in load.collect():
+        right[r.i] += r.v
+    want = np.concatenate(([1.5], np.linalg.solve(kk[1:, 1:], right[1:] - kk[1:, 0] * 1.5)))
+    assert got == pytest.approx(want, abs=1e-8)
+
+
+def test_extended_location_interpolates(spark):
+    nodes, simplices = meshes.square(spark)
+    levels = Levels((0.0, 1.0), (0.5, 2.0), (2, 3))
+    n, c = extended_nodes(nodes, levels), extended_cells(nodes, simplices, levels)
+    assert (n.count(), c.count()) == (4 * 3 * 4, 2 * 2 * 3)
+    x = {r.node_id: r.x for r in n.collect()}
+    at = [[0.3, 0.6, 0.7, 2.2], [0.9, 0.1, 1.0, 7.0], [0.5, 0.5, 0.0, 1.0], [0.5, 0.5, 1.2, 2.0], [1.5, 0.5, 0.5, 2.0]]
+    points = spark.createDataFrame(list(enumerate(at)), "point_id long, x array<double>")
+    cells = {r.simplex_id: set(r.v) for r in c.collect()}
+    got = {r.point_id: r for r in extended_located(points, nodes, simplices, 3, 2, levels, 1.0, 1e-9).collect()}
+    assert [got[i].simplex_id is None for i in range(5)] == [False, False, False, True, True]
+    for i in range(3):
+        assert sum(got[i].w) == pytest.approx(1.0) and set(got[i].v) == cells[got[i].simplex_id]
+        assert [sum(w * x[v][k] for v, w in zip(got[i].v, got[i].w, strict=True)) for k in range(4)] == pytest.approx(at[i])
+
+
+def test_nearest_sites_far_and_near(spark):
+    rng = np.random.Generator(np.random.PCG64(5))
+    sites = np.concatenate((rng.uniform(0, 10, (60, 3)), rng.uniform(500, 501, (3, 3)), np.zeros((2, 3))))
+    points = np.concatenate((rng.uniform(-5, 15, (80, 3)), rng.uniform(-900, 900, (20, 3)), np.zeros((1, 3))))
+    s = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(sites)] + [(900, None), (901, [1.0, None, 2.0])], "site_id long, x array<double>")
+    p = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(points)] + [(900, None)], "point_id long, x array<double>")
+    got = {r.point_id: (r.site_id, r.distance) for r in locate.nearest(p, s, 3, 2.0).collect()}
+    d = np.sqrt(((points[:, None] - sites) ** 2).sum(-1))
+    assert len(got) == len(points) and all(got[i][0] == d[i].argmin() and got[i][1] == pytest.approx(d[i].min()) for i in range(len(points)))
+    assert locate.nearest(p, s.limit(0), 3, 2.0).count() == 0 and locate.nearest(p.limit(0), s, 3, 2.0).count() == 0
+
+
 def test_conjugate_gradients(spark):
     rng = np.random.Generator(np.random.PCG64(1))
     b = rng.normal(size=(8, 8))
@@ -222,9 +380,21 @@ def test_spectral_likelihood(spark):
     density = fields.spectral_density(k, [6, 4], [2.0, 1.0], 0.8)
     assert density.agg(F.avg("density")).first()[0] == pytest.approx(1.0)
     data = spark.range(24).select(F.lit(0).cast("long").alias("rep"), F.col("id").alias("cell"), F.sin("id").alias("value"))
-    back = fields.spectral_covariance(spark, density, [6, 4], fields.spectral_covariance(spark, density, [6, 4], data), -1.0)
+    back = fields.spectral_covariance(density, [6, 4], fields.spectral_covariance(density, [6, 4], data), -1.0)
     assert back.join(data.withColumnRenamed("value", "v"), ["rep", "cell"]).where("abs(value - v) > 1e-9").isEmpty()
-    assert fields.spectral_log_likelihood(spark, density, [6, 4], data).count() == 1
+    grid = np.zeros((6, 4))
+    for r in density.collect():
+        grid[r.k0, r.k1] = r.density
+    x = np.sin(np.arange(24.0))
+    want = np.fft.ifftn(np.fft.fftn(x.reshape(6, 4)) * grid).real.ravel()
+    got = fields.spectral_covariance(density, [6, 4], data).orderBy("cell").toPandas()["value"].to_numpy()
+    assert got == pytest.approx(want)
+    solved = np.fft.ifftn(np.fft.fftn(x.reshape(6, 4)) / grid).real.ravel()
+    assert fields.spectral_log_likelihood(density, [6, 4], data).first()["log_likelihood"] == pytest.approx(-0.5 * (np.log(grid).sum() + 24 * math.log(2 * math.pi) + x @ solved))
+    draws = fields.spectral_sample(density, [6, 4], spark.range(60).withColumnRenamed("id", "rep"), seed=2)
+    assert draws.count() == 1440 and draws.agg(F.var_pop("value")).first()[0] == pytest.approx(1.0, rel=0.15)
+    again = fields.spectral_sample(density.repartition(5), [6, 4], spark.range(60).withColumnRenamed("id", "rep").repartition(3), seed=2)
+    assert again.agg(F.sum("value")).first()[0] == pytest.approx(draws.agg(F.sum("value")).first()[0])
 
 
 def test_shift_is_found(spark):

@@ -36,7 +36,7 @@ def test_query_matches_sql(spark, con, name):
         assert all(u == v or (isinstance(u, float) and isinstance(v, float) and math.isclose(u, v, rel_tol=1e-6, abs_tol=1e-6)) for u, v in zip(x, y, strict=True)), (x, y)
 
 
-@pytest.mark.parametrize("name", ["nig_to_gauss", "nig_cdf", "nig_draws", "spectral_sample", "spectral_covariance", "vector_field"])
+@pytest.mark.parametrize("name", ["nig_to_gauss", "nig_cdf", "nig_draws", "nig_fit_gradient", "spectral_sample", "field_implicit_mean", "field_realisations", "field_posterior_means"])
 def test_query_gives_rows(spark, name):
     assert QUERIES[name](spark, str(DATA)).count() > 0
 
