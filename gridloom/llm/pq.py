@@ -193,7 +193,7 @@ def _sampled(packed: DataFrame, count: int, sample: int) -> pa.Table:
     """About ``sample`` vectors, at most: those whose id hash is below a bound, then the least of them. Only these leave their partitions."""
     share = min(1.0, 1.1 * sample / max(count, 1))
     spot = F.shiftrightunsigned(F.xxhash64("node"), 1)
-    some = packed.where(spot < int(share * (2**63 - 1))) if share < 1 else packed
+    some = packed.where(spot < int(share * 2**63)) if share < 1 else packed
     return some.select("dim", "vector", spot.alias("spot"), "node", "label").orderBy("spot", "node", "label").limit(sample).select("dim", "vector").toArrow()
 
 

@@ -172,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
     lit = F.array(*[F.lit(int(b)) for b in buckets]).cast("array<int>")
     # The hash that the sample ends at: of hashes alone, and of those below a bound that leaves about so many.
     spot = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    near = rows.where(spot < int(min(1.0, 1.1 * sample / max(whole["rows"], 1)) * (2**63 - 1)))
+    near = rows.where(spot <= min(2**63 - 1, int(1.1 * sample / max(whole["rows"], 1) * 2**63)))
     last = near.select(spot.alias("spot")).orderBy("spot").limit(sample).agg(F.max("spot").alias("spot")).first()["spot"]
     some = saved(near.where(spot <= F.lit(last).cast("long")).withColumn("row", F.monotonically_increasing_id()), "sample")
     rest = some.select("row", "fold", F.explode(F.array_except("words", lit)).alias("bucket")).join(counted, "bucket")
