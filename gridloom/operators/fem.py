@@ -84,40 +84,51 @@ def robin_mass(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int) ->
     return mass(elements(nodes, named, vertices - 1, d), vertices - 1)
 
 
-def _scaled(entries: DataFrame, coefficient: Column | None, parameters: DataFrame | None) -> DataFrame:
-    """Entries times a coefficient, a column of ``parameters`` (one row for each ``simplex_id``)."""
-    return entries if coefficient is None else entries.join(parameters.select("simplex_id", coefficient.alias("_c")), "simplex_id").withColumn("w", F.col("w") * F.col("_c")).drop("_c")
-
-
 def system(
     nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, mass_coefficient, stiffness_coefficient=None, robin: float = 0.0, tensor: list[list[Column]] | None = None, flow_coefficients: list | None = None, parameters: DataFrame | None = None, e: DataFrame | None = None
 ) -> DataFrame:
     """K = M(c) + B(b) + G(g) - M_boundary(robin), ``i, j, v``.
 
-    Coefficients of mass and stiffness are numbers or tables ``simplex_id, c``; the mass's may be a column of ``parameters`` (one row for each ``simplex_id``), and so
-    are the entries of ``tensor`` (d by d), which takes the place of the stiffness coefficient, and of ``flow_coefficients`` (for each dimension a
-    number, a column or None). Terms without a coefficient are not built. ``e``: the elements, if there are already.
+    A coefficient is a number, a table ``simplex_id, c``, or a column of ``parameters`` (one row for each ``simplex_id``); so are the entries of ``tensor`` (d by d),
+    which takes the place of the stiffness coefficient, and of ``flow_coefficients`` (for each dimension one or None). Terms without a coefficient are not built.
+    All terms of a simplex are added before anything is shuffled: one grouping by place makes the matrix. ``e``: the elements, if there are already.
     """
-    e = elements(nodes, simplices, vertices, d) if e is None else e
-    own = mass(e, vertices)
-    terms = [assembled(_scaled(own, mass_coefficient, parameters)) if isinstance(mass_coefficient, Column) else assembled(own, mass_coefficient)]
-    if tensor is not None:
-        columns = [F.col(f"_t{k}_{m}") for k in range(d) for m in range(d)]
-        wide = e.join(parameters.select("simplex_id", *[tensor[k][m].alias(f"_t{k}_{m}") for k in range(d) for m in range(d)]), "simplex_id")
-        terms.append(assembled(stiffness(wide, vertices, d, [columns[k * d : (k + 1) * d] for k in range(d)])))
-    elif stiffness_coefficient is not None:
-        terms.append(assembled(stiffness(e, vertices, d), stiffness_coefficient))
-    for k, b in enumerate(flow_coefficients or []):
-        if isinstance(b, Column):
-            terms.append(assembled(_scaled(flow(e, vertices, k), b, parameters)))
-        elif b:
-            terms.append(assembled(flow(e, vertices, k), b))
+    wide, columns = elements(nodes, simplices, vertices, d) if e is None else e, {}
+
+    def of(c, name: str) -> Column:
+        """The coefficient as a column of the elements."""
+        nonlocal wide
+        if isinstance(c, DataFrame):
+            wide = wide.join(c.select("simplex_id", F.col("c").alias(name)), "simplex_id")
+        elif isinstance(c, Column):
+            columns[name] = c
+        else:
+            return F.lit(float(c))
+        return F.col(name)
+
+    c = of(mass_coefficient, "_c")
+    h = [[of(tensor[k][m], f"_h{k}_{m}") for m in range(d)] for k in range(d)] if tensor is not None else None
+    g = of(stiffness_coefficient, "_g") if tensor is None and stiffness_coefficient is not None else None
+    b = {k: of(x, f"_b{k}") for k, x in enumerate(flow_coefficients or []) if isinstance(x, (Column, DataFrame)) or x}
+    if columns:
+        wide = wide.join(parameters.select("simplex_id", *[x.alias(name) for name, x in columns.items()]), "simplex_id")
+    t = vertices - 1
+    slopes = [parts(F.get("gradients", k), d) for k in range(vertices)]
+
+    def value(i: int, j: int) -> Column:
+        out = c * ((2.0 if i == j else 1.0) / ((t + 1) * (t + 2)))
+        if h is not None:
+            out = out + sum((slopes[i][k] * h[k][m] * slopes[j][m] for k in range(d) for m in range(d)), F.lit(0.0))
+        elif g is not None:
+            out = out + g * dot(slopes[i], slopes[j])
+        for k, x in b.items():
+            out = out + x * slopes[i][k] / vertices
+        return F.col("area") * out
+
+    entries = _pairs(wide, vertices, value)
     if robin:
-        terms.append(assembled(robin_mass(nodes, simplices, vertices, d), -robin))
-    out = terms[0]
-    for t in terms[1:]:
-        out = out.unionByName(t)
-    return out.groupBy("i", "j").agg(F.sum("v").alias("v"))
+        entries = entries.unionByName(robin_mass(nodes, simplices, vertices, d).withColumn("w", F.col("w") * -robin))
+    return assembled(entries)
 
 
 def robin_load(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int) -> DataFrame:

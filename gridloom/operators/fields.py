@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -135,13 +136,27 @@ def sample(spark: SparkSession, f: Factor, n: int, seed: int = 0, mean: float =
 
 @dataclass(frozen=True)
 class Normal:
-    """Observations folded onto the nodes: A^T Q A, A^T Q y, y^T Q y, their number and log |Q|; Q = 1 / sd^2."""
+    """Observations folded onto the nodes: A^T Q A, A^T Q y, y^T Q y, their number and log |Q|; Q = 1 / sd^2. Numbers are counted when they are asked for."""
 
     ata: DataFrame
     aty: DataFrame
-    yty: float
-    count: int
-    log_q: float
+    sums: DataFrame
+
+    @cached_property
+    def _totals(self):
+        return self.sums.first()
+
+    @property
+    def yty(self) -> float:
+        return self._totals["yty"] or 0.0
+
+    @property
+    def count(self) -> int:
+        return self._totals["n"]
+
+    @property
+    def log_q(self) -> float:
+        return self._totals["log_q"] or 0.0
 
 
 def normal_equations(weights: DataFrame, y: DataFrame) -> Normal:
@@ -153,8 +168,7 @@ def normal_equations(weights: DataFrame, y: DataFrame) -> Normal:
     aty = rows.groupBy(F.col("a.node_id").alias("i")).agg(F.sum(F.col("a.w") * F.col("q") * F.col("value")).alias("v"))
     pairs = rows.select("a", "q", F.explode("e").alias("b"))
     ata = pairs.groupBy(F.col("a.node_id").alias("i"), F.col("b.node_id").alias("j")).agg(F.sum(F.col("a.w") * F.col("b.w") * F.col("q")).alias("v"))
-    one = each.agg(F.sum(q * F.col("value") * F.col("value")).alias("yty"), F.count("*").alias("n"), F.sum(F.log(q)).alias("log_q")).first()
-    return Normal(ata, aty, one["yty"] or 0.0, one["n"], one["log_q"] or 0.0)
+    return Normal(ata, aty, each.agg(F.sum(q * F.col("value") * F.col("value")).alias("yty"), F.count("*").alias("n"), F.sum(F.log(q)).alias("log_q")))
 
 
 def _posterior(f: Factor, normal: Normal) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -94,11 +94,17 @@ def cut(nodes: DataFrame, simplices: DataFrame, outside: DataFrame, keep_border:
 
 
 def ranked(df: DataFrame, name: str, order: list[str], cells: int = 1000) -> DataFrame:
-    """Adds ``rank``: 0, 1, ... in the order of ``order``, whose first column is a long. Rows are ranked within ranges of it, and a
-    running count over the ranges (few rows) places these, so that no task has all rows."""
+    """Adds ``rank``: 0, 1, ... in the order of ``order``, whose first column is a long. Rows are ranked within ranges of it, ranges within ranges of ranges, and
+    a running count over the latter (a millionth of the rows, where ids are dense) places these, so that no task has all rows."""
     cell = df.withColumn("_cell", F.floor(F.col(order[0]) / cells))
-    before = cell.groupBy("_cell").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    counts = cell.groupBy("_cell").agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_cell") / cells))
+
+    def ahead(over) -> Column:
+        return F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_n")).select("_block", ahead(Window.orderBy("_block")).alias("_blocks_before"))
+    within = counts.select("_cell", "_block", ahead(Window.partitionBy("_block").orderBy("_cell")).alias("_cells_before"))
+    before = within.join(blocks, "_block").select("_cell", (F.col("_cells_before") + F.col("_blocks_before")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_cell").orderBy(*order)) - 1
     return cell.join(before, "_cell").withColumn(name, (F.col("_before") + rank).cast("long")).drop("_cell", "_before")
 
