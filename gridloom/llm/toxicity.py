@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from gridloom.llm.words import _LOWER, BASES, U, pieces, run_hashes
 #: Words are hashed into so many buckets; each category's model has a weight of its own for so many of them; it is fitted on so many documents at most.
 #: A word gets its own weight if its rate among positive documents is so many standard errors off; the rest share one weight for each category.
 BUCKETS, CHOSEN, SAMPLE, FOLDS, ERRORS = 1 << 20, 400, 20_000, 5, 5.0
+#: Rows that are predicted at once.
+SLICE = 512
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -188,7 +191,10 @@ def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
 def _predict(chain: Chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = chain.predict(chain.features(word_buckets(batch.column("text")), batch.num_rows))
+            # In slices: a batch of short texts has many rows, and a row has a feature for each word with a weight of its own.
+            sets, at = word_buckets(batch.column("text")), range(0, batch.num_rows, SLICE)
+            parts = [chain.predict(chain.features(islice(sets, SLICE), min(SLICE, batch.num_rows - i))) for i in at]
+            p = np.concatenate(parts) if parts else np.zeros((0, len(chain.names)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(p.shape[1]))], ["doc_id", *(f"p_{c}" for c in chain.names)])
 
     return run
