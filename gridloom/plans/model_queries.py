@@ -161,7 +161,7 @@ def field_implicit_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = locate.observation_weights(points(spark, sf_dir).select("point_id", "x"), nodes, simplices, 3, 2, 1.0, 1e-9)
     load = w.where("node_id IS NOT NULL").join(points(spark, sf_dir).select("point_id", "value"), "point_id").groupBy(F.col("node_id").alias("i")).agg(F.sum(F.col("w") * F.col("value")).alias("v"))
     fixed = nodes.where(F.get("x", 1) == 0).select(F.col("node_id").alias("i"), F.lit(1.0).alias("v"))
-    return models.implicit_mean(fem.system(nodes, simplices, 3, 2, 1.0, 1.0), load, fixed, 1e-8)
+    return models.implicit_mean(fem.system(nodes, simplices, 3, 2, 1.0, 1.0), load, fixed, 1e-6)
 
 
 def _varying(spark: SparkSession, sf_dir: str) -> tuple[models.Field, DataFrame, DataFrame]:
@@ -175,7 +175,7 @@ def field_realisations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A draw of the non-stationary field for each return flag."""
     f, _, _ = _varying(spark, sf_dir)
     reps = table(spark, sf_dir, "lineitem").select(F.ascii("l_returnflag").cast("long").alias("rep")).distinct()
-    return models.realisations(f, reps, seed=5)
+    return models.realisations(f, reps, seed=5, tolerance=1e-6)
 
 
 @query()
@@ -184,7 +184,7 @@ def field_posterior_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, nodes, simplices = _varying(spark, sf_dir)
     w = locate.observation_weights(points(spark, sf_dir).select("point_id", "x"), nodes, simplices, 3, 2, 1.0, 1e-9)
     y = table(spark, sf_dir, "lineitem").select(F.ascii("l_returnflag").cast("long").alias("rep"), point_id().alias("point_id"), (F.col("l_discount") - 0.05).alias("value"))
-    return models.posterior_means(f, w, y, 0.5, 1e-6)
+    return models.posterior_means(f, w, y, 0.5, 1e-5)
 
 
 @query()
@@ -194,4 +194,4 @@ def field_covariance_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = models.matern_field(nodes, simplices, 3, 2, Matern(0.5, 4.0, 1.0, 2))
     ends = nodes.agg(F.min("node_id").alias("a"), F.max("node_id").alias("b"))
     columns = ends.select(F.posexplode(F.array("a", "b")).alias("rep", "i")).select(F.col("rep").cast("long").alias("rep"), "i", F.lit(1.0).alias("v"))
-    return models.covariance_times(f, columns, 1e-6)
+    return models.covariance_times(f, columns, 1e-5)

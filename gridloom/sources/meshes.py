@@ -214,6 +214,58 @@ def write_msh(nodes: DataFrame, simplices: DataFrame, path: str) -> None:
     msh_lines(nodes, simplices).repartition(1).sortWithinPartitions("part", "number").select("line").write.mode("overwrite").text(path)
 
 
+#: Cell types of the format, by number of vertices.
+VTK_TYPES = {1: 1, 2: 3, 3: 5, 4: 10}
+
+
+def vtk_lines(nodes: DataFrame, simplices: DataFrame) -> DataFrame:
+    """``part, number, line``: the text of a legacy VTK file (an unstructured grid), in the order of (part, number). Node and simplex ids are made dense first, as the format
+    has none; missing coordinates are 0."""
+    from gridloom.operators.topology import renumber
+
+    nodes, simplices = renumber(nodes, simplices)
+    x = [F.coalesce(F.get("x", i), F.lit(0.0)).cast("string") for i in range(3)]
+    size = F.size("v")
+    kind = F.element_at(F.create_map(*[F.lit(k) for pair in VTK_TYPES.items() for k in pair]), size)
+
+    def head(df: DataFrame, part: int, line: Column) -> DataFrame:
+        return df.agg(F.lit(part).alias("part"), F.lit(-1).cast("long").alias("number"), line.alias("line"))
+
+    def body(df: DataFrame, part: int, number: str, line: Column) -> DataFrame:
+        return df.select(F.lit(part).alias("part"), F.col(number).alias("number"), line.alias("line"))
+
+    count = F.count("*").cast("string")
+    return (
+        head(nodes, 0, F.concat(F.lit("# vtk DataFile Version 3.0\nmesh\nASCII\nDATASET UNSTRUCTURED_GRID\nPOINTS "), count, F.lit(" double")))
+        .unionByName(body(nodes, 1, "node_id", F.concat_ws(" ", *x)))
+        .unionByName(head(simplices, 2, F.concat(F.lit("CELLS "), count, F.lit(" "), F.coalesce(F.sum(size + 1), F.lit(0)).cast("string"))))
+        .unionByName(body(simplices, 3, "simplex_id", F.concat_ws(" ", size.cast("string"), F.array_join(F.col("v").cast("array<string>"), " "))))
+        .unionByName(head(simplices, 4, F.concat(F.lit("CELL_TYPES "), count)))
+        .unionByName(body(simplices, 5, "simplex_id", kind.cast("string")))
+    )
+
+
+def write_vtk(nodes: DataFrame, simplices: DataFrame, path: str) -> None:
+    """One text file, written by one task as ``write_msh``'s is."""
+    vtk_lines(nodes, simplices).repartition(1).sortWithinPartitions("part", "number").select("line").write.mode("overwrite").text(path)
+
+
+def read_vtk(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and cells of a legacy VTK text file with one point or cell a line, as ``write_vtk`` writes it; ids count from 0 in the file's order."""
+    from gridloom.operators.topology import ranked
+
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.trim("value").alias("value"), F.monotonically_increasing_id().alias("at"))
+    lines = ranked(lines.where("value != ''"), "row", ["at"]).select("row", "value", F.split("value", r"\s+").alias("f"))
+    marks = {r["name"]: (r["row"], r["n"]) for r in lines.where(F.get("f", 0).isin("POINTS", "CELLS")).select(F.get("f", 0).alias("name"), "row", F.get("f", 1).cast("long").alias("n")).limit(2).collect()}
+
+    def section(name: str) -> DataFrame:
+        at, n = marks.get(name, (0, 0))
+        return lines.where((F.col("row") > at) & (F.col("row") <= at + n)).withColumn("k", F.col("row") - at - 1)
+
+    nodes = section("POINTS").select(F.col("k").alias("node_id"), F.transform("f", lambda c: c.cast("double")).alias("x"))
+    return nodes, section("CELLS").select(F.col("k").alias("simplex_id"), F.transform(F.expr("slice(f, 2, size(f))"), lambda c: c.cast("long")).alias("v"))
+
+
 def geo_point(number: Column, x: list[Column], size: Column | None = None) -> Column:
     """Geometry-script line of a point, with a characteristic length if there is one."""
     fields = [c.cast("string") for c in (x if size is None else [*x, size])]

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import geometry, marginals, special
+from gridloom.functions.optimise import nelder_mead
 from gridloom.functions.rational import clenshaw_lord
 from gridloom.functions.vectors import parts
 from gridloom.operators import distributions, fem, fields, imaging, locate, models, paths, sparse, topology
@@ -123,6 +124,20 @@ def test_mesh_files_round_trip(spark, tmp_path):
     assert {tuple(r.v) for r in s.collect()} == {tuple(r.v) for r in simplices.collect()}
 
 
+def test_vtk_files_round_trip(spark, tmp_path):
+    nodes, simplices = meshes.grid(spark, [0.0, 0.0, 0.0], [1.0, 1.0, 1.0], 0.5)
+    meshes.write_vtk(nodes, simplices, str(tmp_path / "vtk"))
+    n, s = meshes.read_vtk(spark, str(tmp_path / "vtk"))
+    assert {(r.node_id, tuple(r.x)) for r in n.collect()} == {(r.node_id, tuple(r.x)) for r in nodes.collect()}
+    assert {(r.simplex_id, tuple(r.v)) for r in s.collect()} == {(r.simplex_id, tuple(r.v)) for r in simplices.collect()}
+
+
+def test_minimiser_finds_the_valley():
+    x, y, settled = nelder_mead(lambda p: (1 - p[0]) ** 2 + 100 * (p[1] - p[0] ** 2) ** 2, np.array([-1.2, 1.0]), 0.5, 1e-9, 2000)
+    assert settled and x == pytest.approx([1.0, 1.0], abs=1e-6) and y < 1e-12
+    assert not nelder_mead(lambda p: float("nan"), np.zeros(2), most=10)[2]
+
+
 def test_curvature_centre_lets_points_in(spark):
     angle = [math.pi * k / 3 for k in range(6)]
     nodes = spark.createDataFrame([(i, [math.cos(a), math.sin(a)]) for i, a in enumerate(angle)], meshes.NODES)
