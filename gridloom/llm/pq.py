@@ -77,12 +77,14 @@ class Index:
         near = d.argmin(1)
         return d - d[np.arange(len(x)), near][:, None] <= 2 * self.reach * radius * self.between[near] + 1e-9
 
-    def near_codes(self, x: np.ndarray, at: int, codes: np.ndarray, error: np.ndarray, radius: float) -> np.ndarray:
-        """Members of list ``at`` by queries: may be within the radius, by asymmetric distances: a sum of rows of one table for each subspace."""
-        d = np.zeros((len(codes), len(x)), np.float32)
-        for s, (part, book) in enumerate(self._subspaces(x - self.coarse[at])):
-            d += np.ascontiguousarray(_distances(book, part), np.float32)[codes[:, s]]
-        return d <= ((radius + error + 1e-4) ** 2).astype(np.float32)[:, None]
+    def tables(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each subspace, products of its codes with the queries (codes by queries): the same for every list."""
+        return [np.ascontiguousarray(book @ part.T, np.float32) for part, book in self._subspaces(x)]
+
+    def lengths(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Squared lengths of what the codes stand for."""
+        decoded = self.coarse[lists] + np.concatenate([book[codes[:, s]] for s, book in enumerate(self.books)], axis=1)
+        return (decoded * decoded).sum(axis=1)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -128,19 +130,25 @@ def _survivors(indexes: dict[int, Index], radius: float):
         first = {c: ask.column(c)[0].as_py() for c in ("label", "dim", "home", "q_part")}
         index, x = indexes[first["dim"]], _unit(_vectors(ask.column("vector")))
         probes = index.probes(x, radius)
-        lists = member.column("list").to_numpy()
-        codes = np.frombuffer(b"".join(member.column("codes").to_pylist()), np.uint8).reshape(len(lists), -1)
-        error, found = member.column("error").to_numpy(), []
-        for at in np.unique(lists):
-            rows, asks = np.flatnonzero(lists == at), x[probes[:, at]]
-            near = np.zeros(len(rows), bool)
-            for i in range(0, len(asks), 256):
-                left = np.flatnonzero(~near)
-                for j in range(0, len(left), 4096):
-                    some = left[j : j + 4096]
-                    near[some] |= index.near_codes(asks[i : i + 256], int(at), codes[rows[some]], error[rows[some]], radius).any(axis=1)
-            found.append(rows[near])
-        rows = pa.array(np.concatenate(found))
+        order = np.argsort(member.column("list").to_numpy(), kind="stable")
+        lists = member.column("list").to_numpy()[order]
+        codes = np.frombuffer(b"".join(member.column("codes").to_pylist()), np.uint8).reshape(len(order), -1)[order]
+        within, found = (radius + member.column("error").to_numpy()[order] + 1e-4) ** 2, []
+        for i in range(0, len(x), 512):
+            tables, asked = index.tables(x[i : i + 512]), probes[i : i + 512].T
+            centres = (index.coarse @ x[i : i + 512].T).astype(np.float32)
+            for j in range(0, len(lists), 2048):
+                at, code = lists[j : j + 2048], codes[j : j + 2048]
+                q = np.flatnonzero(asked[np.unique(at)].any(axis=0))  # of a long list, the queries that probe it; of short ones, any of them
+                if len(q):
+                    every = len(q) == asked.shape[1]
+                    dots = centres[at] if every else centres[at][:, q]
+                    for s, table in enumerate(tables):
+                        dots += (table if every else table[:, q])[code[:, s]]
+                    # |x - y|^2 of a unit query and what the code stands for.
+                    near = (1 + index.lengths(at, code) - within[j : j + 2048]).astype(np.float32)[:, None] <= 2 * dots
+                    found.append(order[j + np.flatnonzero((near & (asked[at] if every else asked[at][:, q])).any(axis=1))])
+        rows = pa.array(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64))
         fill = lambda v, t: pa.array([v] * len(rows), t)
         return pa.table({"label": fill(first["label"], pa.string()), "dim": fill(first["dim"], pa.int32()), "home": fill(first["home"], pa.int32()), "q_part": fill(first["q_part"], pa.int64()), "node": member.column("node").take(rows), "print": member.column("print").take(rows)})
 
