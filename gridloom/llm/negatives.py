@@ -30,8 +30,8 @@ MINED = "anchor_id long, positive_id long, rank int, negative_id long, positive_
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Lists of one length as rows."""
-    column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
+    n, values = len(column), column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return values.reshape(n, len(values) // max(n, 1))
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
