@@ -1,18 +1,50 @@
-"""Checkpoints for iterative operators, in the folder that the session names."""
+"""Checkpoints and logs for iterative operators, in the folder that the session names."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``. Where that is unset: a temporary folder if Spark runs in this process alone, else an error,
-    as other machines could not read it."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where that is unset: a temporary folder if Spark runs in this process alone, else an error, as other machines could not read it."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.getCheckpointDir():
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+class Log:
+    """Rows by their ``step`` in the shared folder: added as steps make them, read by the step they are for."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.schema, self.path, self.used = spark, schema, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", False
+
+    def add(self, rows: DataFrame) -> None:
+        rows.repartition("step", "j").write.mode("append").partitionBy("step").parquet(self.path)
+        self.used = True
+
+    def every(self) -> DataFrame:
+        names = [c.split()[0] for c in self.schema.split(", ")]
+        if not self.used:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*names)
+
+    def of(self, step: int) -> DataFrame:
+        return self.every().where(f"step = {step}")
+
+    def drop(self) -> None:
+        """Delete it, once nothing is to be read any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

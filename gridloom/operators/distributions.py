@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.marginals import CAP, nig_by_moments, nig_gauss, nig_log_pdf
+from gridloom.operators.cut_lineage import checkpointed
 
 def bessel_ratio_terms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """exp(x) K_0(x), exp(x) K_1(x), exp(x) K_2(x) for all x > 0 at once: trapezoids of exp(-x (cosh t - 1)) cosh(order t), up to
@@ -99,7 +100,7 @@ def fit_em(data: DataFrame, by: str, value: str, rounds: int = 50, tolerance: fl
     """
     spark = data.sparkSession
     y = F.col(value).cast("double")
-    rows = data.where(y.isNotNull() & ~F.isnan(y)).select(F.col(by).alias("g"), y.alias("y"))
+    rows = checkpointed(data.where(y.isNotNull() & ~F.isnan(y)).select(F.col(by).alias("g"), y.alias("y")))  # every pass reads it again
     best: dict = {}
     late: set = set()
     kind = f"g {rows.schema['g'].dataType.simpleString()}, n long, s double, w double, yw double, y double, ll double"
@@ -168,7 +169,7 @@ def fit_gradient(data: DataFrame, by: str, value: str, rounds: int = 200, tolera
     or steps have become too small to matter, within ``rounds`` passes. alpha * delta is held at ``CAP`` at most. Null and NaN values are left out; groups without spread have no row.
     """
     spark, y = data.sparkSession, F.col(value).cast("double")
-    rows = data.where(y.isNotNull() & ~F.isnan(y)).select(F.col(by).alias("g"), y.alias("y"))
+    rows = checkpointed(data.where(y.isNotNull() & ~F.isnan(y)).select(F.col(by).alias("g"), y.alias("y")))  # every pass reads it again
     start = fit_by_moments(rows, "g", "y").join(moments(rows, "g", "y").select("g", "mean", F.sqrt("variance").alias("sd")), "g").where("alpha > 0 AND delta > 0 AND sd > 0").toPandas()
     kind = f"g {rows.schema['g'].dataType.simpleString()}, n long, " + ", ".join(f"s{k} double" for k in range(_POINTS))
     state: dict = {}
@@ -191,7 +192,7 @@ def fit_gradient(data: DataFrame, by: str, value: str, rounds: int = 200, tolera
             s["n"] = n
             if not f >= s["f"] + 1e-4 * s["step"] * float(s["g"] @ s["p"]):
                 s["step"] /= 4
-                s["done"] = s["step"] < 1e-6
+                s["done"] = bool(s["step"] < 1e-6)
                 continue
             moved, turned = trial[r["g"]] - s["t"], s["g"] - slope
             if s["step"] and moved @ turned > 1e-14:
