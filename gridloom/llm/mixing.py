@@ -2,8 +2,10 @@
 
 A source's target over its size is each of its documents' expected number of copies. The whole part is taken at once; the fractions
 are rounded dependently: two documents meet, words move at random from one to the other until one of them is whole, and
-the other meets the next. The words in play stay the same throughout and the very last fraction is rounded to
-the nearer side, so a source misses its target by half a document at most. Each chunk of a source does this on its own and leaves one fraction; those meet in a tree of
+the other meets the next. A document with a large share of the words meets all others as one, so that it is whole before the small ones are; expectations are kept
+where they have room for its words, and given up for the target where they have not.
+The words in play stay the same throughout and the very last fraction, a small document's where the others could take the large ones' words, is rounded to
+the nearer side: a source misses its target by half of that document. Each chunk of a source does this on its own and leaves one fraction; those meet in a tree of
 sixteen-fold levels.
 """
 
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.store import saved
 
 WEIGHTS = (5, 2, 1)
-CHUNK, FAN = 8192, 16
+CHUNK, FAN, LARGE, TURNS = 8192, 16, 2048, 64
 _EVEN = 1e-9
 
 
@@ -42,26 +44,83 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return t.select("source", "source_size", "rank", F.coalesce(F.least("cap", F.col("level") * F.col("w")), "cap").alias("target"))
 
 
+def _pair(p: np.ndarray, size: np.ndarray, i: int, j: int, draw: float) -> None:
+    """Words move from one of two documents to the other until one is whole."""
+    up, down = min(size[i] * (1 - p[i]), size[j] * p[j]), min(size[j] * (1 - p[j]), size[i] * p[i])
+    moved = up if draw * (up + down) < down else -down
+    p[i] += moved / size[i]
+    p[j] -= moved / size[j]
+    for x in (i, j):
+        if min(p[x], 1 - p[x]) < _EVEN:
+            p[x] = round(p[x])
+
+
+def _shares(p: np.ndarray, size: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
+    """The most that each of the others can move for document i whichever way it falls, in documents for each of its words."""
+    return np.minimum(p[rest] / (1 - p[i]), (1 - p[rest]) / p[i]) / size[i]
+
+
+def _room(p: np.ndarray, size: np.ndarray, i: int, rest: np.ndarray) -> float:
+    """The part of document i's words that the others can take and keep their expectations."""
+    return float(_shares(p, size, i, rest) @ size[rest])
+
+
+def _against_rest(p: np.ndarray, size: np.ndarray, i: int, rest: np.ndarray, draw: float) -> float:
+    """A large document against all others as one unit: it moves toward 0 or 1 by its own draw, and they give or take its words, each in a share that keeps
+    its expectation and stays between 0 and 1 whichever way the draw falls. It becomes whole where they have room for its words; the room's part of them is returned."""
+    q, share = p[i], _shares(p, size, i, rest)
+    room = float(share @ size[rest])
+    part = min(room, 1.0)
+    if part > 0:
+        p[i] += part * (float(draw < q) - q)
+        p[rest] -= (p[i] - q) * size[i] / room * share
+        for x in (np.array([i]), rest):
+            near = np.minimum(p[x], 1 - p[x]) < _EVEN
+            p[x[near]] = np.round(p[x[near]])
+    return part
+
+
+def _for_target(p: np.ndarray, size: np.ndarray, i: int, rest: np.ndarray, draw: float) -> None:
+    """The same where the others have no room for both outcomes: the one they have room for is taken (drawn where each could be had alone, the nearer where neither), for the target's sake."""
+    q, give, take = p[i], float(p[rest] @ size[rest]), float((1 - p[rest]) @ size[rest])
+    up, down = give >= size[i] * (1 - q), take >= size[i] * q
+    p[i] = float(up if up != down else draw < q if up else q >= 0.5)
+    words = (q - p[i]) * size[i]
+    p[rest] = p[rest] + (1 - p[rest]) * min(1.0, words / take) if words > 0 else p[rest] * (1 - min(1.0, -words / give))
+    near = np.minimum(p[rest], 1 - p[rest]) < _EVEN
+    p[rest[near]] = np.round(p[rest[near]])
+
+
 def _meet(seed: int, last: bool):
-    """One chunk: fractions p of units with sizes become 0 or 1, but for one at most (none with ``last``)."""
+    """One chunk: fractions p of units with sizes become 0 or 1, but for one at most (none with ``last``).
+
+    Documents of more than a ``LARGE``-th of the chunk's words are settled first, the largest before the others, each against all the rest, so that the fraction that stays last is a small document's.
+    """
 
     def run(chunk: pd.DataFrame) -> pd.DataFrame:
         chunk = chunk.sort_values(["size", "doc_id", "print"], ascending=[False, True, True], na_position="last", kind="stable").reset_index(drop=True)
         p, size = chunk["p"].to_numpy(copy=True), chunk["size"].to_numpy(float)
         rng = np.random.Generator(np.random.PCG64([seed, int(chunk["rank"].iloc[0]), int(chunk["chunk"].iloc[0])]))
-        draws = rng.random(len(chunk))
+        open_ = np.flatnonzero((p > 0) & (p < 1))
+        for i in open_:
+            if size[i] * LARGE <= size[open_].sum():
+                break
+            for _ in range(TURNS):
+                open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
+                rest = open_[open_ != i]
+                if not 0 < p[i] < 1 or not len(rest):
+                    break
+                if last and _room(p, size, i, rest) < 1:
+                    _for_target(p, size, i, rest, rng.random())
+                elif _against_rest(p, size, i, rest, rng.random()) < 1 / TURNS:
+                    break
+        open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
         i = -1
-        for j in range(len(p)):
+        for j in open_:
             if i < 0:
                 i = j
                 continue
-            up, down = min(size[i] * (1 - p[i]), size[j] * p[j]), min(size[j] * (1 - p[j]), size[i] * p[i])
-            moved = up if draws[j] * (up + down) < down else -down
-            p[i] += moved / size[i]
-            p[j] -= moved / size[j]
-            for x in (i, j):
-                if min(p[x], 1 - p[x]) < _EVEN:
-                    p[x] = round(p[x])
+            _pair(p, size, i, j, rng.random())
             i = i if 0 < p[i] < 1 else j if 0 < p[j] < 1 else -1
         if last and i >= 0:
             p[i] = float(p[i] >= 0.5)
