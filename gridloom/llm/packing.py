@@ -8,6 +8,7 @@ as a bitset per item tried, finds the fill nearest to the capacity; walking the
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from collections import defaultdict
@@ -83,7 +84,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        named = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.named = re.compile(b"|".join(map(re.escape, named))) if named else None
         self.room = room
         self._forget()
 
@@ -91,9 +93,22 @@ class Encoder:
         self.keys, self.at, self.size = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids: np.ndarray = np.zeros(0, "<u4")
 
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """``part_starts``, with tokens that the vocabulary names apart (``<|endoftext|>``) as parts of their own: the tokenizer takes them out of a text first."""
+        starts, raw = part_starts(data, offsets), data.tobytes()
+        if self.named is None or not self.named.search(raw):
+            return starts
+        cut = np.zeros(len(data) + 1, bool)
+        cut[starts] = True
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            for found in self.named.finditer(raw, a, b):
+                cut[found.start() : found.end()] = False
+                cut[[found.start(), found.end()]] = True
+        return np.flatnonzero(cut[:-1])
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each text's first place among them, with the end)."""
-        starts = part_starts(data, offsets)
+        starts = self._starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         hashes = run_hashes(_BYTES[data], starts, ends, BASES[0])
         if sum(x.nbytes for x in (self.keys, self.at, self.size, self.ids)) > self.room:
@@ -215,7 +230,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: str |
     pieces at offsets 0 onward without gaps, ``window`` ids at most. sequence_id is the block's number times 2**32 plus a
     number in the block: unique, not dense. ``tokenizer``: path of a tokenizers file.
 
-    Null or empty text: the end id alone. Null doc_id: packed like others. Repeated rows are packed each. Long texts become
+    Tokens that the vocabulary names apart are one id where a text holds their name. Null or empty text: the end id alone. Null doc_id: packed like others. Repeated rows are packed each. Long texts become
     whole windows and a rest. Other columns are ignored. An empty table gives an empty result. Results depend on the rows
     alone, not on their order or partitions.
     """
@@ -223,6 +238,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, tokenizer: str |
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "text_crc32"]
     cut = saved(in_batches(docs, _cut(tokenizer or default_tokenizer(), window, end_id), ", ".join(f"{n} long" for n in names)), "pieces")
     blocks = max(1, -(-cut.count() // BLOCK))
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "start"), F.lit(blocks)))
+    each = cut.groupBy(*names).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))  # repeated rows go to blocks of their own
+    dealt = each.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "start", "copy"), F.lit(blocks))).select(*names, "block")
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("block").applyInPandas(_fill(window), kind)
