@@ -186,7 +186,7 @@ def duplicate_windows(docs: DataFrame, window: int = 50) -> DataFrame:
         "index",
     )
     found = anchors.drop("spot").join(index, "anchor").groupBy("doc_id", "print")
-    found = found.agg(F.collect_list(F.struct("anchor", "of", "of_spot")).alias("x"))
+    found = found.agg(F.collect_set(F.struct("anchor", "of", "of_spot")).alias("x"))  # a set: repeated rows bring the same anchors
     found = found.select("doc_id", "print", F.col("x.anchor").alias("anchors"), F.col("x.of").alias("of"), F.col("x.of_spot").alias("spots"))
     kind = "doc_id long, print long, held array<int>, h1 array<long>, h2 array<long>, starts array<int>"
     parsed = saved(in_batches(docs.join(found, ["doc_id", "print"]), _parse(window), kind), "parsed")
