@@ -3,13 +3,16 @@
 import hashlib
 import math
 import re
+import zlib
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.llm import decontamination, negatives, queries_c, whitening
+from gridloom.llm import decontamination, mixing, negatives, packing, queries_c, rlz, whitening
 
 DATA = Path("/root/testdata/sf0.001")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -188,3 +191,49 @@ def test_whitening_query(spark):
 def test_items_digest(spark):
     r = queries_c.QUERIES["op11_prefix_decontamination"](spark, str(DATA)).where("n_items = 0").first()
     assert r.items_sha256 == hashlib.sha256(b"").hexdigest() and not r.contaminated
+
+
+def test_large_documents_do_not_decide_a_mix(spark):
+    rng = np.random.Generator(np.random.PCG64(8))
+    sizes = [5184, *(int(n) for n in rng.integers(4, 740, 49)), *(int(n) for n in rng.integers(4, 740, 50))]
+    docs = spark.createDataFrame([(i, "w " * n, "ab"[i >= 50]) for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    for seed in range(3):
+        out = mixing.mix(docs, seed=seed).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+        assert len(out) == 2 and all(abs(r.taken - r.target) <= 0.01 * r.target for r in out)
+
+
+def test_large_documents_keep_their_odds():
+    chunk = pd.DataFrame({"doc_id": range(30), "print": range(30), "rank": 1, "size": [900, 300, *range(60, 88)], "chunk": 0, "p": [0.4, 0.7, *[0.55] * 28]})
+    runs = [mixing._meet(seed, False)(chunk).sort_values("doc_id")["p"].to_numpy() for seed in range(2000)]
+    assert np.abs(np.mean(runs, axis=0) - chunk["p"].to_numpy()).max() < 0.05 and all(((r > 0) & (r < 1)).sum() <= 1 for r in runs)
+    assert all((r * chunk["size"]).sum() == pytest.approx((chunk["p"] * chunk["size"]).sum()) for r in runs)
+    assert all(r[0] in (0, 1) and r[1] in (0, 1) for r in runs)
+
+
+def test_named_tokens_and_repeated_rows_in_packing(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "BLOCK", 20)
+    named = "<|endoftext|>"
+    texts = ["end", f"a{named}b", named, f"{named}{named} x\n{named}", "<|endof", "text|>", f"not <|endoftext |> {named[:-1]}", *["same text"] * 200]
+    docs = spark.createDataFrame([(min(i, 7), t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    out = packing.pack(docs, window=64).toPandas()
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts[:7]):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        r = out[out.doc_id == i].iloc[0]
+        assert r.length == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    again = packing.pack(docs.repartition(5), window=64).toPandas()
+    order = ["sequence_id", "offset"]
+    assert out.sort_values(order).values.tolist() == again.sort_values(order).values.tolist()
+    assert (out[out.doc_id == 7].sequence_id // 2**32).nunique() > 3  # repeated rows are dealt to many blocks
+
+
+def test_repeated_rows_bring_each_anchor_once(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(5, text)] * 40 + [(1, text[: len(text) // 2]), (9, text)], "doc_id long, text string")
+    whole = len(text[: len(text) // 2].rpartition(" ")[0].split()) + (text[len(text) // 2] == " ")  # a word that is cut is another word
+    parsed = rlz.substring_dedup(docs, window=50, texts=False).collect()
+    assert len(parsed) == 42 and {r.n_removed for r in parsed if r.doc_id == 5} == {whole}
+    assert {r.n_removed for r in parsed if r.doc_id == 9} == {200}
