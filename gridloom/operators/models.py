@@ -130,19 +130,32 @@ def covariance_times(f: Field, columns: DataFrame, tolerance: float = 1e-8) -> D
     return f.transfer(sparse.solve_many(f.pl, inner, tolerance)).select("rep", "i", (F.col("v") / f.tau**2).alias("v"))
 
 
-def observed(f: Field, weights: DataFrame, sd: float) -> tuple[DataFrame, DataFrame]:
-    """(posterior precision of v, A Pr): ``weights`` are ``point_id, node_id, w``; points without a node are left out."""
+def with_precisions(rows: DataFrame, sd: float | DataFrame) -> DataFrame:
+    """``rows`` of points ``i`` with their noise's precision ``q``: one for all, or ``point_id, sd``."""
+    if isinstance(sd, DataFrame):
+        return rows.join(sd.select(F.col("point_id").alias("i"), (1 / (F.col("sd") * F.col("sd"))).alias("q")), "i")
+    return rows.withColumn("q", F.lit(1.0 / sd**2))
+
+
+def seen(y: DataFrame) -> DataFrame:
+    """``rep, i, v`` of observations ``rep, point_id, value``, without nulls."""
+    return y.where("value IS NOT NULL").select("rep", F.col("point_id").alias("i"), F.col("value").alias("v"))
+
+
+def observed(f: Field, weights: DataFrame, sd: float | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(posterior precision of v, A Pr): ``weights`` are ``point_id, node_id, w``, sd the noise of all points or of each (``point_id, sd``); points without a node are left out."""
     a = weights.where("node_id IS NOT NULL").select(F.col("point_id").alias("i"), F.col("node_id").alias("j"), F.col("w").alias("v"))
     a = a.join(f.lumped.select(F.col("i").alias("j")), "j", "left_semi").select("i", "j", "v")
     a = checkpointed(a if f.pr is None else sparse.product(a, f.pr))
-    return checkpointed(sparse.add((1.0, f.precision()), (1.0 / sd**2, sparse.product(sparse.transposed(a), a)))), a
+    scaled = with_precisions(a, sd).select("i", "j", (F.col("v") * F.col("q")).alias("v"))
+    return checkpointed(sparse.add((1.0, f.precision()), (1.0, sparse.product(sparse.transposed(a), scaled)))), a
 
 
-def posterior_means(f: Field, weights: DataFrame, y: DataFrame, sd: float, tolerance: float = 1e-8) -> DataFrame:
-    """``rep, i, v``: the field's mean given each replicate's observations (``rep, point_id, value``), all with noise ``sd`` and all points seen in every
+def posterior_means(f: Field, weights: DataFrame, y: DataFrame, sd: float | DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """``rep, i, v``: the field's mean given each replicate's observations (``rep, point_id, value``), with noise ``sd`` (see ``observed``) and all points seen in every
     replicate (a point without a value counts as 0)."""
     q, a = observed(f, weights, sd)
-    right = sparse.times_vectors(sparse.transposed(a), y.where("value IS NOT NULL").select("rep", F.col("point_id").alias("i"), (F.col("value") / sd**2).alias("v")))
+    right = sparse.times_vectors(sparse.transposed(a), with_precisions(seen(y), sd).select("rep", "i", (F.col("v") * F.col("q")).alias("v")))
     return f.transfer(sparse.solve_many(q, right, tolerance))
 
 
@@ -159,15 +172,15 @@ def log_determinant(m: DataFrame, probes: int = 16, steps: int = 30, seed: int =
     return float(np.mean(each)), float(np.std(each, ddof=1) / math.sqrt(len(each))) if len(each) > 1 else math.inf
 
 
-def posterior_variances(f: Field, weights: DataFrame, sd: float, probes: int = 64, seed: int = 0, tolerance: float = 1e-6) -> DataFrame:
+def posterior_variances(f: Field, weights: DataFrame, sd: float | DataFrame, probes: int = 64, seed: int = 0, tolerance: float = 1e-6) -> DataFrame:
     """``i, v, error``: estimates of the field's variances given observations, from as many draws of the posterior's noise, and their standard errors
-    (v sqrt(2 / probes)). A draw is Q^-1 (tau Pl^T C^-1/2 z + (A Pr)^T w / sd)."""
+    (v sqrt(2 / probes)). A draw is Q^-1 (tau Pl^T C^-1/2 z + (A Pr)^T w / sd). ``operators.exact`` has them exact."""
     q, a = observed(f, weights, sd)
     reps = q.sparkSession.range(probes).withColumnRenamed("id", "rep")
     z = f.lumped.crossJoin(F.broadcast(reps))
     z = z.select("rep", "i", (normal_noise(seed, "rep", "i") * f.tau / F.sqrt("v")).alias("v"))
-    w = a.select("i").distinct().crossJoin(F.broadcast(reps))
-    w = w.select("rep", "i", (normal_noise(seed + 1, "rep", "i") / sd).alias("v"))
+    w = with_precisions(a.select("i").distinct(), sd).crossJoin(F.broadcast(reps))
+    w = w.select("rep", "i", (normal_noise(seed + 1, "rep", "i") * F.sqrt("q")).alias("v"))
     right = sparse.times_vectors(sparse.transposed(f.pl), z).unionByName(sparse.times_vectors(sparse.transposed(a), w)).groupBy("rep", "i").agg(F.sum("v").alias("v"))
     draws = f.transfer(sparse.solve_many(q, right, tolerance))
     v = F.sum(F.col("v") * F.col("v")) / probes

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geometry, marginals, special
 from gridloom.functions.vectors import parts
-from gridloom.operators import distributions, fem, fields, imaging, locate, sparse
+from gridloom.operators import distributions, exact, fem, fields, imaging, locate, models, sparse
 from gridloom.plans.data import IMAGE_SQL, PLACE_SQL, image, place, point_id, points, table
 from gridloom.plans.mesh_queries import r
 from gridloom.sources import meshes
@@ -375,34 +375,38 @@ def windowed_nig(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _field(spark: SparkSession, sf_dir: str):
-    """A Matern field on a coarse grid over the points' box (quantity by discount, scaled to the unit square), and its observations."""
+    """A Matern field on a coarse grid over the points' box (quantity by discount, scaled to the unit square), its nodes, and observations with their weights."""
     nodes, simplices = meshes.grid(spark, [-0.3, -0.3], [1.3, 1.3], 0.1)
-    model = fields.Matern(1.0, 0.5, 1.0, 2)
-    k = fem.system(nodes, simplices, 3, 2, model.mass, model.stiffness)
-    lumped = sparse.row_sums(fem.assembled(fem.mass(fem.elements(nodes, simplices, 3, 2), 3)))
+    f = models.matern_field(nodes, simplices, 3, 2, fields.Matern(1.0, 0.5, 1.0, 2))
     t = table(spark, sf_dir, "lineitem")
     p = t.select(point_id().alias("point_id"), F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10).alias("x"), (F.log("l_extendedprice") - 10).alias("value"), F.lit(0.5).alias("sd"))
-    w = locate.observation_weights(p.select("point_id", "x"), nodes, simplices, 3, 2, 0.1, 1e-9)
-    return fields.factor(k, lumped, model), fields.normal_equations(w, p)
+    return f, nodes, p, locate.observation_weights(p.select("point_id", "x"), nodes, simplices, 3, 2, 0.1, 1e-9)
 
 
 @query()
 def grf_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, normal = _field(spark, sf_dir)
-    return fields.condition(spark, f, normal)
+    """Means and variances given the observations, each with its own noise, by the sparse factor."""
+    f, nodes, p, w = _field(spark, sf_dir)
+    q, a = exact.posterior(f, nodes, 2, w, p.select("point_id", "sd"))
+    mean = exact.means(f, q, a, p.select(F.lit(0).cast("long").alias("rep"), "point_id", "value"), p.select("point_id", "sd"))
+    out = exact.variances(f, q).join(mean.select("i", F.col("v").alias("mean")), "i")
+    return out.select(F.col("i").alias("node_id"), "mean", F.col("v").alias("variance"))
 
 
 @query()
 def grf_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, normal = _field(spark, sf_dir)
-    return spark.createDataFrame([(fields.log_likelihood(f, normal), normal.count)], "log_likelihood double, n long")
+    f, nodes, p, w = _field(spark, sf_dir)
+    value = exact.log_likelihood(f, nodes, 2, w, p.select(F.lit(0).cast("long").alias("rep"), "point_id", "value"), p.select("point_id", "sd"))
+    n = w.where("node_id IS NOT NULL").join(p.where("value IS NOT NULL"), "point_id", "left_semi").agg(F.count_distinct("point_id").alias("n"))
+    return n.select(F.lit(value).alias("log_likelihood"), "n")
 
 
 @query()
 def grf_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prior covariance applied to the observations' load on the nodes."""
-    f, normal = _field(spark, sf_dir)
-    return fields.covariance_columns(spark, f, normal.aty.select(F.lit(0).cast("long").alias("rep"), F.col("i").alias("node_id"), F.col("v").alias("value")))
+    f, nodes, p, w = _field(spark, sf_dir)
+    load = fields.normal_equations(w, p).aty.select(F.lit(0).cast("long").alias("rep"), "i", "v")
+    return exact.covariance_times(f, exact.prior(f, nodes, 2), load).select("rep", F.col("i").alias("node_id"), F.col("v").alias("value"))
 
 
 @query()
