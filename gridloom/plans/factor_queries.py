@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import exact, factor, fem, locate, sparse
+from gridloom.operators import exact, factor, fem, locate, multilevel, sparse
 from gridloom.plans.data import MESH_SQL, mesh, point_id, points, table
 from gridloom.plans.mesh_queries import ORACLES as MESHES
 from gridloom.plans.mesh_queries import r
@@ -64,3 +64,13 @@ def field_posterior_variances(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = table(spark, sf_dir, "lineitem").select(point_id().alias("point_id"), (0.5 + F.col("l_tax")).alias("sd"))
     q, _ = exact.posterior(f, nodes, 2, w, noise)
     return exact.variances(f, q)
+
+
+@query(f"WITH {MESH_SQL} SELECT node_id AS i, round(sin(px) + py * py, 5) + 0.0 AS v FROM nodes")
+def multilevel_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``factor_solution``, by conjugate gradients with the multilevel cycle."""
+    nodes, simplices = mesh(spark, sf_dir)
+    k, places = fem.system(nodes, simplices, 3, 2, 1.5, 0.25, robin=-0.5), nodes.select(F.col("node_id").alias("i"), "x")
+    values = places.select("i", (F.sin(F.get("x", 0)) + F.get("x", 1) * F.get("x", 1)).alias("v"))
+    right = sparse.times_vector(k, values).select(F.lit(0).cast("long").alias("rep"), "i", "v")
+    return multilevel.solve(k, right, multilevel.hierarchy(k, places, 2), 1e-9)[0].select("i", r("v", 5).alias("v"))

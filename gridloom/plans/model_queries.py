@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import frame_from_angle
-from gridloom.operators import fem, locate, models, sparse, topology
+from gridloom.operators import fem, locate, models, sparse, tiled, topology
 from gridloom.operators.distributions import tail_slopes
 from gridloom.operators.fields import Matern, varying_coefficients
 from gridloom.operators.topology import subset
@@ -195,3 +195,32 @@ def field_covariance_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = nodes.agg(F.min("node_id").alias("a"), F.max("node_id").alias("b"))
     columns = ends.select(F.posexplode(F.array("a", "b")).alias("rep", "i")).select(F.col("rep").cast("long").alias("rep"), "i", F.lit(1.0).alias("v"))
     return models.covariance_times(f, columns, 1e-5)
+
+
+@query(
+    ", box AS (SELECT min(px) AS x0, max(px) AS x1, min(py) AS y0, max(py) AS y1 FROM nodes)"
+    ", ss AS (SELECT max(simplex_id) + 1 AS ss FROM simplices), spots AS (SELECT DISTINCT ((l_orderkey * 8 + l_linenumber) * 67108864 + l_partkey * 1024 + l_suppkey % 1024) * 64 + l_quantity::BIGINT AS point_id, l_partkey * 3 / 20.0::DOUBLE AS x, l_quantity * 2 / 5.0::DOUBLE AS y FROM lineitem),"
+    " tiles AS (SELECT s AS sector, ix - x0 + (s // 2) * (x1 - x0) AS gx, iy - y0 + (s % 2) * (y1 - y0) AS gy, ix, iy FROM cells, box, range(6) AS r(s)),"
+    " near_ AS (SELECT DISTINCT point_id, (floor(x) - dx)::BIGINT AS gx, (floor(y) - dy)::BIGINT AS gy, x, y FROM spots, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dx, dy)),"
+    " hit AS (SELECT point_id, sector, CASE WHEN x - gx >= y - gy - 1e-9 THEN (ix * 16 + iy) * 2 ELSE (ix * 16 + iy) * 2 + 1 END AS simplex_id FROM near_ JOIN tiles USING (gx, gy) WHERE x - gx <= 1 + 1e-9 AND y - gy <= 1 + 1e-9),"
+    " first AS (SELECT point_id, min(sector * ss + simplex_id) AS id FROM hit, ss GROUP BY point_id)"
+    " SELECT DISTINCT point_id, coalesce(id // ss, -1) AS sector, coalesce(id % ss, -1) AS simplex_id FROM (SELECT DISTINCT point_id FROM spots) LEFT JOIN first USING (point_id), ss"
+)
+def tiled_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy and simplex of each lineitem, whose places reach over 3 x 2 copies of the mesh; -1 outside."""
+    at = table(spark, sf_dir, "lineitem").select(point_id().alias("point_id"), F.array(F.col("l_partkey") * 3 / 20, F.col("l_quantity") * 2 / 5).alias("x")).distinct()
+    found = tiled.tiled_located(at, *mesh(spark, sf_dir), 3, 2, [3, 2], [0.0, 0.0], 1.0, 1e-9)
+    return found.select("point_id", F.coalesce("sector", F.lit(-1)).cast("long").alias("sector"), F.coalesce("simplex_id", F.lit(-1)).alias("simplex_id"))
+
+
+@query(
+    _TILES
+    + ", c AS (SELECT n.sector, c.simplex_id, c.place, n.node_id FROM corners c JOIN named n ON n.explicit_id = c.node_id),"
+    " e AS (SELECT p.sector, p.simplex_id, least(p.node_id, q.node_id) AS a, greatest(p.node_id, q.node_id) AS b FROM c p JOIN c q USING (sector, simplex_id) WHERE p.place < q.place)"
+    " SELECT DISTINCT p.sector, p.simplex_id, q.sector AS neighbor_sector, q.simplex_id AS neighbor_id FROM e p JOIN e q USING (a, b) WHERE p.sector <> q.sector OR p.simplex_id <> q.simplex_id"
+)
+def tiled_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every simplex of every copy."""
+    nodes, simplices = mesh(spark, sf_dir)
+    wanted = simplices.select("simplex_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("sector"))
+    return tiled.tiled_neighbors(nodes, simplices, 3, 2, [3, 2], wanted)
