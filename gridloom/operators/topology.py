@@ -117,8 +117,33 @@ def renumber(nodes: DataFrame, simplices: DataFrame) -> tuple[DataFrame, DataFra
     return n.select(F.col("_new").alias("node_id"), "x"), s.select(F.col("_new").alias("simplex_id"), "v")
 
 
-def refine_once(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, transform: Callable[[Column], Column] | None = None, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One pass over edges longer than their limit (nodes have ``limit double``), or all with ``every``: (nodes, simplices, edges split).
+def longest(lengths: DataFrame, most: int, bins: int = 1024) -> DataFrame:
+    """The ``most`` longest of edges ``a, b, length``, to 1e-9; of equally long ones those with the least (a, b).
+
+    The length at the cut is found by counts in ever narrower bins, of which the driver has ``bins`` a round; edges at the cut are ranked by ``ranked``. Nothing is sorted as a whole.
+    """
+    keyed = checkpointed(lengths.withColumn("_key", F.round(F.col("length") * 1e9).cast("long")))
+    ends = keyed.agg(F.min("_key").alias("low"), F.max("_key").alias("high"), F.count("*").alias("n")).first()
+    low, high, left = ends["low"], ends["high"], most
+    if ends["n"] <= most:
+        return keyed.drop("_key")
+    while low < high:
+        width = -(-(high - low + 1) // bins)
+        counts = keyed.where(F.col("_key").between(low, high)).groupBy(F.floor((F.col("_key") - low) / width).alias("bin")).agg(F.count("*").alias("n"))
+        for r in sorted(counts.collect(), key=lambda r: -r["bin"]):
+            if r["n"] > left:
+                low, high = low + r["bin"] * width, min(high, low + (r["bin"] + 1) * width - 1)
+                break
+            left -= r["n"]
+    level = ranked(keyed.where(F.col("_key") == low), "_rank", ["a", "b"]).where(F.col("_rank") < left).drop("_rank")
+    return keyed.where(F.col("_key") > low).unionByName(level).drop("_key")
+
+
+def refine_once(
+    nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, transform: Callable[[Column], Column] | None = None, every: bool = False, most: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass over edges longer than their limit (nodes have ``limit double``), or all with ``every``: (nodes, simplices, edges split). With ``most``, only so many edges are split,
+    the longest; any choice of edges leaves a proper mesh, as every simplex splits those that it has.
 
     An edge's limit is the smaller one of its ends, a midpoint's limit the mean. A triangle with three long edges becomes four; otherwise a
     simplex is bisected at its longest long edge (ties: larger node ids last), and its parts at theirs. The choice depends on the edge
@@ -133,6 +158,8 @@ def refine_once(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, t
         .join(limit.select(F.col("node_id").alias("b"), F.col("limit").alias("lb")), "b")
         .where(F.lit(every) | (F.col("length") > F.least("la", "lb") * (1 + 1e-12)))
     )
+    if most is not None:
+        long = longest(long, most)
     top = nodes.agg(F.max("node_id").alias("top"))
     long = ranked(long, "rank", ["a", "b"]).crossJoin(F.broadcast(top)).withColumn("mid", F.col("top") + 1 + F.col("rank")).select("a", "b", "length", "la", "lb", "mid")
     ends = nodes.select("node_id", "x")
@@ -178,16 +205,20 @@ def edges_of(simplices: DataFrame, vertices: int) -> DataFrame:
 
 
 def refine(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, most_nodes: int | None = None, levels: int | None = None, transform: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Passes of ``refine_once`` until one splits no edge longer than twice its limit (or ``levels`` passes over all edges), or the next would pass ``most_nodes``.
+    """Passes of ``refine_once`` until one splits no edge longer than twice its limit (or ``levels`` passes over all edges), or there are ``most_nodes``: the last pass splits the longest edges
+    as far as these go.
 
     Each pass is checkpointed and its simplices are numbered anew. ``nodes`` has ``limit``.
     """
     done = 0
     while levels is None or done < levels:
-        more, split, long = refine_once(nodes, simplices, vertices, d, transform, every=levels is not None)
+        room = None if most_nodes is None else most_nodes - nodes.count()
+        if room is not None and room <= 0:
+            break
+        more, split, long = refine_once(nodes, simplices, vertices, d, transform, levels is not None, room)
         long = checkpointed(long)
         more = checkpointed(more)
-        if (most_nodes is not None and more.count() > most_nodes) or long.isEmpty():
+        if long.isEmpty():
             break
         nodes = more
         simplices = checkpointed(ranked(split, "rank", ["simplex_id"]).select(F.col("rank").alias("simplex_id"), "v"))

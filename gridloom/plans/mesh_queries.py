@@ -154,6 +154,42 @@ def mesh_refine_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return more.select("node_id", F.get("x", 0).alias("x"), F.get("x", 1).alias("y"), r("limit", 9).alias("node_limit"))
 
 
+_CAPPED = (
+    "+ t AS (SELECT max(node_id) AS top FROM nodes),"
+    " e AS (SELECT DISTINCT least(p.node_id, q.node_id) AS a, greatest(p.node_id, q.node_id) AS b FROM corners p JOIN corners q USING (simplex_id) WHERE p.place < q.place),"
+    " l AS (SELECT a, b, (s.px + u.px) / 2 AS x, (s.py + u.py) / 2 AS y, sqrt((s.px - u.px) ** 2 + (s.py - u.py) ** 2) AS length FROM e JOIN nodes s ON s.node_id = a JOIN nodes u ON u.node_id = b),"
+    " long AS (SELECT * FROM l WHERE length > 0.8 QUALIFY row_number() OVER (ORDER BY round(length * 1e9) DESC, a, b) <= (SELECT count(*) // 2 FROM nodes))"
+)
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One pass that may add half as many nodes as there are."""
+    nodes, simplices = mesh(spark, sf_dir)
+    return topology.refine_once(nodes.withColumn("limit", F.lit(0.8)), simplices, 3, 2, most=nodes.count() // 2)[:2]
+
+
+@query(_CAPPED + " SELECT top + row_number() OVER (ORDER BY a, b) AS node_id, x, y FROM long, t UNION ALL SELECT node_id, px, py FROM nodes")
+def mesh_refine_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a pass whose room runs out among edges of one length."""
+    return _capped(spark, sf_dir)[0].select("node_id", F.get("x", 0).alias("x"), F.get("x", 1).alias("y"))
+
+
+@query(
+    _CAPPED
+    + ", s AS (SELECT p.simplex_id, least(p.node_id, q.node_id) AS a, greatest(p.node_id, q.node_id) AS b FROM corners p JOIN corners q USING (simplex_id) WHERE p.place < q.place),"
+    " m AS (SELECT a, b, top + row_number() OVER (ORDER BY a, b) AS mid FROM long, t)"
+    " SELECT simplex_id, count(mid) + 1 AS n, coalesce(sum(mid), 0)::BIGINT AS mids FROM s LEFT JOIN m USING (a, b) GROUP BY simplex_id"
+)
+def mesh_refine_capped_simplices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each simplex: into how many it was split, and the sum of its new nodes' ids."""
+    nodes, split = _capped(spark, sf_dir)
+    old = mesh(spark, sf_dir)[0].agg(F.max("node_id").alias("top"))
+    parts = split.select(F.floor(F.col("simplex_id") / 8).alias("simplex_id"), F.col("simplex_id").alias("part"), F.explode("v").alias("node_id")).crossJoin(F.broadcast(old))  # one row
+    new = F.collect_set(F.when(F.col("node_id") > F.col("top"), F.col("node_id")))
+    out = parts.groupBy("simplex_id").agg(F.count_distinct("part").alias("n"), new.alias("new"))
+    return out.select("simplex_id", "n", F.aggregate("new", F.lit(0).cast("long"), lambda a, b: a + b).alias("mids"))
+
+
 @query(
     "+ c AS (SELECT max(node_id) + 1 AS stride FROM nodes), s AS (SELECT simplex_id, list_sort(v) AS v, layer FROM simplices, (VALUES (0), (1)) AS l(layer)),"
     " t AS (SELECT (simplex_id * 2 + layer) * 3 + step AS simplex_id, list_concat([i + layer * stride FOR i IN v[1:step + 1]], [i + (layer + 1) * stride FOR i IN v[step + 1:3]]) AS w FROM s, c, (VALUES (0), (1), (2)) AS k(step))"
