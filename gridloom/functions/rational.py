@@ -37,14 +37,21 @@ def chebyshev_series(f: Callable[[np.ndarray], np.ndarray], degree: int, low: fl
     return c
 
 
-def clenshaw_lord(f: Callable[[np.ndarray], np.ndarray], degree: int, domain: tuple[float, float], m: int, n: int, two_sided: bool = False) -> Rational:
-    """Degrees (m, n) such that the series of p / q agrees with that of f through m + n.
+def _one_sided(c: np.ndarray, b: np.ndarray, m: int) -> np.ndarray:
+    """Numerator from the series c_0 + c_1 z + ... in place of the two-sided one: with g_s = sum_j b_j c_{s-j} for s up to max(m, n) + 1, where c is taken through
+    max(m, n), p_k = sum_j b_j (g_{j+k} + g_{j-k}), g_{j-k} for k > 0 alone."""
+    n, top = len(b) - 1, max(m, len(b) - 1) + 1
+    c_at = lambda s: c[s] if 0 <= s < top else 0.0
+    g = {s: sum(b[j] * c_at(s - j) for j in range(n + 1)) for s in range(top + 1)}
+    return np.array([sum(b[j] * (g.get(j + k, 0.0) + (g.get(j - k, 0.0) if k else 0.0)) for j in range(n + 1)) for k in range(m + 1)])
+
+
+def clenshaw_lord(f: Callable[[np.ndarray], np.ndarray], degree: int, domain: tuple[float, float], m: int, n: int, two_sided: bool = True) -> Rational:
+    """Degrees (m, n) such that the series of p / q agrees with that of f through m + n: the approximant of Clenshaw and Lord, Rational approximations from Chebyshev series (1974).
 
     In z with t = (z + 1/z) / 2 the series is a two-sided one in z^k, mirrored at 0. A polynomial b(z) that makes its product with the series vanish in
     degrees m + 1 to m + n solves a Toeplitz system; q = b(z) b(1/z) is a sum of z^k + z^-k, and p is what is left of q's
-    product with the series through degree m. That is the form ``two_sided``, the more accurate one. The usual convention of this
-    library's field models takes p from the one-sided series instead: its product with b(z), through degree max(m, n) + 1, times
-    b(1/z), with equal powers of z and 1/z added.
+    product with the series through degree m. Without ``two_sided``, p is the less accurate one of ``_one_sided``.
     """
     low, high = domain
     c = chebyshev_series(f, max(degree, m + n), low, high)
@@ -55,11 +62,5 @@ def clenshaw_lord(f: Callable[[np.ndarray], np.ndarray], degree: int, domain: tu
     else:
         b = np.array([1.0])
     q = np.array([sum(b[i] * b[i + k] for i in range(n + 1 - k)) * (1.0 if k == 0 else 2.0) for k in range(n + 1)])
-    if two_sided:
-        p = np.polynomial.chebyshev.chebmul(c, q)[: m + 1]
-    else:
-        top = max(m, n) + 1
-        ahead = np.polynomial.polynomial.polymul(c[:top], b)[: top + 1]
-        laurent = np.polynomial.polynomial.polymul(np.pad(ahead, (0, m)), b[::-1])
-        p = np.array([laurent[n]] + [laurent[n + k] + (laurent[n - k] if k <= n else 0.0) for k in range(1, m + 1)])
+    p = np.polynomial.chebyshev.chebmul(c, q)[: m + 1] if two_sided else _one_sided(c, b, m)
     return Rational(p / q[0], q / q[0], low, high)

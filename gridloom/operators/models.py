@@ -63,7 +63,7 @@ def field(k: DataFrame, lumped: DataFrame, alpha: float, tau: float, low: float
             pl = sparse.product(k, pl.join(lumped.select("i", F.col("v").alias("c")), "i").select("i", "j", (F.col("v") / F.col("c")).alias("v")))
         return Field(k, lumped, checkpointed(pl), None, tau)
     most = largest_eigenvalue_bound(k, lumped)
-    r = clenshaw_lord(lambda x: x**part, degree, (low, 1.0), 2, 2, two_sided=True)
+    r = clenshaw_lord(lambda x: x**part, degree, (low, 1.0), 2, 2)
     p, q = r.power_form()
     at = np.linspace(0, 1, 1001)
     if min(np.polynomial.polynomial.polyval(at, p).min(), np.polynomial.polynomial.polyval(at, q).min()) <= 0:
