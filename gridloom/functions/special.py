@@ -135,17 +135,18 @@ def log_bessel_k(order: float, x: Column) -> Column:
 
 
 def matern(h: Column, order: float) -> Column:
-    """Matern correlation at scaled distance h = kappa * distance: closed forms at 1/2, 3/2, 5/2, else by the Bessel function; 1 at 0."""
+    """Matern correlation at scaled distance h = kappa * distance: closed forms at 1/2, 3/2, 5/2, else by the Bessel function, or, below 1e-8, its first terms there:
+    1 - Gamma(1 - order) / Gamma(1 + order) * (h / 2)^(2 order), which is 1 for orders from 1 on."""
     if order == 0.5:
-        body = F.exp(-h)
-    elif order == 1.5:
-        body = (1 + h) * F.exp(-h)
-    elif order == 2.5:
-        body = (1 + h + h * h / 3) * F.exp(-h)
-    else:
-        scale = 2 ** (1 - order) / math.gamma(order)
-        body = scale * F.pow(h, F.lit(order)) * scaled_bessel_k(order, h) * F.exp(-h)
-    return F.when(h < 1e-8, 1.0).otherwise(body)
+        return F.exp(-h)
+    if order == 1.5:
+        return (1 + h) * F.exp(-h)
+    if order == 2.5:
+        return (1 + h + h * h / 3) * F.exp(-h)
+    scale = 2 ** (1 - order) / math.gamma(order)
+    body = scale * F.pow(h, F.lit(order)) * scaled_bessel_k(order, h) * F.exp(-h)
+    near = 1 - math.gamma(1 - order) / math.gamma(1 + order) * F.pow(h / 2, F.lit(2.0 * order)) if order < 1 else F.lit(1.0)
+    return F.when(h < 1e-8, near).otherwise(body)
 
 
 def matern_by_range(distance: Column, order: float, range_: Column | float) -> Column:

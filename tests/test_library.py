@@ -151,6 +151,15 @@ def test_curvature_centre_lets_points_in(spark):
     assert found.where("simplex_id IS NULL").count() == 0
 
 
+def test_correlation_near_zero(spark):
+    at = [0.0, 1e-12, 9.9e-9, 1.01e-8, 1e-6]
+    rows = spark.createDataFrame([(h,) for h in at], "h double").select("h", *[special.matern(F.col("h"), o).alias(f"o{k}") for k, o in enumerate((0.1, 0.7, 1.3, 0.5))]).orderBy("h").collect()
+    for k in range(4):
+        values = [r[f"o{k}"] for r in rows]
+        assert values[0] == 1.0 and all(1 >= a >= b for a, b in zip(values, values[1:], strict=False))  # no jump where the forms meet
+        assert values[2] - values[3] < 0.02 * (1 - values[3]) + 1e-12
+
+
 def test_rational_approximation():
     r = clenshaw_lord(lambda x: x**4.4, 20, (1e-6, 1.0), 2, 2, two_sided=False)
     x = np.linspace(1e-6, 1, 1000)
