@@ -1,8 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # before numpy is imported: its threads next to Spark's gain nothing here, and have been seen to wait for each other
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
