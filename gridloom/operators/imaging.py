@@ -79,8 +79,8 @@ def filtered(image: DataFrame, size: int, how: str, width: int, height: int) ->
 
 
 def resampled(points: DataFrame, low: tuple[float, float], cell: tuple[float, float], shape: tuple[int, int]) -> DataFrame:
-    """``x, y, value``: mean of the points in each pixel, null where there are none (``points``: ``px, py, value``). A bin average; linear interpolation on a
-    mesh is ``locate.observation_weights``."""
+    """``x, y, value``: mean of the points in each pixel, null where there are none (``points``: ``px, py, value``). A bin average; linear
+    interpolation is ``triangulate.resampled_linear``."""
     spark = points.sparkSession
     x, y = (F.floor((F.col(c) - a) / s).cast("int") for c, a, s in (("px", low[0], cell[0]), ("py", low[1], cell[1])))
     mean = points.groupBy(x.alias("x"), y.alias("y")).agg(F.avg("value").alias("value"))

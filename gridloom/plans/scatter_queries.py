@@ -1,12 +1,13 @@
-"""Queries on scattered places: their triangles and values between them."""
+"""Queries on scattered places, their triangles and values between them, and on distances under a metric."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import triangulate
-from gridloom.plans.data import PLACE_SQL, place, table
+from gridloom.operators import marching, triangulate
+from gridloom.operators.cut_lineage import checkpointed
+from gridloom.plans.data import MESH_SQL, PLACE_SQL, mesh, place, points, table
 from gridloom.plans.mesh_queries import r
 
 QUERIES: dict = {}
@@ -75,3 +76,46 @@ def resample_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = place(F.col("c_custkey"))
     points = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("point_id"), lon.alias("px"), lat.alias("py"), F.col("c_acctbal").alias("value"))
     return triangulate.resampled_linear(points, (-180.0, -80.0), (180.0, 80.0), (361, 161)).select("x", "y", r("value").alias("value"))
+
+
+def _stretched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The mesh of occupied cells under one metric."""
+    nodes, simplices = mesh(spark, sf_dir)
+    return nodes, simplices.withColumn("tensor", F.array(*[F.array(*[F.lit(c) for c in row]) for row in ((1.0, 0.3), (0.3, 2.0))]))
+
+
+def _near(dx, dy, distance, more: float = 1e-9):
+    """Whether a distance is at least the straight one under that metric and at most a tenth and ``more`` longer, as in a mesh without gaps."""
+    straight = F.sqrt(dx * dx + 0.6 * dx * dy + 2 * dy * dy)
+    return (distance >= straight * (1 - 1e-9)) & (distance <= straight * 1.1 + more)
+
+
+@query(f"WITH {MESH_SQL} SELECT node_id, 0.0::DOUBLE AS left_over, TRUE AS near FROM nodes")
+def metric_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first node to all: what the triangles around a node would still take off its distance (nothing), and whether it is near the straight one."""
+    nodes, simplices = _stretched(spark, sf_dir)
+    whole = marching.sides(nodes, simplices, 2)
+    first = nodes.agg(F.min("node_id").alias("node_id")).select(F.col("node_id").alias("origin"), "node_id", F.lit(0.0).alias("distance"))
+    t = checkpointed(marching.marched(whole, first))
+    turns = F.array(*[F.struct(*[F.get("v", (i + n) % 3).alias(f"n{n}") for n in range(3)], *[F.get("sides", (i + n) % 3).alias(f"s{n}") for n in range(3)]) for i in range(3)])
+    each = whole.select(F.inline(turns))
+    for n in (0, 1):
+        each = each.join(t.select(F.col("node_id").alias(f"n{n}"), F.col("distance").alias(f"t{n}")), f"n{n}")
+    least = each.groupBy(F.col("n2").alias("node_id")).agg(F.min(marching.across(*[F.col(c) for c in ("t0", "t1", "s0", "s1", "s2")])).alias("least"))
+    start = nodes.agg(F.min(F.struct("node_id", "x")).alias("o"))
+    both = t.join(least, "node_id").join(nodes, "node_id").crossJoin(F.broadcast(start))  # one row
+    near = _near(F.get("x", 0) - F.get("o.x", 0), F.get("x", 1) - F.get("o.x", 1), F.col("distance"))
+    return both.select("node_id", r(F.greatest(F.col("distance") - F.col("least"), F.lit(0.0))).alias("left_over"), near.alias("near"))
+
+
+@query("SELECT ((l_orderkey * 8 + l_linenumber) * 67108864 + l_partkey * 1024 + l_suppkey % 1024) * 64 + l_quantity::BIGINT AS point_id, TRUE AS near FROM lineitem")
+def point_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first lineitem's place to all lineitems' under that metric: whether each is near the straight one, up to half of a
+    triangle's longest side (1.9), as values are linear along sides."""
+    nodes, simplices = _stretched(spark, sf_dir)
+    ends = points(spark, sf_dir).select("point_id", "x")
+    start = checkpointed(ends.agg(F.min(F.struct("point_id", "x")).alias("s")).select("s.*"))
+    found = marching.distances_between(nodes, simplices, start, ends, 2, 1.0)
+    both = found.join(ends, found["end"] == ends["point_id"]).crossJoin(F.broadcast(start.select(F.col("x").alias("o"))))  # one row
+    near = _near(F.get("x", 0) - F.get("o", 0), F.get("x", 1) - F.get("o", 1), F.col("distance"), 1.0)
+    return both.select("point_id", near.alias("near"))
