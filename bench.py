@@ -13,7 +13,7 @@ from gridloom.plans.registry import QUERIES
 HEADLINE = (
     "nearest_active_point", "observation_means", "locate_points", "mesh_neighbors", "mesh_cut_by_distance", "fem_system", "sparse_product", "normal_equations",
     "matern_general", "nig_by_moments", "nig_log_density", "nearest_on_sphere", "template_match", "empirical_variogram", "spectral_density",
-    "mesh_facets", "mesh_refine_everywhere", "simplex_gradients", "fem_system_varying", "extended_mesh_location", "tiled_node_names", "nig_to_gauss", "windowed_nig", "factor_solution", "tiled_location",
+    "mesh_facets", "mesh_refine_everywhere", "simplex_gradients", "fem_system_varying", "extended_mesh_location", "tiled_node_names", "nig_to_gauss", "windowed_nig", "factor_solution", "tiled_location", "metric_distances",
 )
 
 
