@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,13 +27,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 class Log:
-    """Rows by their ``step`` in the shared folder: added as steps make them, read by the step they are for."""
+    """Rows by their ``step`` in the shared folder: added as steps make them, read by the step they are for. ``by``: another column that rows are kept by, and those they are dealt by."""
 
-    def __init__(self, spark: SparkSession, name: str, schema: str):
-        self.spark, self.schema, self.path, self.used = spark, schema, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", False
+    def __init__(self, spark: SparkSession, name: str, schema: str, by: tuple[str, ...] = ("step", "j")):
+        self.spark, self.schema, self.path, self.used, self.by = spark, schema, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", False, by
 
     def add(self, rows: DataFrame) -> None:
-        rows.repartition("step", "j").write.mode("append").partitionBy("step").parquet(self.path)
+        rows.repartition(*self.by).write.mode("append").partitionBy(self.by[0]).parquet(self.path)
         self.used = True
 
     def every(self) -> DataFrame:
@@ -44,6 +45,10 @@ class Log:
     def of(self, step: int) -> DataFrame:
         return self.every().where(f"step = {step}")
 
+    def among(self, keys: list[int]) -> DataFrame:
+        """Rows of some keys of ``by``: other files are not read."""
+        return self.every().where(F.col(self.by[0]).isin(keys))
+
     def drop(self) -> None:
         """Delete it, once nothing is to be read any more."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)

@@ -3,37 +3,74 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.cut_lineage import checkpointed
+from gridloom.operators.cut_lineage import Log, checkpointed
 
-#: Nodes are dealt by id into blocks of so many; a round finishes the paths within a block.
-BLOCK = 4096
+#: Nodes are dealt by id into blocks of so many; a round finishes the paths within a block. What crosses a long mesh takes a round a block: a task of a few seconds.
+BLOCK = 1 << 16
 
 
 def _block(node: str) -> Column:
     return F.floor(F.col(node) / BLOCK)
 
 
+def by_blocks(parts: DataFrame, first: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, most_rounds: int, what: str) -> DataFrame:
+    """All own rows (``schema``) that ``run`` makes of blocks, from the rows ``first`` on.
+
+    Rows are ``origin, block, node_id, own, turn`` and values: one that is not ``own`` comes from another block and has its block entered in the next round.
+    ``run`` has all rows of an origin in a block that was entered, and the block's ``parts``. A round reads and writes entered blocks alone, so that all
+    rounds together read a block's parts as often as it is entered. The driver sees the numbers of the entered blocks.
+    """
+    session, kinds = parts.sparkSession, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
+    whole, known = Log(session, "parts", kinds, ("block",)), Log(session, "found", schema, ("block",))
+    whole.add(parts)
+    names = [c.split()[0] for c in schema.split(", ")]
+    new = checkpointed(first.select(*names))
+    for turn in range(most_rounds):
+        known.add(new)
+        entered = checkpointed(new.where("NOT own").select("origin", "block").distinct())
+        blocks = [r["block"] for r in entered.select("block").distinct().collect()]  # a number for each block
+        if not blocks:
+            whole.drop()
+            return known.every().where("own")
+        rows = known.among(blocks).join(entered, ["origin", "block"], "left_semi").groupBy("origin", "block")
+        near = whole.among(blocks).join(entered, "block").withColumnsRenamed({"origin": "from", "block": "of"}).groupBy("from", "of")
+        new = checkpointed(rows.cogroup(near).applyInPandas(run, schema).withColumn("turn", F.lit(turn + 1)))
+    raise RuntimeError(f"{what} are not finished after {most_rounds} rounds")
+
+
 def _better(new: tuple[float, int], old: tuple[float, int | None] | None) -> bool:
-    return old is None or new[0] < old[0] - 1e-12 or (new[0] <= old[0] + 1e-12 and old[1] is not None and new[1] < old[1])
+    return old is None or new[0] < old[0] - 1e-12 or (new[0] <= old[0] + 1e-12 and old[1] is not None and new[1] is not None and new[1] < old[1])
+
+
+PATH = "origin long, block long, node_id long, distance double, prior long, own boolean, turn int"
 
 
 def _within(known: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-    """What one origin's paths reach from a block's front: nodes in it, with all that follows there, and nodes one link outside."""
+    """What one origin's paths reach from those that enter a block: nodes in it, with all that follows there, and nodes one link outside, for their blocks too."""
     if known.empty:
-        return pd.DataFrame({"origin": [], "node_id": [], "distance": [], "prior": []}).astype({"origin": "int64", "node_id": "int64", "prior": "int64"})
+        return pd.DataFrame({c.split()[0]: [] for c in PATH.split(", ")})
     origin, block = int(known["origin"].iloc[0]), int(known["block"].iloc[0])
-    best = {int(n): (float(d), None if pd.isna(p) else int(p)) for n, d, p in zip(known["node_id"], known["distance"], known["prior"], strict=True)}
+    best: dict[int, tuple[float, int | None]] = {}
+    heap, found = [], set()
+    # What the block has found itself comes first, the last at last; then what enters.
+    for n, d, p, own in known.sort_values(["own", "turn"], ascending=[False, True])[["node_id", "distance", "prior", "own"]].itertuples(index=False):
+        new = float(d), None if pd.isna(p) else int(p)
+        if own:
+            best[n] = new
+        elif _better(new, best.get(n)):
+            best[n] = new
+            found.add(n)
+            heap.append((new[0], n))
     links: dict[int, list[tuple[int, float]]] = {}
-    for a, b, length in zip(near["a"], near["b"], near["length"], strict=True):
-        links.setdefault(int(a), []).append((int(b), float(length)))
-    heap = [(best[int(n)][0], int(n)) for n in known.loc[known["front"], "node_id"]]
+    for a, b, length in zip(near["a"].tolist(), near["b"].tolist(), near["length"].tolist(), strict=True):
+        links.setdefault(a, []).append((b, length))
     heapq.heapify(heap)
-    found: set[int] = set()
     while heap:
         d, a = heapq.heappop(heap)
         if d > best[a][0]:
@@ -44,7 +81,8 @@ def _within(known: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
                 found.add(b)
                 if b // BLOCK == block:
                     heapq.heappush(heap, (d + length, b))
-    return pd.DataFrame([(origin, n, *best[n]) for n in found], columns=["origin", "node_id", "distance", "prior"]).astype({"origin": "int64", "node_id": "int64", "distance": "float64", "prior": "int64"})
+    rows = [(origin, block, n, *best[n], True, 0) for n in found] + [(origin, n // BLOCK, n, *best[n], False, 0) for n in found if n // BLOCK != block]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in PATH.split(", ")]).astype({"prior": "Int64"})
 
 
 def shortest_paths(links: DataFrame, origins: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -55,25 +93,12 @@ def shortest_paths(links: DataFrame, origins: DataFrame, most_rounds: int = 10_0
     hands on what leaves it. It ends when nothing enters a block: after as many rounds as a path crosses blocks, not nodes.
     """
     both = links.select("a", "b", "length").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
-    both = checkpointed(both.groupBy("a", "b").agg(F.min("length").alias("length")).withColumn("block", _block("a")))
-    best = origins.select(F.col("origin").cast("long").alias("origin"), F.col("origin").cast("long").alias("node_id"), F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("prior")).distinct()
-    best = checkpointed(best.withColumn("front", F.lit(True)))
-    for _ in range(most_rounds):
-        entered = best.where("front").select("origin", _block("node_id").alias("block")).distinct()
-        known = best.withColumn("block", _block("node_id")).join(entered, ["origin", "block"], "left_semi").groupBy("origin", "block")
-        near = both.join(entered, "block").select(F.col("origin").alias("from"), F.col("block").alias("of"), "a", "b", "length").groupBy("from", "of")
-        tried = known.cogroup(near).applyInPandas(_within, "origin long, node_id long, distance double, prior long")
-        tried = tried.groupBy("origin", "node_id").agg(F.min(F.struct("distance", "prior")).alias("new"))
-        old = best.select("origin", "node_id", F.struct("distance", "prior").alias("old"))
-        merged = old.join(tried, ["origin", "node_id"], "full_outer")
-        better = F.col("old").isNull() | (F.col("new.distance") < F.col("old.distance") - 1e-12) | ((F.col("new.distance") <= F.col("old.distance") + 1e-12) & (F.col("new.prior") < F.col("old.prior")))
-        merged = merged.withColumn("better", F.col("new").isNotNull() & F.coalesce(better, F.lit(False)))
-        now = F.when(F.col("better"), F.col("new")).otherwise(F.col("old"))
-        best = merged.select("origin", "node_id", now["distance"].alias("distance"), now["prior"].alias("prior"), "better")
-        best = checkpointed(best.select("origin", "node_id", "distance", "prior", (F.col("better") & (_block("node_id") != _block("prior"))).alias("front")))
-        if best.where("front").isEmpty():
-            return best.drop("front")
-    raise RuntimeError(f"shortest paths are not finished after {most_rounds} rounds")
+    both = both.groupBy("a", "b").agg(F.min("length").alias("length")).withColumn("block", _block("a"))
+    origin = F.col("origin").cast("long")
+    first = origins.select(origin.alias("origin"), _block("origin").alias("block"), origin.alias("node_id"), F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("prior"), F.lit(False).alias("own"), F.lit(0).alias("turn")).distinct()
+    found = by_blocks(both, first, _within, PATH, most_rounds, "shortest paths").where(F.col("block") == _block("node_id"))
+    last = found.groupBy("origin", "node_id").agg(F.max_by(F.struct("distance", "prior"), "turn").alias("last"))
+    return last.select("origin", "node_id", "last.distance", "last.prior")
 
 
 def path_nodes(paths: DataFrame, ends: DataFrame) -> DataFrame:
