@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import parts
-from gridloom.operators.cut_lineage import checkpointed
 from gridloom.operators.locate import located
-from gridloom.operators.paths import BLOCK
+from gridloom.operators.paths import BLOCK, by_blocks
 from gridloom.operators.topology import with_vertices
 
 
@@ -61,24 +60,38 @@ def _across(ta: float, tb: float, ab: float, bc: float, ca: float) -> float:
     return best
 
 
+MARCH = "origin long, block long, node_id long, distance double, own boolean, turn int"
+
+
 def _march(known: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-    """One origin's distances in one block, from those around it: nodes are settled from the nearest on, and again where a later one improves them."""
+    """One origin's distances in one block, from those around it: nodes are settled from the nearest on, and again where a later one improves them. They go to all blocks beside them."""
     if known.empty or near.empty:
-        return pd.DataFrame({"origin": [], "node_id": [], "distance": []}).astype({"origin": "int64", "node_id": "int64"})
+        return pd.DataFrame({c.split()[0]: [] for c in MARCH.split(", ")})
     origin, block = int(known["origin"].iloc[0]), int(known["block"].iloc[0])
-    t = dict(zip(known["node_id"].astype("int64").tolist(), known["distance"].tolist(), strict=True))
+    t: dict[int, float] = {}
+    entered = set()
+    for n, d, own in known.sort_values("own", ascending=False)[["node_id", "distance", "own"]].itertuples(index=False):
+        if d < t.get(n, math.inf):
+            t[n] = d
+            if not own:
+                entered.add(n)
+    found = {n for n in entered if n // BLOCK == block}  # starts
     at: dict[int, list[tuple[int, int, float, float, float]]] = {}
+    others: dict[int, set[int]] = {}
     for v, side in zip(near["v"], near["sides"], strict=True):
+        v, side = v.tolist(), side.tolist()
+        beside = {n // BLOCK for n in v}
         for i in range(3):
             # For the corner opposite of side i: the side's ends, its length, and the ways from them to the corner.
-            a, b, c = int(v[i]), int(v[(i + 1) % 3]), int(v[(i + 2) % 3])
+            a, b, c = v[i], v[(i + 1) % 3], v[(i + 2) % 3]
             if c // BLOCK == block:
-                rest = (c, a, b, float(side[i]), float(side[(i + 1) % 3]), float(side[(i + 2) % 3]))
+                rest = (c, a, b, side[i], side[(i + 1) % 3], side[(i + 2) % 3])
                 at.setdefault(a, []).append(rest)
                 at.setdefault(b, []).append(rest)
-    heap = [(d, n) for n, d in t.items()]
+                if len(beside) > 1:
+                    others.setdefault(c, set()).update(beside - {block})
+    heap = [(t[n], n) for n in entered]
     heapq.heapify(heap)
-    found: set[int] = set()
     while heap:
         d, n = heapq.heappop(heap)
         if d > t[n]:
@@ -89,7 +102,8 @@ def _march(known: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
                 t[c] = new
                 found.add(c)
                 heapq.heappush(heap, (new, c))
-    return pd.DataFrame([(origin, n, t[n]) for n in found], columns=["origin", "node_id", "distance"]).astype({"origin": "int64", "node_id": "int64", "distance": "float64"})
+    rows = [(origin, block, n, t[n], True, 0) for n in found] + [(origin, o, n, t[n], False, 0) for n in found for o in others.get(n, ())]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in MARCH.split(", ")])
 
 
 def marched(triangles: DataFrame, starts: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -97,25 +111,16 @@ def marched(triangles: DataFrame, starts: DataFrame, most_rounds: int = 10_000)
 
     They are distances through the triangles' insides, of first order in the triangles' size (obtuse corners see less), and never above those along
     edges. Nodes that nothing reaches have no row. A node's block alone changes its value, so a round's tasks don't meet; a task holds one block's
-    triangles and one origin's values. A round takes the blocks beside nodes that changed, until none did.
+    triangles and one origin's values. A round takes the blocks beside nodes that changed in other blocks, until none did.
     """
-    whole = triangles.where("v IS NOT NULL AND forall(sides, s -> s > 0)").select("simplex_id", "v", "sides")
-    mine = checkpointed(whole.withColumn("block", F.explode(F.array_distinct(F.transform("v", lambda n: F.floor(n / BLOCK))))))
-    beside = checkpointed(mine.select(F.explode("v").alias("node_id"), "block").distinct())
+    whole = triangles.where("v IS NOT NULL AND forall(sides, s -> s > 0)").select("v", "sides")
+    mine = whole.withColumn("block", F.explode(F.array_distinct(F.transform("v", lambda n: F.floor(n / BLOCK)))))
     least = starts.where("distance IS NOT NULL AND NOT isnan(distance)").groupBy(F.col("origin").cast("long").alias("origin"), F.col("node_id").cast("long").alias("node_id")).agg(F.min("distance").alias("distance"))
-    best = checkpointed(least.withColumn("front", F.lit(True)).withColumn("own", F.lit(True)))
-    for _ in range(most_rounds):
-        # A block has settled what it changed itself; the first round's starts are new to all.
-        changed = best.where("front").join(beside, "node_id").where(F.col("own") | (F.col("block") != F.floor(F.col("node_id") / BLOCK)))
-        entered = checkpointed(changed.select("origin", "block").distinct())
-        if entered.isEmpty():
-            return best.select("origin", "node_id", "distance")
-        known = best.join(beside, "node_id").join(entered, ["origin", "block"], "left_semi").select("origin", "block", "node_id", "distance").groupBy("origin", "block")
-        near = mine.join(entered, "block").select(F.col("origin").alias("from"), F.col("block").alias("of"), "v", "sides").groupBy("from", "of")
-        new = known.cogroup(near).applyInPandas(_march, "origin long, node_id long, distance double").withColumnRenamed("distance", "new")
-        merged = best.join(new, ["origin", "node_id"], "full_outer")
-        best = checkpointed(merged.select("origin", "node_id", F.coalesce("new", "distance").alias("distance"), F.col("new").isNotNull().alias("front"), F.lit(False).alias("own")))
-    raise RuntimeError(f"distances are not finished after {most_rounds} rounds")
+    first = least.select("origin", F.floor(F.col("node_id") / BLOCK).alias("block"), "node_id", "distance", F.lit(False).alias("own"), F.lit(0).alias("turn"))
+    found = by_blocks(mine, first, _march, MARCH, most_rounds, "distances").where(F.col("block") == F.floor(F.col("node_id") / BLOCK))
+    # Starts that no triangle holds have their own distances.
+    every = found.select("origin", "node_id", "distance").unionByName(least.select("origin", "node_id", "distance"))
+    return every.groupBy("origin", "node_id").agg(F.min("distance").alias("distance"))
 
 
 def _corners(points: DataFrame, nodes: DataFrame, simplices: DataFrame, d: int, width: float) -> DataFrame:
