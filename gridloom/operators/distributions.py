@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -139,74 +140,128 @@ def fit_em(data: DataFrame, by: str, value: str, rounds: int = 50, tolerance: fl
     return spark.createDataFrame(pd.DataFrame([(g, *p, g not in late) for g, p in best.items()], columns=names), kind) if best else spark.createDataFrame([], kind)
 
 
-def _law(t: np.ndarray) -> tuple[float, float, float, float]:
-    """(alpha, beta, mu, delta) from unbounded parameters: log alpha, artanh(beta / alpha), mu, log delta."""
-    alpha = math.exp(t[0])
-    return alpha, alpha * math.tanh(t[1]), t[2], math.exp(t[3])
+@lru_cache
+def _bessel_table() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over logs of x from 1e-5 to 1e4: log(exp(x) K_1(x)), K_0(x) / K_1(x) and their slopes; made once in a task's process."""
+    at = np.linspace(math.log(1e-5), math.log(1e4), 10_001)
+    x = np.exp(at)
+    k0, k1, _ = (np.concatenate(c) for c in zip(*(bessel_ratio_terms(x[i : i + 1024]) for i in range(0, len(x), 1024)), strict=True))
+    ratio = k0 / k1
+    return at, np.log(k1), x * (1 - ratio) - 1, ratio, x * (ratio * ratio - 1) + ratio
 
 
-#: Step of the central differences, and the number of points at which a pass takes the likelihood.
-_STEP, _POINTS = 1e-5, 9
+def log_and_ratio(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log(exp(x) K_1(x)) and K_0(x) / K_1(x): cubic Hermite pieces in log x (to about 1e-12), and ``bessel_ratio_terms`` beyond the table."""
+    at, log_k1, log_slope, ratio, ratio_slope = _bessel_table()
+    h, u = at[1] - at[0], np.log(x)
+    i = np.clip(((u - at[0]) / h).astype(np.int64), 0, len(at) - 2)
+    t = (u - at[i]) / h
+    out = []
+    for c, d in ((log_k1, log_slope), (ratio, ratio_slope)):
+        c0, c1, e0, e1 = c[i], c[i + 1], d[i] * h, d[i + 1] * h
+        out.append(c0 + t * (e0 + t * (3 * (c1 - c0) - 2 * e0 - e1 + t * (2 * (c0 - c1) + e0 + e1))))
+    far = np.flatnonzero((u < at[0]) | (u > at[-1]))
+    for k in range(0, len(far), 4096):
+        some = far[k : k + 4096]
+        k0, k1, _ = bessel_ratio_terms(x[some])
+        out[0][some], out[1][some] = np.log(k1), k0 / k1
+    return out[0], out[1]
+
+
+#: Sums of a pass: the log density, its slopes and its second slopes (the upper triangle, by rows).
+_SUMS = 15
+
+
+def _derivatives(z: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Those sums at t: log(alpha delta), artanh(beta / alpha), mu, log delta."""
+    a, sech, tanh, mu, delta = math.exp(t[0]), 1 / math.cosh(t[1]), math.tanh(t[1]), t[2], math.exp(t[3])
+    x = (z - mu) / delta
+    q2 = 1 + x * x
+    q = np.sqrt(q2)
+    log_k1, ratio = log_and_ratio(a * q)
+    turn = ratio * ratio + ratio / (a * q) - 1  # the ratio's slope
+    f = t[0] - math.log(math.pi) + a * sech + a * tanh * x - np.log(q) + log_k1 - a * q - t[3]
+    u, w = a * (sech + tanh * x - q * ratio), a * (sech * sech * x - sech * tanh)
+    fx = a * tanh - 2 * x / q2 - a * x * ratio / q
+    ux, wx = a * (tanh - x * ratio / q - a * x * turn), a * sech * sech
+    xx = -2 * (1 - x * x) / (q2 * q2) - a * (ratio / (q2 * q) + a * x * x * turn / q2)
+    each = (
+        f, u, w, -fx / delta, -1 - x * fx,
+        u - a * a * q2 * turn, w, -ux / delta, -x * ux, a * sech * (tanh * tanh - sech * sech - 2 * sech * tanh * x), np.full(len(x), -wx / delta), -x * wx, xx / delta**2, (xx * x + fx) / delta, x * x * xx + x * fx,
+    )
+    return np.array([c.sum() for c in each])
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of each group's log density at its parameters and a step up and down along each."""
+    """Sums of each group's log density and its slopes at its parameters."""
     for batch in batches:
         rows, out = batch.to_pandas(), []
         for name, g in rows.groupby("g", dropna=False):
             z, t = (g["y"].to_numpy(float) - g["mean"].iloc[0]) / g["sd"].iloc[0], np.array([g[f"t{k}"].iloc[0] for k in range(4)], float)
-            at = [t, *(t + s * _STEP * np.eye(4)[k] for k in range(4) for s in (1, -1))]
-            out.append((name, len(z), *(sum(float(log_density(z[i : i + 4096], *_law(u)).sum()) for i in range(0, len(z), 4096)) for u in at)))
+            out.append((name, len(z), *sum(_derivatives(z[i : i + 4096], t) for i in range(0, len(z), 4096))))
         if out:
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["g", "n", *(f"s{k}" for k in range(_POINTS))]), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["g", "n", *(f"s{k}" for k in range(_SUMS))]), preserve_index=False)
+
+
+def _step(s: dict) -> np.ndarray:
+    """A Newton step, damped so that the second slopes bend down; where alpha * delta is at ``CAP`` and would grow, it stays."""
+    free = np.array([not (s["t"][0] >= math.log(CAP) - 1e-12 and s["g"][0] > 0), True, True, True])
+    out = np.zeros(4)
+    for _ in range(2):
+        bend, turned = np.linalg.eigh(-s["h"][np.ix_(free, free)])
+        bend = np.maximum(np.abs(bend), 1e-8) + s["damp"]
+        out[:] = 0
+        out[free] = turned @ ((turned.T @ s["g"][free]) / bend)
+        if not (free[0] and s["t"][0] >= math.log(CAP) - 1e-12 and out[0] > 0):
+            break
+        free[0] = False
+    out *= min(1.0, 2.0 / max(np.abs(out).max(), 1e-300))
+    if s["t"][0] + out[0] > math.log(CAP):  # to the bound, and no further along any of them
+        out *= (math.log(CAP) - s["t"][0]) / out[0]
+    return out
 
 
 def fit_gradient(data: DataFrame, by: str, value: str, rounds: int = 200, tolerance: float = 1e-7) -> DataFrame:
-    """``by, n, alpha, beta, mu, delta, log_likelihood, settled``: maximum likelihood by quasi-Newton steps (BFGS) from the moment fit.
+    """``by, n, alpha, beta, mu, delta, log_likelihood, settled``: maximum likelihood by damped Newton steps from the moment fit.
 
-    A pass over the data gives every group's likelihood at a trial point and its slope; the driver has one row for each group and takes all groups' steps
-    at once (groups are series, not observations). A step that does not gain enough is cut to a quarter. settled: the mean slope is below ``tolerance``
-    or steps have become too small to matter, within ``rounds`` passes. alpha * delta is held at ``CAP`` at most. Null and NaN values are left out; groups without spread have no row.
+    A pass over the data gives every group's likelihood at a trial point, its slope and second slopes, all from one Bessel ratio a value; the driver has one row
+    for each group and takes all groups' steps at once (groups are series, not observations). A step that does not gain is damped more. settled: the mean slope is below ``tolerance``
+    (but for alpha * delta at its bound) or steps have become too small to matter, within ``rounds`` passes. alpha * delta is held at ``CAP`` at most. Null and NaN values are left out; groups without spread have no row.
     """
     spark, y = data.sparkSession, F.col(value).cast("double")
     rows = checkpointed(data.where(y.isNotNull() & ~F.isnan(y)).select(F.col(by).alias("g"), y.alias("y")))  # every pass reads it again
     start = fit_by_moments(rows, "g", "y").join(moments(rows, "g", "y").select("g", "mean", F.sqrt("variance").alias("sd")), "g").where("alpha > 0 AND delta > 0 AND sd > 0").toPandas()
-    kind = f"g {rows.schema['g'].dataType.simpleString()}, n long, " + ", ".join(f"s{k} double" for k in range(_POINTS))
+    kind = f"g {rows.schema['g'].dataType.simpleString()}, n long, " + ", ".join(f"s{k} double" for k in range(_SUMS))
     state: dict = {}
     for r in start.itertuples():
-        t = np.array([math.log(r.alpha * r.sd), math.atanh(max(-0.999, min(0.999, r.beta / r.alpha))), (r.mu - r.mean) / r.sd, math.log(r.delta / r.sd)])
-        state[r.g] = {"t": t, "f": -math.inf, "g": np.zeros(4), "h": np.eye(4), "p": np.zeros(4), "step": 0.0, "mean": r.mean, "sd": r.sd, "n": 0, "done": False}
+        t = np.array([min(math.log(r.alpha * r.delta), math.log(CAP)), math.atanh(max(-0.999, min(0.999, r.beta / r.alpha))), (r.mu - r.mean) / r.sd, math.log(r.delta / r.sd)])
+        state[r.g] = {"t": t, "f": -math.inf, "p": np.zeros(4), "damp": 1e-3, "mean": r.mean, "sd": r.sd, "n": 0, "done": False}
     for _ in range(rounds):
         open_ = {g: s for g, s in state.items() if not s["done"]}
         if not open_:
             break
-        trial = {g: s["t"] + s["step"] * s["p"] for g, s in open_.items()}
-        for t in trial.values():
-            t[0] = min(t[0], math.log(CAP) - t[3])
-        params = spark.createDataFrame(pd.DataFrame([(g, s["mean"], s["sd"], *trial[g]) for g, s in open_.items()], columns=["g", "mean", "sd", "t0", "t1", "t2", "t3"]))
-        sums = rows.join(F.broadcast(params), "g").mapInArrow(_around, kind).groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n", *(f"s{k}" for k in range(_POINTS)))]).collect()
+        params = spark.createDataFrame(pd.DataFrame([(g, s["mean"], s["sd"], *(s["t"] + s["p"])) for g, s in open_.items()], columns=["g", "mean", "sd", "t0", "t1", "t2", "t3"]))
+        sums = rows.join(F.broadcast(params), "g").mapInArrow(_around, kind).groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n", *(f"s{k}" for k in range(_SUMS)))]).collect()
         for r in sums:
-            s, n = state[r["g"]], r["n"]
-            f = r["s0"] / n
-            slope = np.array([(r[f"s{2 * k + 1}"] - r[f"s{2 * k + 2}"]) / (2 * _STEP * n) for k in range(4)])
-            s["n"] = n
-            if not f >= s["f"] + 1e-4 * s["step"] * float(s["g"] @ s["p"]):
-                s["step"] /= 4
-                s["done"] = bool(s["step"] < 1e-6)
-                continue
-            moved, turned = trial[r["g"]] - s["t"], s["g"] - slope
-            if s["step"] and moved @ turned > 1e-14:
-                rho = 1 / (moved @ turned)
-                left = np.eye(4) - rho * np.outer(moved, turned)
-                s["h"] = left @ s["h"] @ left.T + rho * np.outer(moved, moved)
-            s["t"], s["f"], s["g"] = trial[r["g"]], f, slope
-            s["p"] = s["h"] @ slope
-            s["step"] = min(1.0, 1.0 / max(np.abs(s["p"]).max(), 1e-12))
-            s["done"] = bool(np.abs(slope).max() < tolerance)
+            s, v = state[r["g"]], np.array([r[f"s{k}"] for k in range(_SUMS)]) / r["n"]
+            s["n"] = r["n"]
+            gain = v[0] - s["f"]
+            if not gain > 0:
+                # Not better: from the point before again, or done where steps no longer matter.
+                s["done"] = bool(np.abs(s["p"]).max() < 1e-7)
+                s["damp"] *= 10
+            else:
+                s["t"], s["f"], s["g"], s["h"] = s["t"] + s["p"], v[0], v[1:5], np.zeros((4, 4))
+                s["h"][np.triu_indices(4)] = v[5:]
+                s["h"] = s["h"] + np.triu(s["h"], 1).T
+                s["damp"] = max(s["damp"] / 10, 1e-12)
+                held = np.where([s["t"][0] >= math.log(CAP) - 1e-12 and s["g"][0] > 0, False, False, False], 0.0, s["g"])
+                s["done"] = bool(np.abs(held).max() < tolerance)
+            s["p"] = np.zeros(4) if s["done"] else _step(s)
     out = []
     for g, s in state.items():
-        alpha, beta, mu, delta = _law(s["t"])
-        out.append((g, s["n"], *map(float, (alpha / s["sd"], beta / s["sd"], s["mean"] + s["sd"] * mu, delta * s["sd"], s["n"] * (s["f"] - math.log(s["sd"])))), s["done"]))
+        alpha = math.exp(s["t"][0] - s["t"][3])
+        out.append((g, s["n"], *map(float, (alpha / s["sd"], alpha * math.tanh(s["t"][1]) / s["sd"], s["mean"] + s["sd"] * s["t"][2], math.exp(s["t"][3]) * s["sd"], s["n"] * (s["f"] - math.log(s["sd"])))), s["done"]))
     kind = f"`{by}` {rows.schema['g'].dataType.simpleString()}, n long, alpha double, beta double, mu double, delta double, log_likelihood double, settled boolean"
     return spark.createDataFrame(out, kind)
 
