@@ -24,8 +24,8 @@ def _appended(heads: Column, steps: Column) -> Column:
     return F.flatten(F.transform(heads, lambda head: F.transform(steps, lambda k: F.concat(head, F.array(k)))))
 
 
-def containing(points: DataFrame, nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, width: float, slack: float = 1e-12, off: float | None = None, centre: list[float] | None = None) -> DataFrame:
-    """``point_id, simplex_id, v, w``: every simplex that holds a point (``point_id, x``), with barycentric weights in the order of ``v``.
+def containing(points: DataFrame, nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, width: float, slack: float = 1e-12, off: float | None = None, centre: list[float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``point_id, simplex_id, v, w``, and columns ``keep`` of the points: every simplex that holds a point (``point_id, x``), with barycentric weights in the order of ``v``.
 
     A simplex is listed in all bins of ``width`` that its bounding box touches, a point in its own, so the join is an equi-join; weights of
     -``slack`` or more count as inside. On a surface (fewer dimensions than the space) a point may be ``off`` the plane; with
@@ -38,18 +38,18 @@ def containing(points: DataFrame, nodes: DataFrame, simplices: DataFrame, vertic
     high = [F.greatest(*[q[i] for q in p]) + margin for i in range(d)]
     s = s.select("simplex_id", "v", "p", F.explode(_bins(low, high, width)).alias("bin"))
     x = parts(F.col("x"), d)
-    own = points.where(" AND ".join(f"get(x, {i}) IS NOT NULL" for i in range(d))).select("point_id", "x", F.array(*[F.floor(c / width) for c in x]).alias("bin"))
+    own = points.where(" AND ".join(f"get(x, {i}) IS NOT NULL" for i in range(d))).select("point_id", "x", F.array(*[F.floor(c / width) for c in x]).alias("bin"), *[c for c in keep if c != "x"])
     if off is None and centre is None:
         # The weights are affine in the point: their gradients are computed once for each simplex, before the join.
         gradients = F.array(*[F.array(*g) for g in SimplexMap(p).gradients()])
         s = s.select("simplex_id", "v", F.get("p", 0).alias("o"), gradients.alias("g"), "bin")
         step = [a - b for a, b in zip(x, parts(F.col("o"), d), strict=True)]
         w = [sum((F.get(F.get("g", k), i) * step[i] for i in range(d)), F.lit(1.0 if k == 0 else 0.0)) for k in range(vertices)]
-        met = own.join(s, "bin").select("point_id", "simplex_id", "v", *[c.alias(f"w{k}") for k, c in enumerate(w)])
-        return met.where(" AND ".join(f"w{k} >= {-slack}" for k in range(vertices))).select("point_id", "simplex_id", "v", F.array(*[F.col(f"w{k}") for k in range(vertices)]).alias("w"))
+        met = own.join(s, "bin").select("point_id", "simplex_id", "v", *keep, *[c.alias(f"w{k}") for k, c in enumerate(w)])
+        return met.where(" AND ".join(f"w{k} >= {-slack}" for k in range(vertices))).select("point_id", "simplex_id", "v", F.array(*[F.col(f"w{k}") for k in range(vertices)]).alias("w"), *keep)
     simplex = SimplexMap(p)
     at = simplex.on_line_from([F.lit(c) for c in centre], x) if centre else x
-    both = own.join(s, "bin").select("point_id", "simplex_id", "v", F.array(*simplex.barycentric(at)).alias("w"), (simplex.off(x) if off is not None and not centre else F.lit(0.0)).alias("away"))
+    both = own.join(s, "bin").select("point_id", "simplex_id", "v", *keep, F.array(*simplex.barycentric(at)).alias("w"), (simplex.off(x) if off is not None and not centre else F.lit(0.0)).alias("away"))
     held = both.where(F.forall("w", lambda w: w >= -slack))
     return (held.where(F.col("away") <= off) if off is not None and not centre else held).drop("away")
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.vectors import parts
-from gridloom.operators.locate import located
+from gridloom.operators.cut_lineage import checkpointed
+from gridloom.operators.locate import containing
 from gridloom.operators.paths import BLOCK, by_blocks
 from gridloom.operators.topology import with_vertices
 
@@ -123,16 +124,11 @@ def marched(triangles: DataFrame, starts: DataFrame, most_rounds: int = 10_000)
     return every.groupBy("origin", "node_id").agg(F.min("distance").alias("distance"))
 
 
-def _corners(points: DataFrame, nodes: DataFrame, simplices: DataFrame, d: int, width: float) -> DataFrame:
-    """``point_id, simplex_id, v, sides, to``: each point's triangle and the point's distances to its corners; points outside are left out."""
-    at = located(points, nodes, simplices, 3, d, width).where("simplex_id IS NOT NULL").select("point_id", "simplex_id").join(points.select("point_id", "x"), "point_id")
-    s, _, tensor = _cornered(nodes, simplices, d)
-    both = at.join(s, "simplex_id")
-    corner = [parts(F.get("p", i), d) for i in range(3)]
-    return both.select(
-        "point_id", "x", "simplex_id", "v", F.array(*[_length(corner[i], corner[(i + 1) % 3], tensor) for i in range(3)]).alias("sides"), F.array(*[_length(parts(F.col("x"), d), q, tensor) for q in corner]).alias("to"),
-        *(["tensor"] if tensor is not None else []),
-    )
+def _placed(points: DataFrame, nodes: DataFrame, simplices: DataFrame, d: int, width: float) -> DataFrame:
+    """``point_id, x, simplex_id``: each point once, with the least triangle that holds it; points outside are left out. Points are not joined with themselves."""
+    held = containing(points, nodes, simplices, 3, d, width, keep=("x",)).select("point_id", "simplex_id", *[F.get("x", i).alias(f"x{i}") for i in range(d)])
+    first = held.groupBy("point_id", *[f"x{i}" for i in range(d)]).agg(F.min("simplex_id").alias("simplex_id"))
+    return first.select("point_id", F.array(*[f"x{i}" for i in range(d)]).alias("x"), "simplex_id")
 
 
 def distances_between(nodes: DataFrame, simplices: DataFrame, starts: DataFrame, ends: DataFrame, d: int, width: float) -> DataFrame:
@@ -140,14 +136,21 @@ def distances_between(nodes: DataFrame, simplices: DataFrame, starts: DataFrame,
 
     A start gives its triangle's corners their plain distances; an end takes the least that its triangle's sides allow, or the
     straight way to a start in the same triangle. Pairs with a point outside the mesh, or in parts that don't hang together, have no row.
+    Corners' distances meet in triangles, before any point: an end is joined once, with its triangle.
     """
-    a, b = _corners(starts, nodes, simplices, d, width), _corners(ends, nodes, simplices, d, width)
-    first = a.select(F.col("point_id").alias("origin"), F.explode(F.arrays_zip(F.col("v").alias("node_id"), F.col("to").alias("distance"))).alias("e")).select("origin", "e.node_id", "e.distance")
-    t = marched(sides(nodes, simplices, d), first)
-    values = b.select("point_id", F.posexplode("v").alias("i", "node_id")).join(t, "node_id").groupBy("point_id", "origin").agg(F.map_from_entries(F.collect_list(F.struct("i", "distance"))).alias("t"))  # three rows a group
-    ways = values.join(b.select("point_id", "sides", "to"), "point_id")
-    side = [across(F.get("at", i), F.get("at", (i + 1) % 3), F.get("sides", i), F.get("to", (i + 1) % 3), F.get("to", i)) for i in range(3)]
-    through = ways.withColumn("at", F.array(*[F.col("t")[i] for i in range(3)])).select("origin", F.col("point_id").alias("end"), F.least(*side).alias("distance"))
-    same = a.select(F.col("point_id").alias("origin"), "simplex_id", F.col("x").alias("y")).join(b, "simplex_id")
-    straight = same.select("origin", F.col("point_id").alias("end"), _length(parts(F.col("x"), d), parts(F.col("y"), d), F.col("tensor") if "tensor" in b.columns else None).alias("distance"))
-    return through.unionByName(straight).groupBy("origin", "end").agg(F.min("distance").alias("distance"))
+    s, p, tensor = _cornered(nodes, simplices, d)
+    whole = checkpointed(s.select("simplex_id", "v", "p", F.array(*[_length(p[i], p[(i + 1) % 3], tensor) for i in range(3)]).alias("sides"), *([tensor.alias("tensor")] if tensor is not None else [])))
+    tensor = F.col("tensor") if tensor is not None else None
+    corner = [parts(F.get("p", i), d) for i in range(3)]
+    to = [_length(parts(F.col("x"), d), q, tensor) for q in corner]
+    a = checkpointed(_placed(starts, nodes, simplices, d, width).select(F.col("point_id").alias("origin"), "simplex_id", "x"))
+    first = a.join(whole, "simplex_id").select("origin", F.explode(F.arrays_zip(F.col("v").alias("node_id"), F.array(*to).alias("distance"))).alias("e")).select("origin", "e.node_id", "e.distance")
+    t = marched(whole, first)
+    each = whole.select("simplex_id", F.posexplode("v").alias("i", "node_id")).join(t, "node_id")
+    values = each.groupBy("simplex_id", "origin").agg(*[F.max(F.when(F.col("i") == i, F.col("distance"))).alias(f"t{i}") for i in range(3)])
+    known = checkpointed(values.join(a.withColumnRenamed("x", "y"), ["origin", "simplex_id"], "left").join(whole, "simplex_id"))
+    side = [across(F.col(f"t{i}"), F.col(f"t{(i + 1) % 3}"), F.get("sides", i), F.col(f"to{(i + 1) % 3}"), F.col(f"to{i}")) for i in range(3)]
+    straight = _length(parts(F.col("y"), d), parts(F.col("x"), d), tensor)
+    b = _placed(ends, nodes, simplices, d, width)
+    met = b.join(known, "simplex_id").select("origin", F.col("point_id").alias("end"), "sides", "t0", "t1", "t2", straight.alias("straight"), *[c.alias(f"to{i}") for i, c in enumerate(to)])
+    return met.groupBy("origin", "end").agg(F.min(F.least(*side, "straight")).alias("distance"))

@@ -116,6 +116,7 @@ def point_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = points(spark, sf_dir).select("point_id", "x")
     start = checkpointed(ends.agg(F.min(F.struct("point_id", "x")).alias("s")).select("s.*"))
     found = marching.distances_between(nodes, simplices, start, ends, 2, 1.0)
-    both = found.join(ends, found["end"] == ends["point_id"]).crossJoin(F.broadcast(start.select(F.col("x").alias("o"))))  # one row
+    # Files say less than rows in memory: the places are not to be broadcast.
+    both = found.join(ends.hint("merge"), found["end"] == ends["point_id"]).crossJoin(F.broadcast(start.select(F.col("x").alias("o"))))  # one row
     near = _near(F.get("x", 0) - F.get("o", 0), F.get("x", 1) - F.get("o", 1), F.col("distance"), 1.0)
     return both.select("point_id", near.alias("near"))

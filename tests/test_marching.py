@@ -85,3 +85,14 @@ def test_parts_that_do_not_hang_together_and_empty_tables(spark):
     assert got == {1: 0.0, 2: 3.0, 3: 5.0}
     assert marching.marched(t, starts(spark)).count() == 0
     assert [(r.node_id, r.distance) for r in marching.marched(t.where("simplex_id > 5"), starts(spark, (0, 1, 0.0))).collect()] == [(1, 0.0)]
+
+
+def test_ends_are_read_once_and_not_broadcast(spark, tmp_path):
+    """Files say less than rows in memory: an end joined with itself would be broadcast while its file is small."""
+    nodes, simplices, *_ = grid(spark, 4)
+    path = str(tmp_path / "ends")
+    spark.createDataFrame([(k, [k / 7, 0.4]) for k in range(8)] + [(3, [3 / 7, 0.4])], "point_id long, x array<double>").write.parquet(path)
+    ends = spark.read.parquet(path)
+    found = marching.distances_between(nodes, simplices, ends.where("point_id = 0"), ends, 2, 0.25)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert sorted(r.end for r in found.collect()) == list(range(8))
