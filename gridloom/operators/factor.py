@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.cut_lineage import Log, checkpointed
 
-#: Nodes of a block, of a box that is halved within one task, and tiles of a part.
-BLOCK, WITHIN, PART = 512, 1 << 16, 16
+#: Nodes of a block, of the boxes that are not halved further, of a box that is halved within one task, and tiles of a part. A box's tile is full however
+#: sparse its matrix is: small boxes keep the factor near its own size, and large blocks the steps of long separators few.
+BLOCK, BOX, WITHIN, PART = 512, 64, 1 << 16, 16
 #: Levels of halving.
 DEPTH = 48
 TILE = "step int, i long, j long, part int, p binary, q binary, v binary"
@@ -83,7 +84,7 @@ def boxes(nodes: DataFrame, dims: int, leaf: int = BLOCK) -> DataFrame:
 
 def nested_order(m: DataFrame, nodes: DataFrame, dims: int, leaf: int = BLOCK) -> tuple[DataFrame, int]:
     """(``i, block, place``, steps): an elimination order of m (``i, j, v``) whose rows have the places ``nodes`` (``i, x array``). A block's id starts with its step."""
-    at = checkpointed(boxes(nodes, dims, leaf))
+    at = checkpointed(boxes(nodes, dims, min(leaf, BOX)))
     edges = m.select("i", "j").where("i <> j").join(at.select("i", F.col("code").alias("a")), "i").join(at.select(F.col("i").alias("j"), F.col("code").alias("b")), "j")
     level = DEPTH - F.length(F.bin(F.col("a").bitwiseXOR(F.col("b"))))
     cut = edges.where("a < b").groupBy("i").agg(F.min(level).alias("level"))

@@ -149,3 +149,18 @@ def test_multilevel_solutions(spark, monkeypatch):
     assert len(h.smooth) == 3 and taken[1] <= taken[0] + 4
     with pytest.raises(RuntimeError, match="3 steps"):
         multilevel.solve(m, right, h, 1e-12, most=3)
+
+
+def test_factor_of_a_strip_stays_near_its_own_size(spark):
+    """Tiles of boxes are full: on a strip four nodes wide they must not be many times the matrix."""
+    ids = spark.range(1600).withColumnRenamed("id", "i")
+    at = ids.select("i", F.array(F.floor(F.col("i") / 4).cast("double"), (F.col("i") % 4).cast("double")).alias("x"))
+    beside = ids.select("i", F.explode(F.array(F.lit(-4), F.lit(4), F.when(F.col("i") % 4 > 0, -1), F.when(F.col("i") % 4 < 3, 1))).alias("s"))
+    off = beside.select("i", (F.col("i") + F.col("s")).alias("j"), F.lit(-1.0).alias("v")).where("j BETWEEN 0 AND 1599")
+    m = off.unionByName(ids.select("i", F.col("i").alias("j"), F.lit(5.0).alias("v")))
+    f = factor.factored(m, at, 2)
+    assert f.tiles.every().agg(F.sum(F.length("v"))).first()[0] < 2_000_000
+    a = np.zeros((1600, 1600))
+    for r in m.collect():
+        a[r.i, r.j] = r.v
+    assert factor.log_determinant(f) == pytest.approx(np.linalg.slogdet(a)[1], rel=1e-10)
