@@ -71,8 +71,8 @@ def squared_distance(a: Column, b: Column, d: int) -> Column:
     return sum((F.pow(x - y, F.lit(2.0)) for x, y in zip(parts(a, d), parts(b, d), strict=True)), F.lit(0.0))
 
 
-#: Bins of a level make one of the next; sites of a list that one point is compared with in a row.
-FAN, LIST = 4, 256
+#: Bins of a level make one of the next; sites of a list that one point is compared with in a row; sites of a bin on average, and how often bins are halved for that.
+FAN, LIST, FULL, HALVINGS = 4, 256, 8, 16
 
 
 def _in_reach(p0: DataFrame, s0: DataFrame, d: int, levels: int) -> DataFrame:
@@ -102,11 +102,15 @@ def nearest(points: DataFrame, sites: DataFrame, d: int, width: float) -> DataFr
 
     Work on pairs is done for occupied bins of ``width``, not for points: which bins of sites can hold the nearest one of some point in a bin is found level by
     level (see ``_in_reach``). Points then meet their bin's sites by one equi-join, in lists of about ``LIST`` sites at most, and
-    only best ones are combined. Sites at one place are one site. ``width`` should be about the distance between sites. Points and sites with a null or NaN
-    coordinate are left out.
+    only best ones are combined. Sites at one place are one site. ``width`` should be about the distance between sites; it is halved until bins that hold
+    sites have ``FULL`` on average, so that what a point is compared with doesn't grow with the sites. Points and sites with a null or NaN coordinate are left out.
     """
     x = parts(F.col("x"), d)
     whole = " AND ".join(f"get(x, {i}) IS NOT NULL AND NOT isnan(get(x, {i}))" for i in range(d))
+    places = sites.where(whole).select("x").distinct()
+    held = [F.approx_count_distinct(F.array(*[F.floor(c / (width / 2**k)) for c in x])).alias(f"k{k}") for k in range(HALVINGS + 1)]
+    n, *occupied = places.agg(F.count("*"), *held).first()
+    width = width / 2 ** next((k for k, bins in enumerate(occupied) if n <= FULL * bins), HALVINGS)
     bin_ = F.array(*[F.floor(c / width) for c in x])
     points = points.where(whole).select("point_id", "x", bin_.alias("bin"))
     merged = sites.where(whole).groupBy("x").agg(F.min("site_id").alias("site_id")).select("site_id", F.col("x").alias("y"), bin_.alias("bin"))

@@ -501,3 +501,15 @@ def test_streamed_windows(spark, tmp_path):
 def test_squared_distance_uses_all_components(spark):
     assert one(spark, locate.squared_distance(F.array(*[F.lit(float(i)) for i in range(4)]), F.array(*[F.lit(0.0)] * 4), 4))[0] == 14.0
     assert len(parts(F.col("id"), 3)) == 3
+
+
+def test_nearest_compares_no_more_where_sites_are_dense(spark, monkeypatch):
+    """Bins far wider than the sites' distances are halved; the nearest sites are the same."""
+    rng = np.random.default_rng(3)
+    sites, at = rng.random((1500, 2)), rng.random((200, 2))
+    table = lambda p, name: spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(p)], f"{name} long, x array<double>")
+    pairs, reach = [], locate._in_reach
+    monkeypatch.setattr(locate, "_in_reach", lambda p0, s0, d, levels: pairs.append(s0.count()) or reach(p0, s0, d, levels))
+    got = {r.point_id: r.site_id for r in locate.nearest(table(at, "point_id"), table(sites, "site_id"), 2, 1.0).collect()}
+    want = ((at[:, None] - sites[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert got == dict(enumerate(want.tolist())) and pairs[0] >= 100
