@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.rational import Rational, clenshaw_lord
 from gridloom.operators import sparse
+from gridloom.operators.cut_lineage import checkpointed
 
 MOST = 4096
 
@@ -152,7 +153,12 @@ class Normal:
 
     @property
     def count(self) -> int:
-        return self._totals["n"]
+        return self._totals["n"] or 0
+
+    @property
+    def seen(self) -> int:
+        """Observations with a value (of ``folded``)."""
+        return self._totals["seen"] or 0
 
     @property
     def log_q(self) -> float:
@@ -171,6 +177,29 @@ def normal_equations(weights: DataFrame, y: DataFrame) -> Normal:
     return Normal(ata, aty, each.agg(F.sum(q * F.col("value") * F.col("value")).alias("yty"), F.count("*").alias("n"), F.sum(F.log(q)).alias("log_q")))
 
 
+def folded(at: DataFrame, vertices: int, least: float = 0.0, every: bool = False) -> Normal:
+    """The same of observations that carry their simplex: ``v, w`` (see ``locate.located``), ``value, sd`` and, for several right sides, ``rep`` in one row each.
+
+    Sums are made by simplex first, as all its observations have the same nodes: no pair of nodes is made, and nothing is sent, for an observation. Weights of the size ``least`` or less are
+    left out. ``every``: observations without a value count too, as 0, in all but A^T Q y and y^T Q y."""
+    names = ["rep"] if "rep" in at.columns else []
+    w, q = [F.col(f"w{a}") for a in range(vertices)], F.col("q")
+    rows = at.where("v IS NOT NULL" if every else "v IS NOT NULL AND value IS NOT NULL").select(
+        *names, *[F.get("v", a).alias(f"v{a}") for a in range(vertices)], *[F.when(F.abs(F.get("w", a)) > least, F.get("w", a)).alias(f"w{a}") for a in range(vertices)], "value", (1 / (F.col("sd") * F.col("sd"))).alias("q")
+    )
+    pairs = [(a, b) for a in range(vertices) for b in range(a, vertices)]
+    sums = rows.groupBy(*names, *[f"v{a}" for a in range(vertices)]).agg(
+        *[F.sum(w[a] * w[b] * q).alias(f"a{a}{b}") for a, b in pairs], *[F.sum(w[a] * q * F.col("value")).alias(f"y{a}") for a in range(vertices)],
+        F.sum(q * F.col("value") * F.col("value")).alias("yty"), F.count("*").alias("n"), F.count("value").alias("seen"), F.sum(F.log(q)).alias("log_q"),
+    )
+    sums = checkpointed(sums)
+    both = F.array(*[F.struct(F.col(f"v{a}").alias("i"), F.col(f"v{b}").alias("j"), F.col(f"a{min(a, b)}{max(a, b)}").alias("v")) for a in range(vertices) for b in range(vertices)])
+    ata = sums.select(F.inline(both)).where("v IS NOT NULL").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    each = F.array(*[F.struct(F.col(f"v{a}").alias("i"), F.col(f"y{a}").alias("v")) for a in range(vertices)])
+    aty = sums.select(*names, F.inline(each)).where("v IS NOT NULL").groupBy(*names, "i").agg(F.sum("v").alias("v"))
+    return Normal(ata, aty, sums.agg(*[F.sum(c).alias(c) for c in ("yty", "n", "seen", "log_q")]))
+
+
 def _posterior(f: Factor, normal: Normal) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(precision of the spectral weights, right side, mean weights)."""
     b = f.basis * f.scales

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,40 @@ def _appended(heads: Column, steps: Column) -> Column:
     return F.flatten(F.transform(heads, lambda head: F.transform(steps, lambda k: F.concat(head, F.array(k)))))
 
 
+def _listed(nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, width: float, plain: bool) -> DataFrame:
+    """``simplex_id, v``, what weights are made of, and ``bins``: all that a simplex's bounding box touches."""
+    s, p = with_vertices(simplices, nodes, vertices, d)
+    margin = width * 1e-9 if plain else width / 2
+    low = [F.least(*[q[i] for q in p]) - margin for i in range(d)]
+    high = [F.greatest(*[q[i] for q in p]) + margin for i in range(d)]
+    if not plain:
+        return s.select("simplex_id", "v", "p", _bins(low, high, width).alias("bins"))
+    # The weights are affine in the point: their gradients are computed once for each simplex, before the join.
+    gradients = F.array(*[F.array(*g) for g in SimplexMap(p).gradients()])
+    return s.select("simplex_id", "v", "p", F.get("p", 0).alias("o"), gradients.alias("g"), _bins(low, high, width).alias("bins"))
+
+
+def _weights(x: list[Column], of: Callable[[str], Column], vertices: int, d: int, off: float | None, centre: list[float] | None) -> tuple[list[Column], Column | None]:
+    """(barycentric weights of a point, its distance from the plane where that is tested) for the simplex whose columns ``of`` gives."""
+    if off is None and centre is None:
+        step = [a - b for a, b in zip(x, parts(of("o"), d), strict=True)]
+        return [sum((F.get(F.get(of("g"), k), i) * step[i] for i in range(d)), F.lit(1.0 if k == 0 else 0.0)) for k in range(vertices)], None
+    simplex = SimplexMap([[F.get(F.get(of("p"), k), i) for i in range(d)] for k in range(vertices)])
+    at = simplex.on_line_from([F.lit(c) for c in centre], x) if centre else x
+    return simplex.barycentric(at), simplex.off(x) if off is not None and not centre else None
+
+
+def _held(w: list[Column], away: Column | None, slack: float, off: float | None) -> Column:
+    out = w[0] >= -slack
+    for c in w[1:]:
+        out = out & (c >= -slack)
+    return out if away is None else out & (away <= off)
+
+
+def _whole(d: int) -> Column:
+    return F.expr(" AND ".join(f"get(x, {i}) IS NOT NULL" for i in range(d)))
+
+
 def containing(points: DataFrame, nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, width: float, slack: float = 1e-12, off: float | None = None, centre: list[float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """``point_id, simplex_id, v, w``, and columns ``keep`` of the points: every simplex that holds a point (``point_id, x``), with barycentric weights in the order of ``v``.
 
@@ -32,32 +70,56 @@ def containing(points: DataFrame, nodes: DataFrame, simplices: DataFrame, vertic
     ``centre`` (the centre of curvature) it is first moved along the line to the centre onto the plane, and off is not tested. Bins should
     be about as wide as a simplex. Points with null coordinates are in none.
     """
-    s, p = with_vertices(simplices, nodes, vertices, d)
-    margin = width * 1e-9 if off is None and centre is None else width / 2
-    low = [F.least(*[q[i] for q in p]) - margin for i in range(d)]
-    high = [F.greatest(*[q[i] for q in p]) + margin for i in range(d)]
-    s = s.select("simplex_id", "v", "p", F.explode(_bins(low, high, width)).alias("bin"))
+    s = _listed(nodes, simplices, vertices, d, width, off is None and centre is None)
+    s = s.select(*[c for c in s.columns if c not in ("bins", "p") or (c == "p" and "g" not in s.columns)], F.explode("bins").alias("bin"))
     x = parts(F.col("x"), d)
-    own = points.where(" AND ".join(f"get(x, {i}) IS NOT NULL" for i in range(d))).select("point_id", "x", F.array(*[F.floor(c / width) for c in x]).alias("bin"), *[c for c in keep if c != "x"])
-    if off is None and centre is None:
-        # The weights are affine in the point: their gradients are computed once for each simplex, before the join.
-        gradients = F.array(*[F.array(*g) for g in SimplexMap(p).gradients()])
-        s = s.select("simplex_id", "v", F.get("p", 0).alias("o"), gradients.alias("g"), "bin")
-        step = [a - b for a, b in zip(x, parts(F.col("o"), d), strict=True)]
-        w = [sum((F.get(F.get("g", k), i) * step[i] for i in range(d)), F.lit(1.0 if k == 0 else 0.0)) for k in range(vertices)]
-        met = own.join(s, "bin").select("point_id", "simplex_id", "v", *keep, *[c.alias(f"w{k}") for k, c in enumerate(w)])
-        return met.where(" AND ".join(f"w{k} >= {-slack}" for k in range(vertices))).select("point_id", "simplex_id", "v", F.array(*[F.col(f"w{k}") for k in range(vertices)]).alias("w"), *keep)
-    simplex = SimplexMap(p)
-    at = simplex.on_line_from([F.lit(c) for c in centre], x) if centre else x
-    both = own.join(s, "bin").select("point_id", "simplex_id", "v", *keep, F.array(*simplex.barycentric(at)).alias("w"), (simplex.off(x) if off is not None and not centre else F.lit(0.0)).alias("away"))
-    held = both.where(F.forall("w", lambda w: w >= -slack))
-    return (held.where(F.col("away") <= off) if off is not None and not centre else held).drop("away")
+    own = points.where(_whole(d)).select("point_id", "x", F.array(*[F.floor(c / width) for c in x]).alias("bin"), *[c for c in keep if c != "x"])
+    w, away = _weights(x, F.col, vertices, d, off, centre)
+    named = [F.col(f"w{k}") for k in range(vertices)]
+    met = own.join(s, "bin").select("point_id", "simplex_id", "v", *keep, *[c.alias(f"w{k}") for k, c in enumerate(w)], (F.lit(0.0) if away is None else away).alias("away"))
+    return met.where(_held(named, None if away is None else F.col("away"), slack, off)).select("point_id", "simplex_id", "v", F.array(*named).alias("w"), *keep)
+
+
+#: Simplices of a mesh whose bins are broadcast.
+SMALL = 4096
 
 
-def located(points: DataFrame, *args, **kwargs) -> DataFrame:
-    """``point_id, simplex_id, v, w`` with the least simplex that holds each point; null for points in none (see ``containing``)."""
-    first = containing(points, *args, **kwargs).groupBy("point_id").agg(F.min(F.struct("simplex_id", "v", "w")).alias("s"))
-    return points.select("point_id").join(first, "point_id", "left").select("point_id", "s.simplex_id", "s.v", "s.w")
+def located(points: DataFrame, nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, width: float, slack: float = 1e-12, off: float | None = None, centre: list[float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``point_id, simplex_id, v, w`` with the least simplex that holds each point, and columns ``keep`` of the points; null for points in none (see ``containing``).
+
+    All simplices that can hold a point are in the list of its bin, least first, so that a point is sent once at most, to its bin, and not
+    at all where the mesh is small. Bins are named by a hash: where two have one name, their list is that of both.
+    """
+    plain = off is None and centre is None
+    s = checkpointed(_listed(nodes, simplices, vertices, d, width, plain))
+    g = [[f"g{k}_{i}" for i in range(d)] for k in range(vertices)]
+    if plain:  # single numbers, and the bounding box first: what is done for each simplex of a list is not compiled
+        ends = [(F.least(*c), F.greatest(*c)) for c in ([F.get(F.get("p", k), i) for k in range(vertices)] for i in range(d))]
+        margin = [width * 1e-9 + slack * vertices * (high - low) for low, high in ends]  # as far out as weights of -slack reach
+        flat = {f"o{i}": F.get("o", i) for i in range(d)} | {g[k][i]: F.get(F.get("g", k), i) for k in range(vertices) for i in range(d)}
+        flat |= {f"low{i}": ends[i][0] - margin[i] for i in range(d)} | {f"high{i}": ends[i][1] + margin[i] for i in range(d)}
+        s = s.select("simplex_id", "v", *[c.alias(n) for n, c in flat.items()], "bins")
+    entry = F.struct(*[c for c in s.columns if c != "bins"])
+    lists = s.select(entry.alias("s"), F.explode("bins").alias("bin")).groupBy(F.xxhash64("bin").alias("bin")).agg(F.array_sort(F.collect_list("s")).alias("list"))
+    lists = F.broadcast(lists) if s.count() <= SMALL else lists
+    x = parts(F.col("x"), d)
+    bin_ = F.when(_whole(d), F.xxhash64(F.array(*[F.floor(c / width) for c in x])))
+    at = [f"x{i}" for i in range(d)]
+    own = points.select("point_id", "x", bin_.alias("bin"), *[c.alias(n) for c, n in zip(x, at, strict=True)], *[c for c in keep if c != "x"])
+
+    def weights(of: Callable[[str], Column]) -> tuple[list[Column], Column | None]:
+        if not plain:
+            return _weights([F.col(n) for n in at], of, vertices, d, off, centre)
+        step = [F.col(n) - of(f"o{i}") for i, n in enumerate(at)]
+        return [sum((of(g[k][i]) * step[i] for i in range(1, d)), of(g[k][0]) * step[0] + F.lit(1.0 if k == 0 else 0.0)) for k in range(vertices)], None
+
+    first = F.col("list")
+    if plain:
+        first = F.filter(first, lambda t: reduce(operator.and_, [(F.col(n) >= t[f"low{i}"]) & (F.col(n) <= t[f"high{i}"]) for i, n in enumerate(at)]))
+    first = F.get(F.filter(first, lambda t: _held(*weights(lambda c: t[c]), slack, off)), F.lit(0))
+    met = own.join(lists, "bin", "left").select("point_id", "x", *at, *[c for c in keep if c != "x"], first.alias("s"))
+    w = F.when(F.col("s").isNotNull(), F.array(*weights(lambda c: F.col(f"s.{c}"))[0]))
+    return met.select("point_id", "s.simplex_id", "s.v", w.alias("w"), *keep)
 
 
 def observation_weights(points: DataFrame, *args, **kwargs) -> DataFrame:

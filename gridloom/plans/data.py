@@ -59,10 +59,10 @@ def point_id() -> Column:
     return line * 64 + F.col("l_quantity").cast("long")
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``point_id, x, value, sd``: lineitems."""
+def points(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """``point_id, x, value, sd``, and more columns: lineitems."""
     t = table(spark, sf_dir, "lineitem")
-    return t.select(point_id().alias("point_id"), F.array(F.col("l_partkey") / 20, F.col("l_quantity") / 5).alias("x"), F.col("l_discount").alias("value"), F.lit(0.5).alias("sd"))
+    return t.select(point_id().alias("point_id"), F.array(F.col("l_partkey") / 20, F.col("l_quantity") / 5).alias("x"), F.col("l_discount").alias("value"), F.lit(0.5).alias("sd"), *more)
 
 
 def place(key: Column) -> tuple[Column, Column]:

@@ -320,10 +320,10 @@ def sparse_without_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.node_id AS i, b.node_id AS j, round(sum(a.wt * b.wt * 4), 5) + 0.0 AS v FROM weights a JOIN weights b USING (point_id) WHERE abs(a.wt) > 1e-9 AND abs(b.wt) > 1e-9 GROUP BY 1, 2", with_points=True)
 def normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridloom.operators.fields import normal_equations as fold
+    from gridloom.operators.fields import folded
 
-    w = locate.observation_weights(points(spark, sf_dir), *mesh(spark, sf_dir), 3, 2, 1.0, 1e-9).where(F.abs("w") > 1e-9)
-    return _out(fold(w, points(spark, sf_dir)).ata, 5)
+    at = locate.located(points(spark, sf_dir), *mesh(spark, sf_dir), 3, 2, 1.0, 1e-9, keep=("value", "sd"))
+    return _out(folded(at, 3, 1e-9).ata, 5)
 
 
 @query(
