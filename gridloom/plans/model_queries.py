@@ -71,7 +71,9 @@ def extended_mesh_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def extended_mesh_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitems with discount and tax as further coordinates; some are above the last levels (-1)."""
-    t = table(spark, sf_dir, "lineitem").groupBy(point_id().alias("point_id")).agg(F.first(F.array(F.col("l_partkey") / 20, F.col("l_quantity") / 5, F.col("l_discount") * 25, F.col("l_tax") * 100 + 1)).alias("x"))
+    at = [F.col("l_partkey") / 20, F.col("l_quantity") / 5, F.col("l_discount") * 25, F.col("l_tax") * 100 + 1]
+    t = table(spark, sf_dir, "lineitem").groupBy(point_id().alias("point_id")).agg(*[F.first(c).alias(f"x{k}") for k, c in enumerate(at)])  # numbers, not an array: no sort
+    t = t.select("point_id", F.array(*[f"x{k}" for k in range(4)]).alias("x"))
     return extended_located(t, *mesh(spark, sf_dir), 3, 2, LEVELS, 1.0, 1e-9).select("point_id", F.coalesce("simplex_id", F.lit(-1)).alias("simplex_id"))
 
 

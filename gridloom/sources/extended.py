@@ -81,8 +81,8 @@ def extended_neighbors(simplices: DataFrame, base: DataFrame, levels: Levels) ->
 def extended_located(points: DataFrame, nodes: DataFrame, simplices: DataFrame, vertices: int, d: int, levels: Levels, width: float, slack: float = 1e-12) -> DataFrame:
     """``point_id, simplex_id, v, w``: the cell of each point (the first ``d`` coordinates lie in the base mesh), least base simplex first, with weights in the order of
     ``v``: barycentric times linear. An upper face belongs to the next interval, but for the last. Null for points in none."""
-    base = located(points, nodes, simplices, vertices, d, width, slack).withColumnRenamed("simplex_id", "base")
-    at = points.select("point_id", "x").join(base, "point_id").crossJoin(_stride(simplices, "simplex_id", "ss")).crossJoin(_stride(nodes, "node_id", "ns"))
+    base = located(points, nodes, simplices, vertices, d, width, slack, keep=("x",)).withColumnRenamed("simplex_id", "base")
+    at = base.crossJoin(_stride(simplices, "simplex_id", "ss")).crossJoin(_stride(nodes, "node_id", "ns"))
     inside, copy, low_weights = F.col("base").isNotNull(), F.lit(0).cast("long"), []
     for k, (o, s, n, w) in enumerate(zip(levels.offset, levels.step, levels.count, levels.strides(0), strict=True)):
         t = (F.get("x", d + k) - o) / s
