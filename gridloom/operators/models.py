@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.rational import clenshaw_lord
 from gridloom.operators import fem, sparse
 from gridloom.operators.cut_lineage import checkpointed
-from gridloom.operators.fields import Matern, polynomial, varying_coefficients
+from gridloom.operators.fields import Matern, Normal, polynomial, varying_coefficients
 
 
 @dataclass(frozen=True)
@@ -159,6 +159,27 @@ def posterior_means(f: Field, weights: DataFrame, y: DataFrame, sd: float | Data
     return f.transfer(sparse.solve_many(q, right, tolerance))
 
 
+def given(f: Field, normal: Normal) -> DataFrame:
+    """Posterior precision of v given observations folded onto the nodes: without a table of points."""
+    free = f.lumped.select("i")
+    ata = normal.ata.join(free, "i", "left_semi").join(free.withColumnRenamed("i", "j"), "j", "left_semi").select("i", "j", "v")
+    if f.pr is not None:
+        ata = sparse.product(sparse.transposed(f.pr), sparse.product(ata, f.pr))
+    return checkpointed(sparse.add((1.0, f.precision()), (1.0, ata)))
+
+
+def loads(f: Field, normal: Normal) -> DataFrame:
+    """``rep, i, v``: (A Pr)^T Q y."""
+    right = normal.aty if "rep" in normal.aty.columns else normal.aty.withColumn("rep", F.lit(0).cast("long"))
+    right = right.join(f.lumped.select("i"), "i", "left_semi").select("rep", "i", "v")
+    return right if f.pr is None else sparse.times_vectors(sparse.transposed(f.pr), right)
+
+
+def means_given(f: Field, normal: Normal, tolerance: float = 1e-8) -> DataFrame:
+    """``posterior_means`` of observations folded onto the nodes (``fields.folded`` of all points, ``every``)."""
+    return f.transfer(sparse.solve_many(given(f, normal), loads(f, normal), tolerance))
+
+
 def log_determinant(m: DataFrame, probes: int = 16, steps: int = 30, seed: int = 0) -> tuple[float, float]:
     """(estimate, standard error) of a symmetric positive definite matrix's log-determinant by Lanczos quadrature from random signs."""
     ids = m.select("i").distinct()

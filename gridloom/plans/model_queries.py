@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.geometry import frame_from_angle
 from gridloom.operators import fem, locate, models, sparse, tiled, topology
 from gridloom.operators.distributions import tail_slopes
-from gridloom.operators.fields import Matern, varying_coefficients
+from gridloom.operators.fields import Matern, folded, varying_coefficients
 from gridloom.operators.topology import subset
 from gridloom.plans.data import MESH_SQL, POINTS_SQL, mesh, point_id, points, table
 from gridloom.plans.mesh_queries import _PAIRS, r
@@ -160,8 +160,8 @@ def fem_system_varying(spark: SparkSession, sf_dir: str) -> DataFrame:
 def field_implicit_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean that lineitems' discounts as a source give a field that is 1 on the lowest row of nodes."""
     nodes, simplices = mesh(spark, sf_dir)
-    w = locate.observation_weights(points(spark, sf_dir).select("point_id", "x"), nodes, simplices, 3, 2, 1.0, 1e-9)
-    load = w.where("node_id IS NOT NULL").join(points(spark, sf_dir).select("point_id", "value"), "point_id").groupBy(F.col("node_id").alias("i")).agg(F.sum(F.col("w") * F.col("value")).alias("v"))
+    at = locate.located(points(spark, sf_dir).withColumn("sd", F.lit(1.0)), nodes, simplices, 3, 2, 1.0, 1e-9, keep=("value", "sd"))
+    load = folded(at, 3).aty
     fixed = nodes.where(F.get("x", 1) == 0).select(F.col("node_id").alias("i"), F.lit(1.0).alias("v"))
     return models.implicit_mean(fem.system(nodes, simplices, 3, 2, 1.0, 1.0), load, fixed, 1e-6)
 
@@ -184,9 +184,9 @@ def field_realisations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def field_posterior_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the non-stationary field given lineitems' discounts, one replicate for each return flag."""
     f, nodes, simplices = _varying(spark, sf_dir)
-    w = locate.observation_weights(points(spark, sf_dir).select("point_id", "x"), nodes, simplices, 3, 2, 1.0, 1e-9)
-    y = table(spark, sf_dir, "lineitem").select(F.ascii("l_returnflag").cast("long").alias("rep"), point_id().alias("point_id"), (F.col("l_discount") - 0.05).alias("value"))
-    return models.posterior_means(f, w, y, 0.5, 1e-5)
+    y = points(spark, sf_dir, F.ascii("l_returnflag").cast("long").alias("rep")).withColumn("value", F.col("value") - 0.05)
+    at = locate.located(y, nodes, simplices, 3, 2, 1.0, 1e-9, keep=("rep", "value", "sd"))
+    return models.means_given(f, folded(at, 3, every=True), 1e-5)
 
 
 @query()
