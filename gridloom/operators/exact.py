@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from gridloom.operators import sparse
 from gridloom.operators.cut_lineage import checkpointed
 from gridloom.operators.factor import BLOCK, Factored, factored, log_determinant, selected_inverse, solve_factored
-from gridloom.operators.models import Field, observed, seen, with_precisions
+from gridloom.operators.fields import Normal
+from gridloom.operators.models import Field, given, loads, observed, seen, with_precisions
 
 
 def prior(f: Field, nodes: DataFrame, dims: int, leaf: int = BLOCK) -> Factored:
@@ -27,6 +28,16 @@ def posterior(f: Field, nodes: DataFrame, dims: int, weights: DataFrame, sd: flo
     return factored(q, nodes.select(F.col("node_id").alias("i"), "x"), dims, leaf), a
 
 
+def posterior_given(f: Field, nodes: DataFrame, dims: int, normal: Normal, leaf: int = BLOCK) -> Factored:
+    """The factor given observations folded onto the nodes (``fields.folded`` with ``every``)."""
+    return factored(given(f, normal), nodes.select(F.col("node_id").alias("i"), "x"), dims, leaf)
+
+
+def means_given(f: Field, q: Factored, normal: Normal) -> DataFrame:
+    """``rep, i, v``: ``means`` of these."""
+    return f.transfer(solve_factored(q, loads(f, normal)))
+
+
 def means(f: Field, q: Factored, a: DataFrame, y: DataFrame, sd: float | DataFrame) -> DataFrame:
     """``rep, i, v``: the field's mean given each replicate's observations (``rep, point_id, value``)."""
     right = sparse.times_vectors(sparse.transposed(a), with_precisions(seen(y), sd).select("rep", "i", (F.col("v") * F.col("q")).alias("v")))
@@ -60,3 +71,11 @@ def log_likelihood(f: Field, nodes: DataFrame, dims: int, weights: DataFrame, y:
     one = y.agg(F.sum(F.col("v") * F.col("v") * F.col("q")).alias("yy"), F.count_distinct("rep").alias("m")).first()
     noise = points.agg(F.count("*").alias("n"), F.sum(F.log("q")).alias("log_q")).first()
     return 0.5 * (log_determinant(before) - log_determinant(after) + (noise["log_q"] or 0.0) - noise["n"] * math.log(2 * math.pi) - ((one["yy"] or 0.0) - form) / max(one["m"], 1))
+
+
+def log_likelihood_given(f: Field, nodes: DataFrame, dims: int, normal: Normal, replicates: int = 1, leaf: int = BLOCK) -> float:
+    """``log_likelihood`` of observations folded onto the nodes (``fields.folded`` with ``every``)."""
+    before, after = prior(f, nodes, dims, leaf), posterior_given(f, nodes, dims, normal, leaf)
+    right = checkpointed(loads(f, normal))
+    form = solve_factored(after, right).join(right.withColumnRenamed("v", "b"), ["rep", "i"]).agg(F.sum(F.col("v") * F.col("b")).alias("s")).first()["s"] or 0.0
+    return 0.5 * (log_determinant(before) - log_determinant(after) + normal.log_q - normal.count * math.log(2 * math.pi) - (normal.yty - form) / replicates)

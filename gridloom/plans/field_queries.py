@@ -375,37 +375,38 @@ def windowed_nig(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _field(spark: SparkSession, sf_dir: str):
-    """A Matern field on a coarse grid over the points' box (quantity by discount, scaled to the unit square), its nodes, and observations with their weights."""
+    """A Matern field on a coarse grid over the points' box (quantity by discount, scaled to the unit square), its nodes, and observations with their simplices."""
     nodes, simplices = meshes.grid(spark, [-0.3, -0.3], [1.3, 1.3], 0.1)
     f = models.matern_field(nodes, simplices, 3, 2, fields.Matern(1.0, 0.5, 1.0, 2))
     t = table(spark, sf_dir, "lineitem")
     p = t.select(point_id().alias("point_id"), F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10).alias("x"), (F.log("l_extendedprice") - 10).alias("value"), F.lit(0.5).alias("sd"))
-    return f, nodes, p, locate.observation_weights(p.select("point_id", "x"), nodes, simplices, 3, 2, 0.1, 1e-9)
+    return f, nodes, locate.located(p, nodes, simplices, 3, 2, 0.1, 1e-9, keep=("value", "sd"))
 
 
 @query()
 def grf_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means and variances given the observations, each with its own noise, by the sparse factor."""
-    f, nodes, p, w = _field(spark, sf_dir)
-    q, a = exact.posterior(f, nodes, 2, w, p.select("point_id", "sd"))
-    mean = exact.means(f, q, a, p.select(F.lit(0).cast("long").alias("rep"), "point_id", "value"), p.select("point_id", "sd"))
+    f, nodes, at = _field(spark, sf_dir)
+    normal = fields.folded(at, 3, every=True)
+    q = exact.posterior_given(f, nodes, 2, normal)
+    mean = exact.means_given(f, q, normal)
     out = exact.variances(f, q).join(mean.select("i", F.col("v").alias("mean")), "i")
     return out.select(F.col("i").alias("node_id"), "mean", F.col("v").alias("variance"))
 
 
 @query()
 def grf_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, nodes, p, w = _field(spark, sf_dir)
-    value = exact.log_likelihood(f, nodes, 2, w, p.select(F.lit(0).cast("long").alias("rep"), "point_id", "value"), p.select("point_id", "sd"))
-    n = w.where("node_id IS NOT NULL").join(p.where("value IS NOT NULL"), "point_id", "left_semi").agg(F.count_distinct("point_id").alias("n"))
-    return n.select(F.lit(value).alias("log_likelihood"), "n")
+    f, nodes, at = _field(spark, sf_dir)
+    normal = fields.folded(at, 3, every=True)
+    value = exact.log_likelihood_given(f, nodes, 2, normal)
+    return normal.sums.select(F.lit(value).alias("log_likelihood"), F.coalesce("seen", F.lit(0)).alias("n"))
 
 
 @query()
 def grf_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prior covariance applied to the observations' load on the nodes."""
-    f, nodes, p, w = _field(spark, sf_dir)
-    load = fields.normal_equations(w, p).aty.select(F.lit(0).cast("long").alias("rep"), "i", "v")
+    f, nodes, at = _field(spark, sf_dir)
+    load = fields.folded(at, 3).aty.select(F.lit(0).cast("long").alias("rep"), "i", "v")
     return exact.covariance_times(f, exact.prior(f, nodes, 2), load).select("rep", F.col("i").alias("node_id"), F.col("v").alias("value"))
 
 
@@ -415,8 +416,7 @@ def grf_posterior_mean_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.plans.data import mesh
 
     nodes, simplices = mesh(spark, sf_dir)
-    w = locate.observation_weights(points(spark, sf_dir).select("point_id", "x"), nodes, simplices, 3, 2, 1.0, 1e-9)
-    normal = fields.normal_equations(w, points(spark, sf_dir))
+    normal = fields.folded(locate.located(points(spark, sf_dir), nodes, simplices, 3, 2, 1.0, 1e-9, keep=("value", "sd")), 3)
     m = sparse.add((1.0, fem.system(nodes, simplices, 3, 2, 1.0, 1.0)), (1.0, normal.ata))
     return sparse.solve(m, normal.aty, tolerance=1e-4)
 
