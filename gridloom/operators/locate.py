@@ -5,12 +5,13 @@ from __future__ import annotations
 import operator
 from collections.abc import Callable
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geometry import SimplexMap
-from gridloom.functions.vectors import parts
+from gridloom.functions.vectors import parts, total
 from gridloom.operators.cut_lineage import checkpointed
 from gridloom.operators.topology import with_vertices
 
@@ -133,29 +134,97 @@ def squared_distance(a: Column, b: Column, d: int) -> Column:
     return sum((F.pow(x - y, F.lit(2.0)) for x, y in zip(parts(a, d), parts(b, d), strict=True)), F.lit(0.0))
 
 
-#: Bins of a level make one of the next; sites of a list that one point is compared with in a row; sites of a bin on average, and how often bins are halved for that.
-FAN, LIST, FULL, HALVINGS = 4, 256, 8, 16
+#: Bins of a level make one of the next; sites of a list that one point is compared with in a row; sites of a bin on average, and how often bins are halved for that;
+#: sites that are few enough for a bin of points not to be parted; sites in all lists together that are broadcast; pairs of bins of the level to begin with.
+FAN, LIST, FULL, HALVINGS, FEW, SENT, BEGIN = 4, 256, 8, 16, 32, 2**18, 2**16
+
+#: Least and largest coordinates.
+Box = tuple[list[Column], list[Column]]
+
+
+def _ends(name: str, d: int) -> list[str]:
+    """Columns of a box, the low ends first."""
+    return [f"{name}_{end}{i}" for end in ("low", "high") for i in range(d)]
+
+
+def _box(name: str, d: int, of: Callable[[str], Column] = F.col) -> Box:
+    names = _ends(name, d)
+    return [of(n) for n in names[:d]], [of(n) for n in names[d:]]
+
+
+def _up(k: int) -> Column:
+    """The bin of level ``k`` that holds a bin."""
+    return F.transform("bin", lambda b: F.floor(b / float(FAN**k)))
+
+
+def _farthest(p: Box, s: Box) -> Column:
+    """Largest squared distance between points of two boxes."""
+    return total([F.pow(F.greatest(p1 - s0, s1 - p0), F.lit(2.0)) for p0, p1, s0, s1 in zip(*p, *s, strict=True)])
+
+
+def _farther(p: Box, a: Box, b: Box) -> Column:
+    """Whether every point of ``p`` has all of ``b`` farther away than all of ``a``, by more than rounding can change.
+
+    The squared distances' difference is a sum of one term for each coordinate, so that its largest value over ``p`` is the sum of the terms'; a term is convex
+    between the ends of ``b`` (everywhere, where ``b`` is one point), and so is largest at those or at the ends of ``p``.
+    """
+
+    def most(p0: Column, p1: Column, a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
+        far = lambda x: F.pow(F.greatest(x - a0, a1 - x), F.lit(2.0))
+        if b[0] is b[1]:
+            return F.greatest(*[far(x) - F.pow(x - b0, F.lit(2.0)) for x in (p0, p1)])
+        ends = [far(x) - F.pow(F.greatest(b0 - x, x - b1, F.lit(0.0)), F.lit(2.0)) for x in (p0, p1)]
+        return F.greatest(*ends, *[F.when((x >= p0) & (x <= p1), far(x)) for x in (b0, b1)])
+
+    return total([most(*ends) for ends in zip(*p, *a, *b, strict=True)]) < -1e-12 * _farthest(p, a)
+
+
+def _boxed(t: DataFrame, x: list[Column], width: float) -> DataFrame:
+    """``bin``, its ends (``own_low0``, ...) and ``n`` of each occupied bin: the ends and the number of what it holds."""
+    b, ends = [f"b{i}" for i in range(len(x))], _ends("own", len(x))
+    found = [f(c) for f in (F.min, F.max) for c in x]
+    out = t.groupBy(*[F.floor(c / width).alias(n) for c, n in zip(x, b, strict=True)]).agg(*[c.alias(n) for c, n in zip(found, ends, strict=True)], F.count("*").alias("n"))
+    return out.select(F.array(*b).alias("bin"), *ends, "n")
+
+
+def _levels(p0: DataFrame, s0: DataFrame, d: int) -> int:
+    """The finest level whose bins make ``BEGIN`` pairs at most, or the first one with two bins at most in each direction."""
+    bins = p0.select("bin", F.lit(0).alias("of")).unionByName(s0.select("bin", F.lit(1).alias("of")))
+    ends = bins.agg(*[(F.max(F.get("bin", i)) - F.min(F.get("bin", i))).alias(f"e{i}") for i in range(d)]).first()
+    extent, most = max([e or 0 for e in ends]), 0
+    while FAN**most <= extent:
+        most += 1
+    n = [r[1:] for r in bins.groupBy("of").agg(*[F.approx_count_distinct(_up(k)).alias(f"k{k}") for k in range(most)]).collect()]
+    return next((k for k in range(most) if prod(c[k] for c in n) <= BEGIN), most)
 
 
 def _in_reach(p0: DataFrame, s0: DataFrame, d: int, levels: int) -> DataFrame:
-    """``p, s``: for each bin of ``p0`` the bins of ``s0`` that can hold the nearest site of a point in it (columns ``bin``).
+    """``at, p``, its ends (``p_low0``, ...) and ``s``: bins ``p`` of level ``at`` that part the points' bins ``p0``, and for each the bins of ``s0`` that can hold the nearest site of a point in it.
 
-    From the coarsest level, where all bins are neighbours, down: a pair of bins gives the pairs of their occupied parts, and a bin keeps those
-    whose least distance is at most the smallest of the largest distances.
+    From level ``levels``, where all bins meet, down: bins of sites are parted, then bins of points, and a pair is left out where the bin's sites are all
+    farther from each of the points than those of the bin with the smallest largest distance. A bin of points that has ``FEW`` sites left is not parted any more,
+    so that points far from all sites don't have lists of their own.
     """
 
     def level(bins: DataFrame, k: int, name: str, above: str) -> DataFrame:
-        up = lambda n: F.transform("bin", lambda b: F.floor(b / float(FAN**n)))
-        return bins.select(up(k).alias(name), up(k + 1).alias(above)).distinct()
+        ends = [f(c).alias(n) for f, c, n in zip([F.min] * d + [F.max] * d, _ends("own", d), _ends(name, d), strict=True)]
+        return bins.groupBy(_up(k).alias(name), _up(k + 1).alias(above)).agg(*ends, F.sum("n").alias(f"{name}_n"))
+
+    own, p_ends, s_ends = Window.partitionBy("at", "p"), _ends("p", d), _ends("s", d)
 
-    around = _bins([F.get("p", i) - 1 for i in range(d)], [F.get("p", i) + 1 for i in range(d)], 1.0)
-    pairs = level(p0, levels, "p", "_").select("p", F.explode(around).alias("s")).join(level(s0, levels, "s", "_").select("s"), "s")
+    def kept(pairs: DataFrame) -> DataFrame:
+        p, s = _box("p", d), _box("s", d)
+        pairs = pairs.withColumn("a", F.min(F.struct(_farthest(p, s).alias("d2"), *s_ends)).over(own))
+        return pairs.where(~_farther(p, _box("s", d, lambda n: F.col(f"a.{n}")), s)).drop("a")
+
+    top = level(p0, levels, "p", "_").select(F.lit(levels).alias("at"), "p", *p_ends, F.lit(0).alias("all"))
+    pairs = kept(top.join(level(s0, levels, "s", "_").withColumn("all", F.lit(0)), "all")).select("at", "p", *p_ends, "s")
     for k in range(levels - 1, -1, -1):
-        both = pairs.select(F.col("p").alias("pa"), F.col("s").alias("sa")).join(level(p0, k, "p", "pa"), "pa").join(level(s0, k, "s", "sa"), "sa")
-        away = [F.abs(F.get("p", i) - F.get("s", i)).cast("double") for i in range(d)]
-        least = sum((F.pow(F.greatest(a - 1, F.lit(0.0)), F.lit(2.0)) for a in away), F.lit(0.0))
-        bound = F.min(sum((F.pow(a + 1, F.lit(2.0)) for a in away), F.lit(0.0))).over(Window.partitionBy("p"))
-        pairs = both.select("p", "s", least.alias("least"), bound.alias("bound")).where("least <= bound").select("p", "s")
+        pairs = kept(pairs.withColumnRenamed("s", "sa").join(level(s0, k, "s", "sa"), "sa").drop("sa"))
+        parted = level(p0, k, "child", "pa").select(F.lit(k + 1).alias("of"), "pa", "child", *_ends("child", d))
+        met = pairs.withColumn("few", F.sum("s_n").over(own) <= FEW).join(parted, (F.col("at") == F.col("of")) & (F.col("p") == F.col("pa")) & ~F.col("few"), "left")
+        child = [F.coalesce(c, n).alias(n) for c, n in zip(["child", *_ends("child", d)], ["p", *p_ends], strict=True)]
+        pairs = kept(met.select(F.when(F.col("child").isNull(), F.col("at")).otherwise(F.lit(k)).alias("at"), *child, "s", *s_ends)).select("at", "p", *p_ends, "s")
     return pairs
 
 
@@ -163,31 +232,46 @@ def nearest(points: DataFrame, sites: DataFrame, d: int, width: float) -> DataFr
     """``point_id, site_id, distance``: each point's nearest site (least site_id on ties); without sites no rows.
 
     Work on pairs is done for occupied bins of ``width``, not for points: which bins of sites can hold the nearest one of some point in a bin is found level by
-    level (see ``_in_reach``). Points then meet their bin's sites by one equi-join, in lists of about ``LIST`` sites at most, and
+    level (see ``_in_reach``), then which of their sites can be it. Points then meet their bin's sites, a handful as a rule, by one equi-join, in lists of about ``LIST`` sites at most
+    (bins are named by a hash: where two have one name, their points meet the lists of both), and
     only best ones are combined. Sites at one place are one site. ``width`` should be about the distance between sites; it is halved until bins that hold
     sites have ``FULL`` on average, so that what a point is compared with doesn't grow with the sites. Points and sites with a null or NaN coordinate are left out.
     """
     x = parts(F.col("x"), d)
     whole = " AND ".join(f"get(x, {i}) IS NOT NULL AND NOT isnan(get(x, {i}))" for i in range(d))
-    places = sites.where(whole).select("x").distinct()
+    points, sites = points.where(whole), sites.where(whole)
+    places = sites.select("x").distinct()
     held = [F.approx_count_distinct(F.array(*[F.floor(c / (width / 2**k)) for c in x])).alias(f"k{k}") for k in range(HALVINGS + 1)]
     n, *occupied = places.agg(F.count("*"), *held).first()
     width = width / 2 ** next((k for k, bins in enumerate(occupied) if n <= FULL * bins), HALVINGS)
-    bin_ = F.array(*[F.floor(c / width) for c in x])
-    points = points.where(whole).select("point_id", "x", bin_.alias("bin"))
-    merged = sites.where(whole).groupBy("x").agg(F.min("site_id").alias("site_id")).select("site_id", F.col("x").alias("y"), bin_.alias("bin"))
-    p0, s0 = checkpointed(points.select("bin").distinct()), checkpointed(merged.select("bin").distinct())
-    ends = p0.unionByName(s0).agg(*[(F.max(F.get("bin", i)) - F.min(F.get("bin", i))).alias(f"e{i}") for i in range(d)]).first()
-    extent, levels = max([e or 0 for e in ends]), 0
-    while FAN**levels <= extent:
-        levels += 1
-    reach = checkpointed(_in_reach(p0, s0, d, levels))
-    found = reach.join(merged.withColumnRenamed("bin", "s"), "s").select("p", "site_id", "y")
-    parts_ = F.ceil(F.count("*").over(Window.partitionBy("p")) / LIST)
-    lists = found.withColumn("list", F.pmod(F.xxhash64("site_id"), parts_)).groupBy("p", "list").agg(F.collect_list(F.struct("site_id", "y")).alias("sites"))
-    best = F.array_min(F.transform("sites", lambda s: F.struct(squared_distance(F.col("x"), s["y"], d).alias("d2"), s["site_id"].alias("site_id"))))
-    met = points.join(lists.withColumnRenamed("p", "bin"), "bin").select("point_id", best.alias("best")).groupBy("point_id").agg(F.min("best").alias("best"))
-    return met.select("point_id", F.col("best.site_id").alias("site_id"), F.sqrt(F.col("best.d2")).alias("distance"))
+    bins = [F.floor(c / width) for c in x]
+    ys = [f"y{i}" for i in range(d)]
+    merged = sites.groupBy("x").agg(F.min("site_id").alias("site_id")).select("site_id", *[c.alias(n) for c, n in zip(x, ys, strict=True)], F.array(*bins).alias("s"))
+    p0, s0 = checkpointed(_boxed(points, x, width)), checkpointed(_boxed(places, x, width))
+    reach = checkpointed(_in_reach(p0, s0, d, _levels(p0, s0, d)))
+
+    def site(of: Callable[[str], Column]) -> Box:
+        y = [of(n) for n in ys]
+        return y, y
+
+    own, p = Window.partitionBy("at", "p"), _box("p", d)
+    found = reach.join(merged, "s").withColumn("a", F.min(F.struct(_farthest(p, site(F.col)).alias("d2"), *ys)).over(own)).where(~_farther(p, site(lambda n: F.col(f"a.{n}")), site(F.col)))
+    lists = found.withColumn("list", F.pmod(F.xxhash64("site_id"), F.ceil(F.count("*").over(own) / LIST))).groupBy("at", "p", "list").agg(F.collect_list(F.struct("site_id", *ys)).alias("sites"))
+    # Bins below the one that has the list: what none of their own points can have as its nearest goes.
+    ats = [r["at"] for r in reach.select("at").distinct().collect()]
+    levels_of = F.explode(F.array(*[F.struct(F.lit(k).alias("at"), _up(k).alias("p")) for k in ats or [0]])).alias("of")
+    p = _box("own", d)
+    each = p0.select("bin", *_ends("own", d), levels_of).select("bin", *_ends("own", d), "of.at", "of.p").join(lists, ["at", "p"])
+    each = each.withColumn("a", F.array_min(F.transform("sites", lambda s: F.struct(_farthest(p, site(lambda n: s[n])).alias("d2"), *[s[n].alias(n) for n in ys]))))
+    left = F.filter("sites", lambda s: ~_farther(p, site(lambda n: F.col(f"a.{n}")), site(lambda n: s[n])))
+    near = checkpointed(each.select(F.xxhash64(*parts(F.col("bin"), d)).alias("bin"), "list", F.when(F.col("at") == 0, F.col("sites")).otherwise(left).alias("sites")))
+    entries, most = near.agg(F.sum(F.size("sites")), F.max("list")).first()
+    at = [f"x{i}" for i in range(d)]
+    best = F.array_min(F.transform("sites", lambda s: F.struct(total([F.pow(F.col(n) - s[m], F.lit(2.0)) for n, m in zip(at, ys, strict=True)]).alias("d2"), s["site_id"].alias("site_id"))))
+    met = points.select("point_id", *[c.alias(n) for c, n in zip(x, at, strict=True)], F.xxhash64(*bins).alias("bin"))
+    met = met.join(near.hint("broadcast" if (entries or 0) <= SENT else "shuffle_hash"), "bin").select("point_id", best.alias("best"))
+    met = met if most else met.repartition("point_id")  # with one list for each point nothing is gained by combining before rows are sent
+    return met.groupBy("point_id").agg(F.min("best").alias("best")).select("point_id", F.col("best.site_id").alias("site_id"), F.sqrt(F.col("best.d2")).alias("distance"))
 
 
 def nearest_of_few(points: DataFrame, sites: DataFrame, distance, most: int = 10_000) -> DataFrame:
