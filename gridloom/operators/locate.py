@@ -217,8 +217,8 @@ def _in_reach(p0: DataFrame, s0: DataFrame, d: int, levels: int) -> DataFrame:
         pairs = pairs.withColumn("a", F.min(F.struct(_farthest(p, s).alias("d2"), *s_ends)).over(own))
         return pairs.where(~_farther(p, _box("s", d, lambda n: F.col(f"a.{n}")), s)).drop("a")
 
-    top = level(p0, levels, "p", "_").select(F.lit(levels).alias("at"), "p", *p_ends, F.lit(0).alias("all"))
-    pairs = kept(top.join(level(s0, levels, "s", "_").withColumn("all", F.lit(0)), "all")).select("at", "p", *p_ends, "s")
+    top = level(p0, levels, "p", "_").select(F.lit(levels).alias("at"), "p", *p_ends)
+    pairs = kept(top.crossJoin(F.broadcast(level(s0, levels, "s", "_")))).select("at", "p", *p_ends, "s")
     for k in range(levels - 1, -1, -1):
         pairs = kept(pairs.withColumnRenamed("s", "sa").join(level(s0, k, "s", "sa"), "sa").drop("sa"))
         parted = level(p0, k, "child", "pa").select(F.lit(k + 1).alias("of"), "pa", "child", *_ends("child", d))
