@@ -209,18 +209,46 @@ def factored(m: DataFrame, nodes: DataFrame, dims: int, leaf: int = BLOCK) -> Fa
     return Factored(order, tiles, steps)
 
 
-def _entries_of(t: pa.Table) -> pa.Table:
-    out = [(np.full(v.size, i), np.repeat(p, len(q)), np.full(v.size, j), np.tile(q, len(p)), v.ravel()) for i, j, _, p, q, v in _tiles(t)]
-    kinds = (np.int64, np.int32, np.int64, np.int32, float)
-    return pa.table([np.concatenate([r[c] for r in out]) if out else np.zeros(0, k) for c, k in enumerate(kinds)], names=["bi", "p", "bj", "q", "v"])
+def _entries_of(mirrored: bool):
+    def run(t: pa.Table) -> pa.Table:
+        """Entries of one place's tiles beside the ids of their rows and columns; zeros are left out."""
+        out = []
+        for (i, j, _, p, q, v), rows, columns in zip(_tiles(t), t["rows"].to_pylist(), t["columns"].to_pylist(), strict=True):
+            a, b = np.nonzero(v)
+            at = np.frombuffer(rows, np.int64)[p[a]], np.frombuffer(columns, np.int64)[q[b]]
+            out += [(*at, v[a, b]), *([(at[1], at[0], v[a, b])] if mirrored and i != j else [])]
+        return pa.table([np.concatenate([r[c] for r in out]) for c in range(3)], names=["i", "j", "v"])
+
+    return run
+
+
+def _ids_of(t: pa.Table) -> pa.Table:
+    ids = np.empty(t.num_rows, np.int64)
+    ids[t["place"].to_numpy()] = t["i"].to_numpy()
+    return pa.table({"block": t["block"].slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary())})
+
+
+def _named(tiles: DataFrame, order: DataFrame, mirrored: bool = False) -> DataFrame:
+    """``i, j, v`` of tiles, by the nodes' own ids; zeros are left out. mirrored: what lies off the diagonal stands for both triangles.
+
+    Tiles meet their blocks' ids, not entries their nodes'. Neither side is broadcast: files of tiles say far less than the tiles are in memory.
+    """
+    ids = order.groupBy("block").applyInArrow(_ids_of, "block long, ids binary")
+    rows, columns = ids.select(F.col("block").alias("i"), F.col("ids").alias("rows")), ids.select(F.col("block").alias("j"), F.col("ids").alias("columns"))
+    met = tiles.join(rows.hint("merge"), "i").join(columns.hint("merge"), "j")
+    return met.groupBy("i", "j").applyInArrow(_entries_of(mirrored), "i long, j long, v double")
+
+
+def _added_up(t: pa.Table) -> pa.Table:
+    rows = _tiles(t)
+    return _table([(*rows[0][:3], *_added(rows))])
 
 
-def _named(tiles: DataFrame, order: DataFrame) -> DataFrame:
-    """``i, j, v`` of tiles, by the nodes' own ids; zeros are left out."""
-    each = tiles.groupBy("i", "j").applyInArrow(_entries_of, "bi long, p int, bj long, q int, v double").where("v <> 0")
-    rows = order.select("i", F.col("block").alias("bi"), F.col("place").alias("p"))
-    columns = order.select(F.col("i").alias("j"), F.col("block").alias("bj"), F.col("place").alias("q"))
-    return each.join(rows, ["bi", "p"]).join(columns, ["bj", "q"]).select("i", "j", "v")
+def squared(f: Factored) -> DataFrame:
+    """``i, j, v`` of L L^T, tile by tile: a column's tiles meet each other, and what they give for one place is added up before it is named."""
+    left, right = _pairs(f.tiles.every())
+    less = _met(left, right, ["j", "a", "b"], _products, TILE).groupBy("i", "j").applyInArrow(_added_up, TILE)
+    return _named(less, f.order, mirrored=True).withColumn("v", -F.col("v"))
 
 
 def lower(f: Factored) -> DataFrame:
@@ -428,6 +456,4 @@ def selected_inverse(f: Factored) -> DataFrame:
         found = checkpointed(_met(terms, y, ["j", "part"], _off_diagonal, TILE))
         ends = found.where("i = j").unionByName(diagonal.withColumn("part", F.lit(-1))).groupBy("j").applyInArrow(_diagonal, TILE)
         z.add(found.where("i <> j").unionByName(ends))
-    half = _named(z.every(), f.order)
-    off = _named(z.every().where("i <> j"), f.order).select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-    return half.unionByName(off)
+    return _named(z.every(), f.order, mirrored=True)

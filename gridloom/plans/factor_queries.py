@@ -35,8 +35,7 @@ def _factored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, f
 @query(f"SELECT i, j, v FROM ({MESHES['fem_system']}) WHERE v <> 0")
 def factor_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L times its transpose: the system again, and zero where only L holds something."""
-    low = factor.lower(_factored(spark, sf_dir)[2])
-    return sparse.product(low, sparse.transposed(low)).select("i", "j", r("v", 8).alias("v")).where("v <> 0")
+    return factor.squared(_factored(spark, sf_dir)[2]).select("i", "j", r("v", 8).alias("v")).where("v <> 0")
 
 
 @query(f"WITH {MESH_SQL} SELECT node_id AS i, round(sin(px) + py * py, 6) + 0.0 AS v FROM nodes")

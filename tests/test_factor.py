@@ -54,6 +54,18 @@ def test_factor_and_its_order(lattice):
     assert factor.log_determinant(f) == pytest.approx(np.linalg.slogdet(a)[1], rel=1e-12)
 
 
+def test_product_of_the_factor_by_tiles(spark, lattice):
+    """The matrix again, in both triangles, and no table of entries or tiles is sent to the driver to be broadcast, however little its files seem to hold."""
+    m, n, f = lattice
+    got = factor.squared(f)
+    rows = got.toPandas()
+    assert np.abs(dense(got, n) - dense(m, n)).max() < 1e-13 and not rows.duplicated(["i", "j"]).any()
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20  # tiles' files are smaller
+    for named in (factor.lower(f), factor.selected_inverse(f)):
+        plan = named._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_solutions(spark, lattice):
     m, n, f = lattice
     a, rng = dense(m, n), np.random.Generator(np.random.PCG64(1))
